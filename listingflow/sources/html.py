@@ -13,16 +13,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from listingflow.functions.text import clean_html, col, text_or_empty
+from listingflow.functions.text import clean_html, col, strip, text_or_empty
 
 
 @dataclass(frozen=True)
 class Field:
-    """One field of a card: patterns tried in order, group 1 is the value."""
+    """One field of a card: patterns tried in order, group 1 is the value.
+
+    ``clean`` drops tags; with ``entities`` it also decodes entities and collapses spaces.
+    """
 
     patterns: tuple[str, ...]
     clean: bool = True
     default: str = ""
+    entities: bool = True
 
 
 def landed_pages(spark, path: str) -> DataFrame:
@@ -37,7 +41,11 @@ def read_field(card: Column, field: Field) -> Column:
     tries = []
     for p in field.patterns:
         value = F.regexp_extract(card, p, 1)
-        tries.append(F.nullif(clean_html(value) if field.clean else value, F.lit("")))
+        if field.clean and field.entities:
+            value = clean_html(value)
+        elif field.clean:
+            value = strip(F.regexp_replace(value, "<[^>]+>", " "))
+        tries.append(F.nullif(value, F.lit("")))
     return F.coalesce(*tries, F.lit(field.default))
 
 
@@ -187,9 +195,9 @@ MARKERS = ("window._initialData=", "window.mosaic.providerData=")
 MARKER_JSON_PATHS = ("results", "jobList", "jobs", "metaData.results", "searchMeta.results")
 TUPLE_CARD = r'(?s)<article[^>]*class="[^"]*jobTuple[^"]*"[^>]*>(.*?)</article>'
 TUPLE_FIELDS = {
-    "title": Field((r'(?s)<a[^>]*class="[^"]*title[^"]*"[^>]*>(.*?)</a>',)),
-    "company": Field((r'(?s)<a[^>]*class="[^"]*subTitle[^"]*"[^>]*>(.*?)</a>',)),
-    "location": Field((r'(?s)<span[^>]*class="[^"]*loc[^"]*"[^>]*>(.*?)</span>',)),
+    "title": Field((r'(?s)<a[^>]*class="[^"]*title[^"]*"[^>]*>(.*?)</a>',), entities=False),
+    "company": Field((r'(?s)<a[^>]*class="[^"]*subTitle[^"]*"[^>]*>(.*?)</a>',), entities=False),
+    "location": Field((r'(?s)<span[^>]*class="[^"]*loc[^"]*"[^>]*>(.*?)</span>',), entities=False),
 }
 BEACON_CARD = r'(?s)<div[^>]*class="[^"]*job_seen_beacon[^"]*"[^>]*>.*?</div>\s*</div>\s*</td>'
 BEACON_FIELDS = {
