@@ -40,54 +40,28 @@ def first_pattern(c: Column | str, rules: Mapping[str, Sequence[str]], order: Se
     return F.lit(None).cast("string") if out is None else out
 
 
-def keyword_label(
-    title: Column | str,
-    description: Column | str,
-    category: Column | str,
-    keywords: Mapping[str, Sequence[str]],
-    preference: Sequence[str],
-    default: str,
-) -> Column:
-    """Label with the highest keyword score: 3 per keyword in the title, else 2 per
-    keyword anywhere. Ties go to the preference list; no hit at all gives the default.
-
-    The maximum is taken over structs inside the row, so nothing is shuffled.
-    """
-    low = F.lower(text_or_empty(title))
-    text = F.concat_ws(" ", low, F.lower(text_or_empty(category)), F.lower(text_or_empty(description)))
-    # Keywords shared by several labels are looked up once: points per keyword first.
-    distinct = sorted({k for words in keywords.values() for k in words})
-    position = {k: i for i, k in enumerate(distinct)}
-
-    def best(points: Column) -> Column:
-        scored = []
-        for label, words in keywords.items():
-            total = F.lit(0)
-            for k in words:
-                total = total + points[position[k]]
-            rank = preference.index(label) if label in preference else len(preference)
-            scored.append(F.struct(total.alias("score"), F.lit(-rank).alias("rank"), F.lit(label).alias("label")))
-        top = F.array_max(F.array(*scored))
-        return F.when(top["score"] == 0, F.lit(default)).otherwise(top["label"])
-
-    points = F.array(
-        *[
-            F.when(F.contains(low, F.lit(k)), 3).when(F.contains(text, F.lit(k)), 2).otherwise(0)
-            for k in distinct
-        ]
+def keyword_points(low_title: Column, text: Column, keyword: str) -> Column:
+    """3 for a keyword in the title, else 2 for one anywhere in the text, else 0."""
+    return (
+        F.when(F.contains(low_title, F.lit(keyword)), 3)
+        .when(F.contains(text, F.lit(keyword)), 2)
+        .otherwise(0)
     )
-    # The one-element transform binds the array to a name, so it is computed once.
-    return F.transform(F.array(points), best)[0]
 
 
-def detect_label(
-    title, description, category, patterns, pattern_order, keywords, preference, default
-) -> Column:
-    """Title patterns first; the keyword score decides where no pattern matched."""
-    return F.coalesce(
-        first_pattern(title, patterns, pattern_order),
-        keyword_label(title, description, category, keywords, preference, default),
-    )
+def best_label(totals: Mapping[str, Column], preference: Sequence[str], default: str) -> Column:
+    """Label with the highest total; ties go to the preference list, all zero to the default.
+
+    The maximum is taken over structs inside the row, so nothing is shuffled.
+    """
+    scored = []
+    for label, total in totals.items():
+        rank = preference.index(label) if label in preference else len(preference)
+        scored.append(
+            F.struct(total.alias("score"), F.lit(-rank).alias("rank"), F.lit(label).alias("label"))
+        )
+    top = F.array_max(F.array(*scored))
+    return F.when(top["score"] == 0, F.lit(default)).otherwise(top["label"])
 
 
 def label_in_response(response: Column | str, labels: Sequence[str], fallback: Column) -> Column:

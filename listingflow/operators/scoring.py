@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from listingflow.functions import score as S
 from listingflow.functions.score import ScoreRules
+from listingflow.operators.once import once
 
 SCORE_COLUMNS = [
     "score", "reason", "role_score", "skills_score", "experience_score",
@@ -39,33 +40,36 @@ def score_listings(
     """
     features = profile.select(S.profile_features(text, rules).alias("f")).scalar()
     title, description = S.normalized_texts("title", "description")
-    # Each step is its own projection, so a long text is normalised once per row.
-    texts = listings.withColumns({"_title": title, "_desc": description, "_p": features})
+    # Long texts are normalised and searched once per row; what follows is arithmetic
+    # on the outcome, so a later filter on the score copies nothing costly.
+    texts = once(listings, {"_title": title, "_desc": description, "_p": features})
     p = F.col("_p")
     hits = S.role_hits(F.col("_title"), F.col("_desc"), rules)
-    found = texts.withColumns(
+    parts = once(
+        texts,
         {
-            "_roles": F.array(*hits),
+            **{f"_hit{i}": hit for i, hit in enumerate(hits)},
             "_skills": S.matched_skills("category", F.col("_desc"), p["known"], rules),
             "_need": S.required_years(F.col("_desc"), rules),
-            "_posted": S.posted_date(posted, _is_date(listings, posted)),
-        }
+            "_size": S.lexicon_size("category", rules),
+            "_place": S.location_part("location", rules),
+            "_fresh": S.recency_part(S.posted_date(posted, _is_date(listings, posted)), as_of),
+        },
     )
-    flags = [F.col("_roles")[i] for i in range(len(rules.roles))]
+    flags = [F.col(f"_hit{i}") for i in range(len(rules.roles))]
     matched = F.when(F.col("_skills") == "", F.lit(0)).otherwise(F.size(F.split("_skills", ", ")))
-    size = S.lexicon_size("category", rules)
-    parts = found.withColumns(
+    parts = once(
+        parts,
         {
             "_matched": matched,
-            "_size": size,
             "_role": S.weighted(S.role_part(flags, p["role_values"]), rules.role_weight),
             "_skill": S.weighted(
-                matched.cast("double") / F.greatest(size, F.lit(1)), rules.skills_weight
+                matched.cast("double") / F.greatest(F.col("_size"), F.lit(1)), rules.skills_weight
             ),
             "_exp": S.weighted(S.experience_part(p["years"], F.col("_need")), rules.experience_weight),
-            "_loc": S.weighted(S.location_part("location", rules), rules.location_weight),
-            "_rec": S.weighted(S.recency_part(F.col("_posted"), as_of), rules.recency_weight),
-        }
+            "_loc": S.weighted(F.col("_place"), rules.location_weight),
+            "_rec": S.weighted(F.col("_fresh"), rules.recency_weight),
+        },
     )
     shown = F.substring_index("_skills", ", ", rules.shown_skills)
     skill_note = F.when(F.col("_skills") == "", F.lit("No skill match")).otherwise(
@@ -129,9 +133,9 @@ def top_per_profile(
     ``ord``, and within a signature they are its ``k`` earliest rows.
     """
     title, description = S.normalized_texts("title", "description")
-    texts = listings.select(
-        ord_col, F.col("category"), F.col("location"), F.col(posted),
-        title.alias("_title"), description.alias("_desc"),
+    texts = once(
+        listings.select(ord_col, "category", "location", posted, "title", "description"),
+        {"_title": title, "_desc": description},
     )
     names = list(rules.lexicons)
     lexicon = F.lit(names.index(rules.default_category))
@@ -144,14 +148,16 @@ def top_per_profile(
         packed += [F.lit(0).cast("long")] * (widest - len(packed))
         return F.array(*packed)
 
-    signature = texts.select(
-        ord_col,
-        F.array(*S.role_hits(F.col("_title"), F.col("_desc"), rules)).alias("roles"),
-        lexicon.alias("lexicon"),
-        S.by_category("category", rules, skill_masks).alias("skills"),
-        S.required_years(F.col("_desc"), rules).alias("need"),
-        S.location_part("location", rules).alias("place"),
-        S.recency_part(S.posted_date(posted, _is_date(listings, posted)), as_of).alias("fresh"),
+    signature = once(
+        texts,
+        {
+            "roles": S.masks(S.role_hits(F.col("_title"), F.col("_desc"), rules))[0],
+            "lexicon": lexicon,
+            "skills": S.by_category("category", rules, skill_masks),
+            "need": S.required_years(F.col("_desc"), rules),
+            "place": S.location_part("location", rules),
+            "fresh": S.recency_part(S.posted_date(posted, _is_date(listings, posted)), as_of),
+        },
     )
     sig_cols = ["roles", "lexicon", "skills", "need", "place", "fresh"]
     # The k earliest rows of each signature; limited per task before the shuffle.
@@ -180,7 +186,7 @@ def top_per_profile(
     buckets = 8
     left = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_b"))
     right = kinds.withColumn("_b", F.pmod(F.xxhash64(*feature_cols), F.lit(buckets)).cast("int"))
-    flags = [F.col("roles")[i] for i in range(len(rules.roles))]
+    flags = [F.col("roles").bitwiseAND(F.lit(1 << i)) != 0 for i in range(len(rules.roles))]
     matched = F.lit(0)
     for i in range(widest):
         mine = F.get("known", F.col("lexicon"))[i]

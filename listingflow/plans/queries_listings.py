@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listingflow.functions import text as X
-from listingflow.functions.rules import detect_label, first_pattern, first_rule, keyword_label, lookup_code
+from listingflow.functions.rules import first_pattern, first_rule, lookup_code
 from listingflow.functions.score import ScoreRules
-from listingflow.operators import filters, merge, scoring, stats, topk
+from listingflow.operators import filters, labels, merge, scoring, stats, topk
 from listingflow.operators.dedup import first_seen, first_seen_counts
 from listingflow.plans.driver_tables import AS_OF, LISTINGS_SQL, as_of, listings, table
 from listingflow.plans.registry import (
@@ -415,17 +415,14 @@ def classify_title(spark, d):
 
 @query("weighted_keyword_label", f"{WITH}, {_keyword_sql()} SELECT ord, label FROM lab")
 def weighted_keyword_label(spark, d):
-    return listings(spark, d).select(
-        "ord", keyword_label("title", "description", "category", KEYWORDS, PREFERENCE, "plain").alias("label")
-    )
+    return labels.keyword_label(listings(spark, d), KEYWORDS, PREFERENCE, "plain").select("ord", "label")
 
 
 @query("detect_label", f"{WITH}, {_keyword_sql()} SELECT ord, coalesce({_PATTERN_SQL}, label) AS label FROM lab")
 def detect(spark, d):
-    return listings(spark, d).select(
-        "ord",
-        detect_label("title", "description", "category", PATTERNS, PATTERN_ORDER, KEYWORDS, PREFERENCE, "plain").alias("label"),
-    )
+    return labels.detect_label(
+        listings(spark, d), PATTERNS, PATTERN_ORDER, KEYWORDS, PREFERENCE, "plain"
+    ).select("ord", "label")
 
 
 CODES = {"asia": {"small": "s", "large": "l"}, "europe": {"small": "1", "promo": "p"}}
