@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from listingflow.functions.text import WS, col, strip, text_or_empty
+from listingflow.functions.text import WS, col, drop_note_lines, strip, text_or_empty
 
 # Labels that end a block.
 BLOCK_LABELS = (
@@ -69,3 +69,16 @@ def acceptance_chance(text: Column | str) -> Column:
     """Chance from a response; zero and missing both count as 50 in the log."""
     chance = percent_score(block(text, "ACCEPTANCE_CHANCE"))
     return F.coalesce(F.nullif(chance, F.lit(0)), F.lit(50))
+
+
+def parsed_response(response: Column | str, note_prefixes, note_phrases) -> dict[str, Column]:
+    """The parts of a generation response. Without a block for the text, the whole
+    response is the text; an empty cover letter is null and has to be requested."""
+    tailored = drop_note_lines(block(response, "TAILORED_CV"), note_prefixes, note_phrases)
+    chance = block(response, "ACCEPTANCE_CHANCE")
+    return {
+        "tailored": F.coalesce(F.nullif(tailored, F.lit("")), text_or_empty(response)),
+        "cover_letter": F.nullif(block(response, "COVER_LETTER"), F.lit("")),
+        "prep": block(response, "INTERVIEW_PREP"),
+        "chance": F.when(chance == "", F.lit(50)).otherwise(percent_score(chance)),
+    }

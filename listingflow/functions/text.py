@@ -133,14 +133,14 @@ def relevance_tokens(c: Column | str) -> Column:
 
 
 def phrases(c: Column | str, longer_than: int = 2) -> Column:
-    """Phrases of words joined by whitespace, longer than a few characters."""
-    word = r"[\p{L}\p{N}_+#.]+"
-    # A phrase begins and ends at a word boundary, as in the source pattern.
-    pattern = rf"(?<![\p{{L}}\p{{N}}_])(?=[\p{{L}}\p{{N}}_])|(?<=[\p{{L}}\p{{N}}_])(?![\p{{L}}\p{{N}}_])"
-    boundary = f"(?:{pattern})"
-    full = f"{boundary}{word}(?:{WS}+{word})*{boundary}"
-    found = F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(full), F.lit(0))
-    return F.filter(F.transform(found, strip), lambda x: F.length(x) > longer_than)
+    """Phrases longer than a few characters: words, +, # and dots joined by whitespace,
+    from the first word character of the run to its last."""
+    word = r"\p{L}\p{N}_"
+    inside = rf"[{word}+#.\s\x0B\x1C-\x1F\x85\p{{Z}}]"
+    found = F.regexp_extract_all(
+        F.lower(text_or_empty(c)), F.lit(f"[{word}](?:{inside}*[{word}])?"), F.lit(0)
+    )
+    return F.filter(found, lambda x: F.length(x) > longer_than)
 
 
 # Month names of a date range.

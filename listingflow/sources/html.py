@@ -153,7 +153,7 @@ def label_location(labels: Column | str, default: str) -> Column:
     text = lambda x: F.trim(text_or_empty(x["label"]))
     good = F.filter(arr, lambda x: (text(x) != "") & ~F.contains(F.lower(text(x)), F.lit("experience")))
     return F.when(F.coalesce(F.size(arr), F.lit(0)) == 0, F.lit(default)).otherwise(
-        F.coalesce(text(F.get(good, 0)), F.get(arr, 0)["label"], F.lit(default))
+        F.coalesce(F.trim(F.get(good, 0)["label"]), F.get(arr, 0)["label"], F.lit(default))
     )
 
 
