@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listingflow.functions.text import relevance_tokens, render, text_or_empty
+from listingflow.operators.once import once
 
 PROJECTS_PER_CHUNK = 200
 
@@ -64,29 +65,27 @@ def rank_projects(
     packed = _packed(projects, relevance_tokens(project_text), order, chunk)
     last = projects.agg(F.max(order).alias("m")).first()["m"]
     chunks = 0 if last is None else int(last) // chunk + 1
-    texts = docs.select(doc_id, F.lower(text_or_empty(text)).alias("_text"))
+    texts = once(docs.select(doc_id, text), {"_text": F.lower(text_or_empty(text))}).drop(text)
     if chunks <= 1:
         pack = packed.select(F.struct("vocab", "projects").alias("p")).scalar()
-        met = texts.withColumn("_p", pack)
+        met = once(texts, {"_p": pack})
     else:
         met = texts.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(
             packed.select("_chunk", F.struct("vocab", "projects").alias("_p")), "_chunk"
         )
     # A token that is no part of any project chunk is never looked up; each token
     # of the chunk is looked up once and its outcome shared by all projects.
-    found = F.transform(F.col("_p")["vocab"], lambda w: F.contains(F.col("_text"), w).cast("int"))
-
-    def best(flags: Column) -> Column:
-        scored = F.transform(
-            F.col("_p")["projects"],
-            lambda p: F.struct(
-                (-F.aggregate(p["at"], F.lit(0), lambda n, i: n + F.get(flags, i))).alias("minus"),
-                p["project"].alias("project"),
-            ),
-        )
-        return F.slice(F.sort_array(scored), 1, k)
-
-    top = met.select(doc_id, F.transform(F.array(found), best)[0].alias("_best"))
+    found = once(
+        met, {"_found": F.transform(F.col("_p")["vocab"], lambda w: F.contains(F.col("_text"), w).cast("int"))}
+    )
+    scored = F.transform(
+        F.col("_p")["projects"],
+        lambda p: F.struct(
+            (-F.aggregate(p["at"], F.lit(0), lambda n, i: n + F.get("_found", i))).alias("minus"),
+            p["project"].alias("project"),
+        ),
+    )
+    top = found.select(doc_id, F.slice(F.sort_array(scored), 1, k).alias("_best"))
     if chunks <= 1:
         return top.select(doc_id, F.posexplode("_best").alias("_at", "_b")).select(
             doc_id, (F.col("_at") + 1).alias("rank"),
