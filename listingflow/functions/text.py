@@ -132,6 +132,16 @@ def relevance_tokens(c: Column | str) -> Column:
     )
 
 
+def distinct_runs(c: Column | str) -> Column:
+    """The different runs of token characters of a text.
+
+    A relevance token is part of the text exactly if it is part of one of its runs.
+    """
+    return F.array_distinct(
+        F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit("[a-z0-9+#.]+"), F.lit(0))
+    )
+
+
 def phrases(c: Column | str, longer_than: int = 2) -> Column:
     """Phrases longer than a few characters: words, +, # and dots joined by whitespace,
     from the first word character of the run to its last."""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listingflow.functions.text import relevance_tokens, render, text_or_empty
-from listingflow.operators.once import once
+from listingflow.functions.text import distinct_runs, relevance_tokens, render
+from listingflow.scratch import materialize
 
 PROJECTS_PER_CHUNK = 200
 
@@ -42,6 +42,22 @@ def _packed(projects: DataFrame, tokens: Column, order: str, chunk: int) -> Data
     )
 
 
+def _run_tokens(runs: DataFrame, tokens: DataFrame, longest: int) -> DataFrame:
+    """(run, chunk, found): positions of the tokens that are part of each run.
+
+    Candidate tokens are the substrings of a run that begin with a letter and are no
+    longer than the longest token, so the match is an equality join.
+    """
+    starts = runs.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("_at"))
+    windows = starts.select("run", F.substring("run", F.col("_at"), F.lit(longest)).alias("_w")).where(
+        F.substring("_w", 1, 1).between("a", "z")
+    )
+    parts = windows.select(
+        "run", F.col("_w"), F.explode(F.sequence(F.lit(1), F.length("_w"))).alias("_n")
+    ).select("run", F.substring("_w", F.lit(1), F.col("_n")).alias("token"))
+    return parts.join(tokens, "token").groupBy("run", "_chunk").agg(F.collect_set("_pos").alias("found"))
+
+
 def rank_projects(
     docs: DataFrame,
     projects: DataFrame,
@@ -55,46 +71,40 @@ def rank_projects(
     """The ``k`` most relevant projects per document: (doc_id, rank, project, relevance).
 
     Relevance is the number of distinct project tokens contained in the text; ties
-    keep the project order. ``order`` numbers the projects from 0. Projects are
-    packed into chunks of bounded size. A document is searched once per distinct
-    token of a chunk and only its best ``k`` leave the row, so no pair is ever
-    materialised. With one chunk there is no join at all; with several, documents
-    meet the chunks by equality on the chunk number, and the best ``k`` of each
-    chunk are merged.
+    keep the project order. ``order`` numbers the projects from 0.
+
+    Texts are not searched token by token. Each document is cut into its different
+    words; the tokens inside a word are found once per distinct word of all
+    documents, by equality joins; and the found tokens are gathered per document,
+    which its own length bounds. Projects are packed into chunks of bounded size,
+    scored inside the row, and only the best ``k`` of a chunk leave it.
     """
-    packed = _packed(projects, relevance_tokens(project_text), order, chunk)
-    last = projects.agg(F.max(order).alias("m")).first()["m"]
-    chunks = 0 if last is None else int(last) // chunk + 1
-    texts = once(docs.select(doc_id, text), {"_text": F.lower(text_or_empty(text))}).drop(text)
-    if chunks <= 1:
-        pack = packed.select(F.struct("vocab", "projects").alias("p")).scalar()
-        met = once(texts, {"_p": pack})
-    else:
-        met = texts.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(
-            packed.select("_chunk", F.struct("vocab", "projects").alias("_p")), "_chunk"
-        )
-    # A token that is no part of any project chunk is never looked up; each token
-    # of the chunk is looked up once and its outcome shared by all projects.
-    found = once(
-        met, {"_found": F.transform(F.col("_p")["vocab"], lambda w: F.contains(F.col("_text"), w).cast("int"))}
+    packed = materialize(_packed(projects, relevance_tokens(project_text), order, chunk), "projects")
+    tokens = packed.select("_chunk", F.posexplode("vocab").alias("_pos", "token"))
+    longest = tokens.agg(F.max(F.length("token")).alias("n")).first()["n"] or 1
+    doc_runs = docs.select(doc_id, F.explode(distinct_runs(text)).alias("run"))
+    runs = _run_tokens(doc_runs.select("run").distinct(), tokens, longest)
+    hits = doc_runs.join(runs, "run").select(doc_id, "_chunk", "found")
+    # Every document meets every chunk, also one it shares no token with.
+    chunks = packed.agg(F.collect_list("_chunk").alias("c")).scalar()
+    none = F.array().cast("array<int>").alias("found")
+    every = docs.select(doc_id, F.explode(chunks).alias("_chunk"), none)
+    found = hits.unionByName(every).groupBy(doc_id, "_chunk").agg(
+        F.array_distinct(F.flatten(F.collect_list("found"))).alias("_found")
     )
     scored = F.transform(
-        F.col("_p")["projects"],
+        "projects",
         lambda p: F.struct(
-            (-F.aggregate(p["at"], F.lit(0), lambda n, i: n + F.get("_found", i))).alias("minus"),
+            (-F.size(F.array_intersect(p["at"], F.col("_found")))).alias("minus"),
             p["project"].alias("project"),
         ),
     )
-    top = found.select(doc_id, F.slice(F.sort_array(scored), 1, k).alias("_best"))
-    if chunks <= 1:
-        return top.select(doc_id, F.posexplode("_best").alias("_at", "_b")).select(
-            doc_id, (F.col("_at") + 1).alias("rank"),
-            F.col("_b")["project"].alias("project"), (-F.col("_b")["minus"]).alias("relevance"),
-        )
-    rows = top.select(doc_id, F.inline("_best"))
+    best = found.join(packed.select("_chunk", "projects"), "_chunk").select(
+        doc_id, F.inline(F.slice(F.sort_array(scored), 1, k))
+    )
     w = Window.partitionBy(doc_id).orderBy("minus", "project")
     return (
-        rows.withColumn("rank", F.row_number().over(w))
+        best.withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= k)
         .select(doc_id, "rank", "project", (-F.col("minus")).alias("relevance"))
     )

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listingflow.sources.stores import read_spread
+
 AS_OF = "2001-08-01"
 
 
@@ -20,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table for steps that cost much per row: a single small file still
+    occupies every core."""
+    return read_spread(spark, f"{sf_dir}/{name}.parquet")
+
+
 def row_count(df: DataFrame) -> Column:
     """Number of rows as a scalar subquery; parquet answers it from file footers."""
     return df.agg(F.count(F.lit(1))).scalar()
@@ -30,7 +38,8 @@ def listings(spark: SparkSession, sf_dir: str, description: bool = True) -> Data
     read = lambda name: table(spark, sf_dir, name)
     orders, part, supplier = read("orders"), read("part"), read("supplier")
     documents = read("documents")
-    base = orders.select(
+    rows = spread(spark, sf_dir, "orders") if description else orders
+    base = rows.select(
         F.col("o_orderkey").alias("ord"),
         ((F.col("o_custkey") * 13) % row_count(part)).alias("p_partkey"),
         (F.col("o_orderkey") % row_count(supplier)).alias("s_suppkey"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from listingflow.functions import text as X
 from listingflow.operators import filters
-from listingflow.plans.driver_tables import LISTINGS_SQL, as_of, listings, table
+from listingflow.plans.driver_tables import LISTINGS_SQL, as_of, listings, spread, table
 from listingflow.plans.registry import query, sql_clean, sql_strip
 from listingflow.sources import html as H
 
@@ -21,7 +21,7 @@ AD = r'(?s)<div class="ad">(.*?)</div>'
 
 
 def _pages(spark, d):
-    return filters.with_html(table(spark, d, "pages"))
+    return filters.with_html(spread(spark, d, "pages"))
 
 
 @query("html_title", f"SELECT page_id, {sql_clean(f'''regexp_extract(html, '{TITLE}', 1)''')} AS title FROM pages")

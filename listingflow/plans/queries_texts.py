@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from listingflow.functions import responses as R
 from listingflow.functions import text as X
 from listingflow.operators import labels, relevance, scoring, sections
-from listingflow.plans.driver_tables import AS_OF, LISTINGS_SQL, as_of, listings, table
+from listingflow.plans.driver_tables import AS_OF, LISTINGS_SQL, as_of, listings, spread, table
 from listingflow.plans.queries_listings import RULES
 from listingflow.plans.registry import query, sql_any, sql_strip, sql_text
 from listingflow.sources import repos, stores
@@ -25,7 +25,7 @@ kept AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p0) AS p
 
 @query("trimmed_lines", f"""WITH {_LINES} SELECT doc_id, count(*) AS n, string_agg(line, '|' ORDER BY pos) AS joined FROM kept GROUP BY 1""")
 def trimmed_lines(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", X.trimmed_lines("text").alias("l"))
+    lines = spread(spark, d, "documents").select("doc_id", X.trimmed_lines("text").alias("l"))
     # Like the check, leave out documents without a line.
     return lines.where(F.size("l") > 0).select("doc_id", F.size("l").cast("long").alias("n"), F.array_join("l", "|").alias("joined"))
 
@@ -40,7 +40,7 @@ sec AS (SELECT doc_id, pos, line, head IS NOT NULL AS is_header,
 
 def _section_lines(spark, d):
     """Documents whose lines partly carry a bullet mark."""
-    docs = table(spark, d, "documents")
+    docs = spread(spark, d, "documents")
     marked = F.transform(
         X.trimmed_lines("text"),
         lambda x: F.when(
@@ -79,13 +79,13 @@ _DROP = " OR ".join(f"starts_with(low, '{p}')" for p in NOTES) + " OR " + " OR "
       SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p0 FROM documents))
   WHERE NOT ({_DROP}) GROUP BY 1) USING (doc_id)""")
 def strip_notes(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.drop_note_lines("text", NOTES, PHRASES).alias("text"))
+    return spread(spark, d, "documents").select("doc_id", X.drop_note_lines("text", NOTES, PHRASES).alias("text"))
 
 
 @query("phrases", r"""SELECT doc_id, len(f) AS n, array_to_string(f, '|') AS joined FROM (
   SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_](?:[\p{L}\p{N}_+#.\s\x0B\x1C-\x1F\x85\p{Z}]*[\p{L}\p{N}_])?'), lambda x: len(x) > 2) AS f FROM documents)""")
 def phrases(spark, d):
-    found = table(spark, d, "documents").select("doc_id", X.phrases("text").alias("f"))
+    found = spread(spark, d, "documents").select("doc_id", X.phrases("text").alias("f"))
     return found.select("doc_id", F.size("f").cast("long").alias("n"), F.array_join("f", "|").alias("joined"))
 
 
@@ -117,14 +117,14 @@ def _projects(spark, d):
 
 @query("relevance_rank", f"WITH {_RANKED} SELECT doc_id, rank, project, relevance FROM ranked WHERE rank <= 3")
 def relevance_rank(spark, d):
-    return relevance.rank_projects(table(spark, d, "documents"), _projects(spark, d), 3)
+    return relevance.rank_projects(spread(spark, d, "documents"), _projects(spark, d), 3)
 
 
 @query("project_texts", f"""WITH {_RANKED} SELECT doc_id, string_agg('Project ' || rank || ': P' || project || chr(10) || 'Technologies: Various' || chr(10) || '- ' || b.text
   || chr(10) || '- none' || chr(10) || 'GitHub: u/' || project, chr(10) ORDER BY rank) AS projects_text
 FROM ranked JOIN benchmark b ON b.item_id = project WHERE rank <= 2 GROUP BY 1""")
 def project_texts(spark, d):
-    ranked = relevance.rank_projects(table(spark, d, "documents"), _projects(spark, d), 2)
+    ranked = relevance.rank_projects(spread(spark, d, "documents"), _projects(spark, d), 2)
     item = F.col("item_id").cast("string")
     about = table(spark, d, "benchmark").select(
         F.col("item_id").alias("project_ord"), F.concat(F.lit("P"), item).alias("title"), F.lit("Various").alias("technologies"),
@@ -266,7 +266,7 @@ def profile_features(spark, d):
 FROM (SELECT doc_id, source, lang, text FROM documents) WHERE doc_id % 5 <> 0""")
 def repo_projects(spark, d):
     """Repository metadata with encoded texts, made from the documents."""
-    doc = table(spark, d, "documents")
+    doc = spread(spark, d, "documents")
     words = F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " ")
     kind = F.col("doc_id") % 3
     meta = doc.select(
