@@ -62,7 +62,8 @@ def two_decimals(raw: Column) -> Column:
 
 
 def profile_features(text: Column | str, rules: ScoreRules) -> Column:
-    """What the score needs to know of one profile: role values, known terms, years."""
+    """What the score needs to know of one profile: role values, the terms of each
+    lexicon it knows, and years."""
     low = F.lower(text_or_empty(text))
     role_values = F.array(
         *[
@@ -72,7 +73,12 @@ def profile_features(text: Column | str, rules: ScoreRules) -> Column:
             for role, terms in rules.roles.items()
         ]
     )
-    known = F.array(*[F.contains(low, F.lit(t)) for t in rules.terms])
+    known = F.array(
+        *[
+            F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in terms]))
+            for terms in rules.lexicons.values()
+        ]
+    )
     digits = F.regexp_extract(
         low, rf"([0-9]+)\+?{WS}*(?:years|yrs){WS}+(?:of{WS}+)?experience", 1
     )
@@ -86,48 +92,86 @@ def normalized_texts(title, description) -> tuple[Column, Column]:
     return normalize_score(title), normalize_score(description)
 
 
-def role_hits(title: Column, description: Column, rules: ScoreRules) -> list[Column]:
-    """One flag per role: a term of the role occurs in the listing."""
-    both = F.concat_ws(" ", title, description)
-    return [contains_any(both, terms) for terms in rules.roles.values()]
+def term_lists(lists) -> Column:
+    """Constant array of term arrays."""
+    return F.array(*[F.array(*[F.lit(t) for t in terms]) for terms in lists])
 
 
-def required_years(description: Column, rules: ScoreRules) -> Column:
-    """First "N years" of the description as text. In a range the later number counts."""
-    digits = F.regexp_extract(description, r"([0-9]+)\+?\s*(?:years|yrs)", 1)
-    return F.when(digits == "", F.lit(str(rules.default_required_years))).otherwise(number_text(digits))
+def role_hits(both: Column, rules: ScoreRules) -> Column:
+    """One flag per role: a term of the role occurs in title or description.
 
+    Long texts are searched in a loop over constant arrays. One CASE branch per term
+    would make a generated method too long for the JVM to compile.
+    """
+    return F.transform(
+        term_lists(rules.roles.values()),
+        lambda terms: F.exists(terms, lambda t: F.contains(both, t)),
+    )
 
-def by_category(category, rules: ScoreRules, build) -> Column:
-    """``build(terms)`` for the lexicon of the row's category; only that branch runs."""
-    out: Column | None = None
-    for name, terms in rules.lexicons.items():
-        cond = col(category) == name
-        out = F.when(cond, build(terms)) if out is None else out.when(cond, build(terms))
-    return out.otherwise(build(rules.lexicons[rules.default_category]))
 
+def lexicon_index(category, rules: ScoreRules) -> Column:
+    """Position of the lexicon of the row's category; unknown ones use the default."""
+    names = list(rules.lexicons)
+    out = F.lit(None)
+    for i, name in enumerate(names):
+        out = F.when(col(category) == name, F.lit(i)) if i == 0 else out.when(col(category) == name, F.lit(i))
+    return out.otherwise(F.lit(names.index(rules.default_category)))
 
-def matched_skills(category, description: Column, known: Column, rules: ScoreRules) -> Column:
-    """Terms found in both the description and the profile, in lexicon order, as one text.
 
-    ``concat_ws`` over plain CASE branches keeps this inside generated code.
-    """
-    index = {t: i for i, t in enumerate(rules.terms)}
-    return by_category(
-        category,
-        rules,
-        lambda terms: F.concat_ws(
-            ", ",
-            *[
-                F.when(known[index[t]] & F.contains(description, F.lit(t)), F.lit(t))
-                for t in terms
-            ],
+def lexicon_size(index: Column, rules: ScoreRules) -> Column:
+    return F.get(F.array(*[F.lit(len(t)) for t in rules.lexicons.values()]), index)
+
+
+def skill_masks(description: Column, index: Column, rules: ScoreRules) -> Column:
+    """Which terms of the lexicon occur in the text, packed into whole numbers."""
+    tagged = F.array(
+        *[
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(t).alias("t"), F.lit(i // _MASK_BITS).alias("word"),
+                        F.lit(1 << (i % _MASK_BITS)).cast("long").alias("bit"),
+                    )
+                    for i, t in enumerate(terms)
+                ]
+            )
+            for terms in rules.lexicons.values()
+        ]
+    )
+    hits = F.filter(F.get(tagged, index), lambda s: F.contains(description, s["t"]))
+    zero = F.lit(0).cast("long")
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(mask_words(rules) - 1)),
+        lambda w: F.aggregate(
+            F.filter(hits, lambda s: s["word"] == w), zero, lambda total, s: total + s["bit"]
         ),
     )
 
 
-def lexicon_size(category, rules: ScoreRules) -> Column:
-    return by_category(category, rules, lambda terms: F.lit(len(terms)))
+def mask_words(rules: ScoreRules) -> int:
+    """Whole numbers needed for the longest lexicon."""
+    return max((len(t) + _MASK_BITS - 1) // _MASK_BITS for t in rules.lexicons.values()) or 1
+
+
+def known_masks(known: Column, rules: ScoreRules) -> Column:
+    """Known terms of a profile as masks, one list per lexicon."""
+    lists = []
+    for i, terms in enumerate(rules.lexicons.values()):
+        words = []
+        for w in range(mask_words(rules)):
+            total = F.lit(0).cast("long")
+            for bit, t in enumerate(terms[w * _MASK_BITS : (w + 1) * _MASK_BITS]):
+                has = F.array_contains(known[i], F.lit(t))
+                total = total + F.when(has, F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long"))
+            words.append(total)
+        lists.append(F.array(*words))
+    return F.array(*lists)
+
+
+def required_years(description: Column, rules: ScoreRules) -> Column:
+    """First "N years" of the description as text. In a range the later number counts."""
+    digits = F.regexp_extract(description, r"([0-9]+)\+?\s*(?:years|yrs)", 1)
+    return F.when(digits == "", F.lit(str(rules.default_required_years))).otherwise(number_text(digits))
 
 
 def role_part(hits: list[Column], role_values: Column) -> Column:
@@ -189,14 +233,3 @@ def weighted(part: Column, weight: float) -> Column:
 def total_score(role, skills, experience, location, recency) -> Column:
     raw = role + skills + experience + location + recency
     return F.greatest(F.lit(0.0), F.least(F.lit(10.0), one_decimal(raw)))
-
-
-def masks(flags: list[Column]) -> list[Column]:
-    """Flags packed into as few whole numbers as they need."""
-    packed = []
-    for start in range(0, max(len(flags), 1), _MASK_BITS):
-        total = F.lit(0).cast("long")
-        for bit, flag in enumerate(flags[start : start + _MASK_BITS]):
-            total = total + F.when(flag, F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long"))
-        packed.append(total)
-    return packed

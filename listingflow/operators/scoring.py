@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from listingflow.functions import score as S
 from listingflow.functions.score import ScoreRules
 from listingflow.operators.once import once
+from listingflow.scratch import materialize
 
 SCORE_COLUMNS = [
     "score", "reason", "role_score", "skills_score", "experience_score",
@@ -43,21 +44,28 @@ def score_listings(
     # Long texts are normalised and searched once per row; what follows is arithmetic
     # on the outcome, so a later filter on the score copies nothing costly.
     texts = once(listings, {"_title": title, "_desc": description, "_p": features})
+    texts = once(
+        texts,
+        {
+            "_both": F.concat_ws(" ", "_title", "_desc"),
+            "_lexicon": S.lexicon_index("category", rules),
+        },
+    )
     p = F.col("_p")
-    hits = S.role_hits(F.col("_title"), F.col("_desc"), rules)
+    desc = F.col("_desc")
     parts = once(
         texts,
         {
-            **{f"_hit{i}": hit for i, hit in enumerate(hits)},
-            "_skills": S.matched_skills("category", F.col("_desc"), p["known"], rules),
-            "_need": S.required_years(F.col("_desc"), rules),
-            "_size": S.lexicon_size("category", rules),
+            "_hits": S.role_hits(F.col("_both"), rules),
+            "_found": F.filter(F.get(p["known"], F.col("_lexicon")), lambda t: F.contains(desc, t)),
+            "_need": S.required_years(desc, rules),
+            "_size": S.lexicon_size(F.col("_lexicon"), rules),
             "_place": S.location_part("location", rules),
             "_fresh": S.recency_part(S.posted_date(posted, _is_date(listings, posted)), as_of),
         },
     )
-    flags = [F.col(f"_hit{i}") for i in range(len(rules.roles))]
-    matched = F.when(F.col("_skills") == "", F.lit(0)).otherwise(F.size(F.split("_skills", ", ")))
+    flags = [F.col("_hits")[i] for i in range(len(rules.roles))]
+    matched = F.size("_found")
     parts = once(
         parts,
         {
@@ -71,8 +79,8 @@ def score_listings(
             "_rec": S.weighted(F.col("_fresh"), rules.recency_weight),
         },
     )
-    shown = F.substring_index("_skills", ", ", rules.shown_skills)
-    skill_note = F.when(F.col("_skills") == "", F.lit("No skill match")).otherwise(
+    shown = F.array_join(F.slice("_found", 1, rules.shown_skills), ", ")
+    skill_note = F.when(F.col("_matched") == 0, F.lit("No skill match")).otherwise(
         F.concat(
             F.lit("Matched "), F.col("_matched").cast("string"), F.lit("/"),
             F.col("_size").cast("string"), F.lit(" skills: "), shown,
@@ -135,79 +143,68 @@ def top_per_profile(
     title, description = S.normalized_texts("title", "description")
     texts = once(
         listings.select(ord_col, "category", "location", posted, "title", "description"),
-        {"_title": title, "_desc": description},
+        {"_title": title, "_desc": description, "lexicon": S.lexicon_index("category", rules)},
     )
-    names = list(rules.lexicons)
-    lexicon = F.lit(names.index(rules.default_category))
-    for i, name in enumerate(names):
-        lexicon = F.when(F.col("category") == name, F.lit(i)).otherwise(lexicon)
-    widest = max(len(S.masks([F.lit(True)] * len(t))) for t in rules.lexicons.values())
-
-    def skill_masks(terms) -> Column:
-        packed = S.masks([F.contains(F.col("_desc"), F.lit(t)) for t in terms])
-        packed += [F.lit(0).cast("long")] * (widest - len(packed))
-        return F.array(*packed)
-
+    texts = once(texts, {"_both": F.concat_ws(" ", "_title", "_desc")})
     signature = once(
         texts,
         {
-            "roles": S.masks(S.role_hits(F.col("_title"), F.col("_desc"), rules))[0],
-            "lexicon": lexicon,
-            "skills": S.by_category("category", rules, skill_masks),
+            "roles": S.role_hits(F.col("_both"), rules),
+            "skills": S.skill_masks(F.col("_desc"), F.col("lexicon"), rules),
             "need": S.required_years(F.col("_desc"), rules),
             "place": S.location_part("location", rules),
             "fresh": S.recency_part(S.posted_date(posted, _is_date(listings, posted)), as_of),
         },
     )
     sig_cols = ["roles", "lexicon", "skills", "need", "place", "fresh"]
-    # The k earliest rows of each signature; limited per task before the shuffle.
+    # The k earliest rows of each signature; limited per task before the shuffle. Rows
+    # of one signature differ in ``ord`` only, so the first ``ord`` names the group.
     w = Window.partitionBy(*sig_cols).orderBy(F.col(ord_col))
-    earliest = signature.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
-    groups = earliest.groupBy(*sig_cols).agg(F.sort_array(F.collect_list(ord_col)).alias("ords"))
+    earliest = signature.select(*sig_cols, ord_col, F.row_number().over(w).alias("_n")).where(F.col("_n") <= k)
+    groups = materialize(
+        earliest.groupBy(*sig_cols).agg(
+            F.min(ord_col).alias("first_ord"), F.collect_list(ord_col).alias("ords")
+        ),
+        "signatures",
+    )
 
-    featured = profile_table(profiles, rules, text).select(
+    features = profile_table(profiles, rules, text).select(
         profile_id, F.col("features")["role_values"].alias("role_values"),
-        F.col("features")["known"].alias("known"), F.col("features")["years"].alias("years"),
-    )
-    index = {t: i for i, t in enumerate(rules.terms)}
-    known_by_lexicon = []
-    for terms in rules.lexicons.values():
-        packed = S.masks([F.col("known")[index[t]] for t in terms])
-        packed += [F.lit(0).cast("long")] * (widest - len(packed))
-        known_by_lexicon.append(F.array(*packed))
-    features = featured.select(
-        profile_id, "role_values", "years", F.array(*known_by_lexicon).alias("known")
+        S.known_masks(F.col("features")["known"], rules).alias("known"),
+        F.col("features")["years"].alias("years"),
     )
     feature_cols = ["role_values", "years", "known"]
-    kinds = features.select(*feature_cols).distinct()
+    kinds = materialize(
+        features.groupBy(*feature_cols).agg(
+            F.min(profile_id).alias("kind"), F.collect_list(profile_id).alias("members")
+        ),
+        "profiles",
+    )
 
     # Every kind of profile is compared with every kind of listing: the sides are
     # matched bucket by bucket, and no side is collected or forced into a broadcast.
     buckets = 8
-    left = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_b"))
-    right = kinds.withColumn("_b", F.pmod(F.xxhash64(*feature_cols), F.lit(buckets)).cast("int"))
-    flags = [F.col("roles").bitwiseAND(F.lit(1 << i)) != 0 for i in range(len(rules.roles))]
+    left = groups.drop("ords").select("*", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_b"))
+    right = kinds.drop("members").withColumn("_b", F.pmod(F.xxhash64("kind"), F.lit(buckets)).cast("int"))
+    flags = [F.col("roles")[i] for i in range(len(rules.roles))]
     matched = F.lit(0)
-    for i in range(widest):
+    for i in range(S.mask_words(rules)):
         mine = F.get("known", F.col("lexicon"))[i]
         matched = matched + F.bit_count(mine.bitwiseAND(F.col("skills")[i]))
-    sizes = F.array(*[F.lit(max(len(t), 1)) for t in rules.lexicons.values()])
     total = S.total_score(
         S.weighted(S.role_part(flags, F.col("role_values")), rules.role_weight),
-        S.weighted(matched.cast("double") / F.get(sizes, F.col("lexicon")), rules.skills_weight),
+        S.weighted(matched.cast("double") / F.greatest(S.lexicon_size(F.col("lexicon"), rules), F.lit(1)), rules.skills_weight),
         S.weighted(S.experience_part(F.col("years"), F.col("need")), rules.experience_weight),
         S.weighted(F.col("place"), rules.location_weight),
         S.weighted(F.col("fresh"), rules.recency_weight),
     )
-    scored = left.join(right, "_b").select(
-        *feature_cols, "ords", F.col("ords")[0].alias("first_ord"), total.alias("score")
-    )
-    best = Window.partitionBy(*feature_cols).orderBy(F.col("score").desc(), F.col("first_ord"))
+    scored = left.join(right, "_b").select("kind", "first_ord", total.alias("score"))
+    best = Window.partitionBy("kind").orderBy(F.col("score").desc(), F.col("first_ord"))
     top_groups = scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
-    rows = top_groups.select(*feature_cols, "score", F.explode("ords").alias(ord_col))
-    rank = Window.partitionBy(*feature_cols).orderBy(F.col("score").desc(), F.col(ord_col))
-    ranked = rows.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-    packed = ranked.groupBy(*feature_cols).agg(
-        F.collect_list(F.struct("rank", ord_col, "score")).alias("_best")
+    rows = top_groups.join(groups.select("first_ord", "ords"), "first_ord").select(
+        "kind", "score", F.explode("ords").alias(ord_col)
     )
-    return features.join(packed, feature_cols).select(profile_id, F.inline("_best"))
+    rank = Window.partitionBy("kind").orderBy(F.col("score").desc(), F.col(ord_col))
+    ranked = rows.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    members = kinds.select("kind", F.explode("members").alias(profile_id))
+    return members.join(ranked, "kind").select(profile_id, "rank", ord_col, "score")

@@ -253,7 +253,7 @@ def application_rows(spark, d):
   {" + ".join(f"CASE WHEN contains(lower(text), {sql_text(t)}) THEN 1 ELSE 0 END" for t in RULES.terms)} AS known, '3' AS years FROM benchmark""")
 def profile_features(spark, d):
     f = scoring.profile_table(table(spark, d, "benchmark"), RULES)
-    known = F.size(F.filter(F.col("features")["known"], lambda x: x))
+    known = F.size(F.array_distinct(F.flatten(F.col("features")["known"])))
     return f.select(
         "item_id", *[F.col("features")["role_values"][i].alias(f"role{i}") for i in range(len(RULES.roles))],
         known.alias("known"), F.col("features")["years"].alias("years"),
