@@ -38,7 +38,7 @@ def listings(spark: SparkSession, sf_dir: str, description: bool = True) -> Data
     read = lambda name: table(spark, sf_dir, name)
     orders, part, supplier = read("orders"), read("part"), read("supplier")
     documents = read("documents")
-    rows = spread(spark, sf_dir, "orders") if description else orders
+    rows = spread(spark, sf_dir, "orders")
     base = rows.select(
         F.col("o_orderkey").alias("ord"),
         ((F.col("o_custkey") * 13) % row_count(part)).alias("p_partkey"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listingflow.operators import health, search, stats
-from listingflow.plans.driver_tables import AS_OF, LISTINGS_SQL, RUNS_SQL, SEARCH_SQL, as_of, listings, runs, search_rows, table
+from listingflow.plans.driver_tables import AS_OF, LISTINGS_SQL, RUNS_SQL, SEARCH_SQL, as_of, listings, runs, search_rows, spread, table
 from listingflow.plans.registry import query
 from listingflow.sources import html as H
 from listingflow.sources import stores
@@ -177,7 +177,7 @@ def mode_locations(spark, d):
   CASE WHEN {_K} = 0 THEN '' ELSE event_type END AS company FROM events""")
 def embedded_json(spark, d):
     """Rows of a JSON object after a script marker, with trailing page text."""
-    e = table(spark, d, "events").withColumn("_k", _k())
+    e = spread(spark, d, "events").withColumn("_k", _k())
     row = F.to_json(
         F.struct(
             F.col("_k").cast("string").alias("jk"), F.concat(F.lit("page-"), F.col("event_id").cast("string")).alias("title"),

@@ -328,7 +328,9 @@ def recommend_topn(spark, d):
 @query("prefix_until_n", f"""{SCORED}, cut AS (SELECT CASE WHEN count(*) >= 40 THEN max(ord) END AS c FROM (SELECT ord FROM scored WHERE score >= {MIN_SCORE} ORDER BY ord LIMIT 40))
 SELECT ord, title, score FROM scored, cut WHERE ord <= coalesce(c, ord)""")
 def prefix_until_n(spark, d):
-    return topk.prefix_until(_scored(spark, d), 40, MIN_SCORE).select("ord", "title", "score")
+    # Scores are written once; finding the cut and reading the prefix are two cheap scans.
+    scored = materialize(_scored(spark, d).select("ord", "title", "score"), "scored")
+    return topk.prefix_until(scored, 40, MIN_SCORE)
 
 
 @query("recommended_average", f"{SCORED} SELECT count(*) AS n, floor(sum(score::DECIMAL(28,6))::DOUBLE / count(*) * 100 + 0.5::DOUBLE) / 100 AS avg_score FROM scored WHERE score >= {MIN_SCORE}")

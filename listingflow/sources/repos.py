@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from listingflow.functions.text import readme_preview, text_or_empty
 from listingflow.sources.stores import read_json_array
 
-REPO_SCHEMA = T.StructType.fromDDL(
+REPO_SCHEMA = (
     "name string, description string, html_url string, language string, updated_at string, "
     "stargazers_count bigint, fork boolean, topics array<string>, languages array<string>, content string"
 )

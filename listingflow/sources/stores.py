@@ -23,7 +23,7 @@ LISTING_SCHEMA = T.StructType(
         )
     ]
 )
-SCORE_SCHEMA = T.StructType.fromDDL(
+SCORE_SCHEMA = (
     "title string, company string, category string, score double, reason string, "
     "role_score double, skills_score double, experience_score double, "
     "location_score double, recency_score double"
@@ -37,7 +37,7 @@ FETCH_STATS_DDL = (
     "queries bigint, pages_scraped bigint, jobs_found bigint, duplicates bigint, "
     "failed_requests bigint, early_stopped bigint, total_duration double, avg_duration double"
 )
-RUN_STATS_SCHEMA = T.StructType.fromDDL(
+RUN_STATS_SCHEMA = (
     "date string, runtime_seconds double, total_scraped bigint, total_scored bigint, "
     f"recommended bigint, sources map<string,struct<{FETCH_STATS_DDL.replace(' bigint', ':bigint').replace(' double', ':double')}>>"
 )
@@ -49,16 +49,22 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return fs.globStatus(hadoop_path) is not None and len(fs.globStatus(hadoop_path)) > 0
 
 
+def _struct(schema: T.StructType | str) -> T.StructType:
+    """A schema given as text is parsed here, where a session exists."""
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
 def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def read_json_array(spark: SparkSession, path: str, schema: T.StructType = LISTING_SCHEMA) -> DataFrame:
+def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str = LISTING_SCHEMA) -> DataFrame:
     """JSON array files; a missing path gives an empty table, broken records are dropped.
 
     This is the interchange format. One file is one split, so large stores belong
     in parquet (``read_store``).
     """
+    schema = _struct(schema)
     if not _path_exists(spark, path):
         return _empty(spark, schema)
     with_bad = T.StructType(schema.fields + [T.StructField("_corrupt", T.StringType())])
@@ -72,8 +78,9 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType = LISTI
     return raw.where(F.col("_corrupt").isNull()).drop("_corrupt")
 
 
-def read_store(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_store(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Parquet table, or an empty one with the same columns where it does not exist yet."""
+    schema = _struct(schema)
     if not _path_exists(spark, path):
         return _empty(spark, schema)
     return spark.read.schema(schema).parquet(path)
@@ -142,7 +149,7 @@ def read_health(spark: SparkSession, path: str) -> DataFrame:
     return parse_keyed_map(spark.read.text(path, wholetext=True), "value", HEALTH_TYPE, "source")
 
 
-def read_rules(spark: SparkSession, path: str, schema: T.StructType, defaults: dict[str, object] | None = None) -> DataFrame:
+def read_rules(spark: SparkSession, path: str, schema: T.StructType | str, defaults: dict[str, object] | None = None) -> DataFrame:
     """A rule or configuration object with typed fields; absent ones take their default."""
     df = read_json_array(spark, path, schema)
     for name, value in (defaults or {}).items():
