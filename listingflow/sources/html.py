@@ -31,8 +31,8 @@ class Field:
 
 def landed_pages(spark, path: str) -> DataFrame:
     """Landed raw pages from files, gzipped or not; one row per file."""
-    return spark.read.format("binaryFile").load(path).select(
-        F.col("path").alias("url"), F.make_valid_utf8(F.col("content").cast("string")).alias("html")
+    return spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("url"), F.make_valid_utf8("value").alias("html")
     )
 
 
