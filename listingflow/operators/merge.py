@@ -39,14 +39,15 @@ def merge_new(
     equi anti-joins in a row, never one OR-join. Within the batch the first-seen
     rule applies with the same two keys; a blank id is not a key.
     """
-    fresh = drop_private(batch)
+    # The keys alone go through the joins and rounds; wide rows are picked once at the end.
+    fresh = batch.select(ord_col, id_col, *content)
     fresh = anti_join(fresh, store, [id_col], ord_col, blank_never_matches=True)
     fresh = anti_join(fresh, store, list(content), ord_col)
     keys = {
         "id_key": F.nullif(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("")),
         "content_key": exact_key(*content),
     }
-    return pick_rows(fresh, kept_ords(fresh, keys, ord_col), ord_col)
+    return pick_rows(drop_private(batch), kept_ords(fresh, keys, ord_col), ord_col)
 
 
 def unscored(

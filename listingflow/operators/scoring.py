@@ -174,18 +174,17 @@ def top_per_profile(
         F.col("features")["years"].alias("years"),
     )
     feature_cols = ["role_values", "years", "known"]
+    features = features.withColumn("digest", F.sha2(F.to_json(F.struct(*feature_cols)), 256))
+    # One profile stands for all with the same features; they are never collected.
     kinds = materialize(
-        features.groupBy(*feature_cols).agg(
-            F.min(profile_id).alias("kind"), F.collect_list(profile_id).alias("members")
-        ),
-        "profiles",
+        features.groupBy("digest", *feature_cols).agg(F.min(profile_id).alias("kind")), "profiles"
     )
 
     # Every kind of profile is compared with every kind of listing: the sides are
     # matched bucket by bucket, and no side is collected or forced into a broadcast.
     buckets = 8
     left = groups.drop("ords").select("*", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_b"))
-    right = kinds.drop("members").withColumn("_b", F.pmod(F.xxhash64("kind"), F.lit(buckets)).cast("int"))
+    right = kinds.drop("digest").withColumn("_b", F.pmod(F.xxhash64("kind"), F.lit(buckets)).cast("int"))
     flags = [F.col("roles")[i] for i in range(len(rules.roles))]
     matched = F.lit(0)
     for i in range(S.mask_words(rules)):
@@ -206,5 +205,7 @@ def top_per_profile(
     )
     rank = Window.partitionBy("kind").orderBy(F.col("score").desc(), F.col(ord_col))
     ranked = rows.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-    members = kinds.select("kind", F.explode("members").alias(profile_id))
-    return members.join(ranked, "kind").select(profile_id, "rank", ord_col, "score")
+    answers = ranked.join(kinds.select("kind", "digest"), "kind")
+    return features.select(profile_id, "digest").join(answers, "digest").select(
+        profile_id, "rank", ord_col, "score"
+    )
