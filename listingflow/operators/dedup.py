@@ -8,22 +8,24 @@ whose nodes are key values. Each round keeps the rows that are first in every on
 of their key groups, then drops the rows that share a key with a kept one. Most
 inputs are settled in a few rounds. Rounds work on key digests only, never on the
 wide rows.
+
+Long alternating chains, in which each row shares one key with the row before and
+another with the row after, would cost a round per two links. A row with exactly one
+earlier undecided neighbour is kept if and only if that neighbour is not, so chains
+of such rows are followed by pointer doubling, in as many joins as the logarithm of
+the longest chain.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listingflow.functions.text import content_fingerprint, url_fingerprint
 from listingflow.operators.keys import pick_rows
-from listingflow.scratch import materialize
-
-TAIL_ROWS = 20_000
-TAIL_AFTER = 3
+from listingflow.scratch import discard, materialize
 
 
 def listing_keys(
@@ -36,92 +38,118 @@ def listing_keys(
     }
 
 
-def _greedy(names: list[str], ord_col: str):
-    """Sequential rule over the few rows that are left, in arrival order."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: list[set] = [set() for _ in names]
-        for batch in batches:
-            kept = []
-            for row in zip(batch[ord_col], *[batch[n] for n in names]):
-                if any(value in s for value, s in zip(row[1:], seen)):
-                    continue
-                for value, s in zip(row[1:], seen):
-                    s.add(value)
-                kept.append(row[0])
-            yield pd.DataFrame({ord_col: pd.Series(kept, dtype="int64")})
-
-    return run
-
-
-def kept_ords(
-    df: DataFrame,
-    keys: Mapping[str, Column],
-    ord_col: str = "ord",
-    tail_rows: int = TAIL_ROWS,
-    tail_after: int = TAIL_AFTER,
-) -> DataFrame:
+def _firsts(undecided: DataFrame, names: list[str], ord_col: str) -> DataFrame:
+    """Rows that are first in all their key groups."""
+    winners: DataFrame | None = None
+    for n in names:
+        first = undecided.groupBy(n).agg(F.min(ord_col).alias(ord_col))
+        winners = first if winners is None else winners.join(first, ord_col)
+    return winners.select(ord_col, *names)
+
+
+def _pointers(undecided: DataFrame, names: list[str], ord_col: str) -> DataFrame:
+    """``(ord, p)`` of every row with exactly one earlier neighbour ``p``: it is second in
+    one key group and first in the others. Minima are combined before each shuffle."""
+    ranked = undecided
+    for i, n in enumerate(names):
+        first = undecided.groupBy(n).agg(F.min(ord_col).alias("_first"))
+        later = undecided.join(first, n).where(F.col(ord_col) > F.col("_first"))
+        second = later.groupBy(n).agg(F.min("_first").alias(f"_p{i}"), F.min(ord_col).alias(ord_col))
+        # A row is first (absent here), second (with its neighbour) or later (no neighbour known).
+        late = later.select(ord_col, F.lit(1).alias(f"_l{i}")).join(
+            second.select(ord_col, f"_p{i}"), ord_col, "left"
+        )
+        ranked = ranked.join(late, ord_col, "left")
+    behind = sum((F.coalesce(F.col(f"_l{i}"), F.lit(0)) for i in range(len(names))), F.lit(0))
+    only = F.coalesce(*[F.col(f"_p{i}") for i in range(len(names))])
+    return ranked.where(behind == 1).select(ord_col, only.alias("p")).where("p is not null")
+
+
+def _chained(undecided: DataFrame, winners: DataFrame, names: list[str], ord_col: str) -> DataFrame:
+    """Rows kept because the chain before them ends, an even number of rows away, at a
+    row that is first in all its groups."""
+    jumps = materialize(
+        _pointers(undecided, names, ord_col).select(ord_col, "p", F.lit(1).alias("steps"), F.lit(False).alias("end")),
+        "dedup-jumps",
+    )
+    while True:
+        target = jumps.select(F.col(ord_col).alias("p"), F.col("p").alias("_p"), F.col("steps").alias("_s"), F.col("end").alias("_e"))
+        open_jumps = jumps.where(~F.col("end")).join(target, "p", "left")
+        moved = materialize(
+            jumps.where("end").unionByName(
+                open_jumps.select(
+                    ord_col,
+                    F.coalesce("_p", "p").alias("p"),
+                    ((F.col("steps") + F.coalesce("_s", F.lit(0))) % 2).cast("int").alias("steps"),
+                    (F.col("_p").isNull() | F.coalesce("_e", F.lit(False))).alias("end"),
+                )
+            ),
+            "dedup-jumps",
+        )
+        discard(jumps)
+        jumps = moved
+        if jumps.where(~F.col("end")).isEmpty():
+            break
+    kept = jumps.where("steps = 0").join(winners.select(F.col(ord_col).alias("p")), "p", "left_semi").select(ord_col)
+    return pick_rows(undecided, kept, ord_col).select(ord_col, *names)
+
+
+#: Rounds before chains are followed: most inputs need no more.
+PLAIN_ROUNDS = 2
+
+
+def kept_ords(df: DataFrame, keys: Mapping[str, Column], ord_col: str = "ord") -> DataFrame:
     """``ord`` of every row the first-seen rule keeps.
 
     A null key is exempt. Rows equal in all keys are reduced to their first before
-    anything else, with map-side combine, so a group of copies costs one row. When,
-    after ``tail_after`` rounds, at most ``tail_rows`` rows are undecided (counted,
-    so the bound is proven), one task applies the sequential rule to them: long
-    alternating chains then need no round per link. Above that the rounds go on
-    until nothing is undecided; no row is ever left out.
+    anything else, with map-side combine, so a group of copies costs one row. Rounds go
+    on until nothing is undecided; the plan is the same at every size and no row is ever
+    left out.
     """
     names = list(keys)
     keyed = df.select(F.col(ord_col).cast("long").alias(ord_col), *[c.alias(n) for n, c in keys.items()])
     pairs = keyed.groupBy(*names).agg(F.min(ord_col).alias(ord_col))
-    # A row without a key is alone in a group of its own for that key.
-    own = F.concat(F.lit("ord:"), F.col(ord_col).cast("string"))
+    # A row without a key is alone in a group of its own for that key. The prefixes keep
+    # its stand-in apart from every real value.
+    own = F.concat(F.lit("o:"), F.col(ord_col).cast("string"))
     # Rows without any key are all kept and must not be reduced to one.
     all_null = F.lit(True)
     for n in names:
         all_null = all_null & F.col(n).isNull()
     free = keyed.where(all_null).select(ord_col)
     undecided = materialize(
-        pairs.where(~all_null).select(ord_col, *[F.coalesce(F.col(n), own).alias(n) for n in names]),
+        pairs.where(~all_null).select(
+            ord_col, *[F.coalesce(F.concat(F.lit("v:"), F.col(n).cast("string")), own).alias(n) for n in names]
+        ),
         "dedup-start",
     )
     kept = free
     rounds = 0
     while True:
-        winners: DataFrame | None = None
-        for n in names:
-            firsts = undecided.groupBy(n).agg(F.min(ord_col).alias(ord_col))
-            winners = firsts if winners is None else winners.join(firsts, ord_col)
-        winners = materialize(winners.select(ord_col, *names), "dedup-winners")
+        winners = materialize(_firsts(undecided, names, ord_col), "dedup-winners")
+        if rounds >= PLAIN_ROUNDS:
+            chained = _chained(undecided, winners, names, ord_col)
+            winners = materialize(winners.unionByName(chained), "dedup-winners")
         kept = kept.union(winners.select(ord_col))
         rest = undecided
         for n in names:
             rest = rest.join(winners.select(n), n, "left_anti")
-        undecided = materialize(rest.select(ord_col, *names), "dedup-rest")
+        after = materialize(rest.select(ord_col, *names), "dedup-rest")
+        discard(undecided)
+        undecided = after
         rounds += 1
-        left = undecided.count()
-        if left == 0:
+        if undecided.isEmpty():
             return kept
-        if left <= tail_rows and rounds >= tail_after:
-            tail = (
-                undecided.coalesce(1)
-                .sortWithinPartitions(ord_col)
-                .mapInPandas(_greedy(names, ord_col), f"{ord_col} long")
-            )
-            return kept.union(tail)
-
-
-def first_seen(
-    df: DataFrame, keys: Mapping[str, Column] | None = None, ord_col: str = "ord", **limits
-) -> DataFrame:
+
+
+def first_seen(df: DataFrame, keys: Mapping[str, Column] | None = None, ord_col: str = "ord") -> DataFrame:
     """Rows kept by the first-seen rule, with all their columns."""
-    return pick_rows(df, kept_ords(df, keys or listing_keys(), ord_col, **limits), ord_col)
+    return pick_rows(df, kept_ords(df, keys or listing_keys(), ord_col), ord_col)
 
 
-def first_seen_counts(
-    df: DataFrame, keys: Mapping[str, Column] | None = None, ord_col: str = "ord", **limits
-) -> DataFrame:
+def first_seen_counts(df: DataFrame, keys: Mapping[str, Column] | None = None, ord_col: str = "ord") -> DataFrame:
     """One row: how many rows came in, were kept, and were duplicates."""
-    kept = kept_ords(df, keys or listing_keys(), ord_col, **limits)
+    kept = kept_ords(df, keys or listing_keys(), ord_col)
     flags = df.select(F.lit(1).alias("total"), F.lit(0).alias("kept")).unionAll(
         kept.select(F.lit(0).alias("total"), F.lit(1).alias("kept"))
     )

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _join_key(parts: Sequence[Column], blank: Column | None, ord_col: Column | None) -> Column:
-    """A struct key. Rows without a key get their own ``ord`` as a second part, so
+def join_key(parts: Sequence[Column], blank: Column | None = None, ord_col: Column | None = None) -> Column:
+    """A struct key; a missing part is an empty one. Rows without a key get their own ``ord`` as a second part, so
     they match nothing and spread over all partitions instead of filling one."""
     values = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
     own = F.lit(-1).cast("long")
@@ -28,9 +28,14 @@ def anti_join(
     keys: Sequence[str],
     ord_col: str = "ord",
     blank_never_matches: bool = False,
+    small_left: bool = False,
 ) -> DataFrame:
     """Rows of ``left`` whose key is absent from ``right``.
 
+    With ``small_left``, as for a micro-batch against its store, the right side is first cut
+    down to keys that the left side has. Where Spark finds the left keys small enough to
+    broadcast, the store is only scanned and never shuffled.
+
     The right side is reduced to distinct keys with map-side combine. The join key
     is a struct, which no earlier exchange is partitioned by: both inputs of the
     join are then plain shuffle stages, and adaptive execution can split a hot key
@@ -45,9 +50,12 @@ def anti_join(
     known = right.select(*keys)
     if blank_right is not None:
         known = known.where(~blank_right)
-    known = known.distinct().select(_join_key([F.col(k) for k in keys], None, None).alias("_key"))
+    if small_left:
+        wanted = left.select(join_key([F.col(k) for k in keys]).alias("_want")).distinct()
+        known = known.join(wanted, join_key([F.col(k) for k in keys]) == F.col("_want"), "left_semi")
+    known = known.distinct().select(join_key([F.col(k) for k in keys]).alias("_key"))
     probe = left.withColumn(
-        "_key", _join_key([F.col(k) for k in keys], blank_left, F.col(ord_col))
+        "_key", join_key([F.col(k) for k in keys], blank_left, F.col(ord_col))
     )
     return probe.join(known, "_key", "left_anti").drop("_key")
 
@@ -58,13 +66,18 @@ def pick_rows(df: DataFrame, chosen: DataFrame, ord_col: str = "ord") -> DataFra
     return df.join(chosen.select(ord_col), ord_col, "left_semi")
 
 
+def _plain(keys: Sequence[str]) -> list[Column]:
+    """Key columns in which a missing part is an empty one, as in ``join_key``."""
+    return [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_k{i}") for i, k in enumerate(keys)]
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], ord_col: str = "ord") -> DataFrame:
     """The earliest row of every key: minimum with map-side combine, then a join on ``ord``."""
-    firsts = df.groupBy(*keys).agg(F.min(ord_col).alias(ord_col))
+    firsts = df.groupBy(*_plain(keys)).agg(F.min(ord_col).alias(ord_col))
     return pick_rows(df, firsts, ord_col)
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], ord_col: str = "ord") -> DataFrame:
     """The last written row of every key."""
-    lasts = df.groupBy(*keys).agg(F.max(ord_col).alias(ord_col))
+    lasts = df.groupBy(*_plain(keys)).agg(F.max(ord_col).alias(ord_col))
     return pick_rows(df, lasts, ord_col)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from listingflow.functions.text import exact_key, slug
 from listingflow.operators.dedup import kept_ords
-from listingflow.operators.keys import anti_join, first_per_key, latest_per_key, pick_rows
+from listingflow.operators.keys import anti_join, first_per_key, join_key, latest_per_key, pick_rows
 
 
 def drop_private(df: DataFrame) -> DataFrame:
@@ -18,10 +18,16 @@ def drop_private(df: DataFrame) -> DataFrame:
 
 
 def union_sources(frames: Sequence[DataFrame], ord_col: str = "ord", stride: int = 1 << 48) -> DataFrame:
-    """Concatenate sources in the given order; ``ord`` keeps the order within each."""
+    """Concatenate sources in the given order; ``ord`` keeps the order within each.
+
+    An ``ord`` outside ``0 .. stride - 1`` would run into another source's range, so it
+    fails the job.
+    """
     out: DataFrame | None = None
+    outside = F.raise_error(F.concat(F.lit("ord out of range: "), F.col(ord_col).cast("string"))).cast("long")
+    fits = (F.col(ord_col) >= 0) & (F.col(ord_col) < stride)
     for i, frame in enumerate(frames):
-        placed = frame.withColumn(ord_col, F.col(ord_col) + F.lit(i * stride))
+        placed = frame.withColumn(ord_col, F.when(fits, F.col(ord_col) + F.lit(i * stride)).otherwise(outside))
         out = placed if out is None else out.unionByName(placed, allowMissingColumns=True)
     return out
 
@@ -32,6 +38,7 @@ def merge_new(
     id_col: str = "job_id",
     content: Sequence[str] = ("title", "company", "location"),
     ord_col: str = "ord",
+    small_batch: bool = False,
 ) -> DataFrame:
     """Rows of ``batch`` to append to ``store``.
 
@@ -41,8 +48,8 @@ def merge_new(
     """
     # The keys alone go through the joins and rounds; wide rows are picked once at the end.
     fresh = batch.select(ord_col, id_col, *content)
-    fresh = anti_join(fresh, store, [id_col], ord_col, blank_never_matches=True)
-    fresh = anti_join(fresh, store, list(content), ord_col)
+    fresh = anti_join(fresh, store, [id_col], ord_col, blank_never_matches=True, small_left=small_batch)
+    fresh = anti_join(fresh, store, list(content), ord_col, small_left=small_batch)
     keys = {
         "id_key": F.nullif(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("")),
         "content_key": exact_key(*content),
@@ -56,10 +63,11 @@ def unscored(
     keys: Sequence[str] = ("title", "company"),
     dedup_in_batch: bool = False,
     ord_col: str = "ord",
+    small_batch: bool = False,
 ) -> DataFrame:
     """Listings whose title and company have no score yet. With ``dedup_in_batch``
     only the first of equal (title, company) rows is returned."""
-    fresh = anti_join(listings, cache, list(keys), ord_col)
+    fresh = anti_join(listings, cache, list(keys), ord_col, small_left=small_batch)
     return first_per_key(fresh, list(keys), ord_col) if dedup_in_batch else fresh
 
 
@@ -71,17 +79,17 @@ def lookup_latest(
 ) -> DataFrame:
     """Attach the last stored row of the same key; ``found`` says whether there is one.
 
-    Store columns come back with the prefix ``store_``.
+    Store columns come back with the prefix ``store_``. A missing key part is an empty one.
     """
     last = latest_per_key(store, list(keys), ord_col)
+    key = join_key([F.col(k) for k in keys]).alias("_key")
     renamed = last.select(
-        *[F.col(k).alias(k) for k in keys],
+        key,
         *[F.col(c).alias(f"store_{c}") for c in store.columns if c not in keys],
         F.lit(True).alias("found"),
     )
-    return left.join(renamed, list(keys), "left").withColumn(
-        "found", F.coalesce("found", F.lit(False))
-    )
+    joined = left.select("*", key).join(renamed, "_key", "left").drop("_key")
+    return joined.withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def progress_key(company: str = "company", title: str = "title"):
@@ -109,11 +117,15 @@ def reuse_lookup(rows: DataFrame, results: DataFrame, ord_col: str = "ord") -> D
     """Folder of an earlier result with the same category and title, and within the
     batch the first row that will produce it."""
     keyed = rows.withColumn("reuse_key", reuse_key())
-    earlier = results.groupBy("reuse_key").agg(F.min("folder").alias("reuse_folder"))
-    firsts = keyed.groupBy("reuse_key").agg(F.min(ord_col).alias("first_ord"))
+    # Struct keys: adaptive execution can split a key that most rows share.
+    key = join_key([F.col("reuse_key")]).alias("_key")
+    earlier = results.groupBy("reuse_key").agg(F.min("folder").alias("reuse_folder")).select(key, "reuse_folder")
+    firsts = keyed.groupBy("reuse_key").agg(F.min(ord_col).alias("first_ord")).select(key, "first_ord")
+    known = firsts.join(earlier, "_key", "left").select(F.struct(F.col("_key").alias("k")).alias("_key"), "reuse_folder", "first_ord")
     return (
-        keyed.join(earlier, "reuse_key", "left")
-        .join(firsts, "reuse_key")
+        keyed.select("*", F.struct(key.alias("k")).alias("_key"))
+        .join(known, "_key")
+        .drop("_key")
         .withColumn(
             "reuse_of",
             F.when(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from listingflow.defaults import DUPLICATE_STOP_SHARE, MAX_PAGES
 from listingflow.functions.text import col, form_encode, percent_encode, text_or_empty
-from listingflow.operators.keys import pick_rows
+from listingflow.operators.keys import join_key, pick_rows
 
 
 def location_variants(cities: Sequence[str], modes: dict[str, bool] | None = None) -> list[tuple[str, str]]:
@@ -94,12 +94,18 @@ def before_empty_page(pages: DataFrame, rows: str = "rows", task: str = "task",
         .agg(F.min(page).alias("stop_page"))
     )
     return (
-        pages.join(stop, task, "left")
+        _by_task(pages, stop, task, "stop_page")
         .where(F.col("stop_page").isNull() | (F.col(page) < F.col("stop_page")))
         .drop("stop_page")
     )
 
 
+def _by_task(rows: DataFrame, limits: DataFrame, task: str, limit: str) -> DataFrame:
+    """Attach a task's limit. The struct key lets adaptive execution split a hot task."""
+    key = join_key([F.col(task)]).alias("_key")
+    return rows.select("*", key).join(limits.select(key, limit), "_key", "left").drop("_key")
+
+
 def first_ids(rows: DataFrame, task: str = "task", job_id: str = "job_id", page: str = "page", ord_col: str = "ord") -> DataFrame:
     """(task, page, ord) of the first row of each id within its task; rows without an
     id are all first. The minimum is combined map-side, so a repeated id is cheap."""
@@ -135,7 +141,7 @@ def until_duplicates(rows: DataFrame, share: float = DUPLICATE_STOP_SHARE, task:
     """New rows of each task up to its duplicate cut; the cut page's new rows stay."""
     firsts = first_ids(rows, task, job_id, page, ord_col)
     cut = cut_pages(page_stats(rows, firsts, task, page), share, task, page)
-    kept = firsts.join(cut, task, "left").where(
+    kept = _by_task(firsts, cut, task, "cut_page").where(
         F.col("cut_page").isNull() | (F.col(page) <= F.col("cut_page"))
     )
     return pick_rows(rows, kept, ord_col)

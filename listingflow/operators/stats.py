@@ -18,16 +18,24 @@ def mean(c: str) -> Column:
 
 
 def fetch_stats(log: DataFrame) -> DataFrame:
-    """Per-source statistics of a fetch log with one row per fetched page."""
+    """Per-source statistics of a fetch log with one row per fetched page.
+
+    A page counts as read only if it came and had rows; a failed fetch has none. The
+    average duration is that of a search, all pages of one task.
+    """
+    came = ~F.coalesce("failed", F.lit(False))
+    of = lambda c: F.sum(F.when(came, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)))
     return log.groupBy("source").agg(
         F.count_distinct("task").alias("queries"),
-        F.count(F.lit(1)).alias("pages_scraped"),
-        F.coalesce(F.sum("rows") - F.sum("dups"), F.lit(0)).cast("long").alias("jobs_found"),
-        F.coalesce(F.sum("dups"), F.lit(0)).cast("long").alias("duplicates"),
+        F.count_if(came & (F.col("rows") > 0)).alias("pages_scraped"),
+        (of("rows") - of("dups")).cast("long").alias("jobs_found"),
+        of("dups").cast("long").alias("duplicates"),
         F.count_if("failed").alias("failed_requests"),
         F.count_if("early_stopped").alias("early_stopped"),
         F.coalesce(two_decimals(exact_sum("duration").cast("double")), F.lit(0.0)).alias("total_duration"),
-        F.coalesce(two_decimals(mean("duration")), F.lit(0.0)).alias("avg_duration"),
+        F.coalesce(
+            two_decimals(exact_sum("duration").cast("double") / F.nullif(F.count_distinct("task"), F.lit(0))), F.lit(0.0)
+        ).alias("avg_duration"),
     )
 
 

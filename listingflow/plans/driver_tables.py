@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingflow.sources.stores import read_spread
-
 AS_OF = "2001-08-01"
 
 
@@ -23,9 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same table for steps that cost much per row: a single small file still
-    occupies every core."""
-    return read_spread(spark, f"{sf_dir}/{name}.parquet")
+    """The table for steps that cost much per row. How many tasks read it is a matter of
+    file layout and ``spark.sql.files.maxPartitionBytes``, not of a shuffle here."""
+    return table(spark, sf_dir, name)
 
 
 def row_count(df: DataFrame) -> Column:

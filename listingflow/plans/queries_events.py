@@ -46,10 +46,11 @@ def _fetch_log(spark, d):
     )
 
 
-_STATS_COLS = """count(DISTINCT task) AS queries, count(*) AS pages_scraped, CAST(sum(rows) - sum(dups) AS BIGINT) AS jobs_found,
-  CAST(sum(dups) AS BIGINT) AS duplicates, count(*) FILTER (WHERE failed) AS failed_requests, count(*) FILTER (WHERE early_stopped) AS early_stopped,
+_STATS_COLS = """count(DISTINCT task) AS queries, count(*) FILTER (WHERE NOT failed AND rows > 0) AS pages_scraped,
+  CAST(coalesce(sum(rows - dups) FILTER (WHERE NOT failed), 0) AS BIGINT) AS jobs_found,
+  CAST(coalesce(sum(dups) FILTER (WHERE NOT failed), 0) AS BIGINT) AS duplicates, count(*) FILTER (WHERE failed) AS failed_requests, count(*) FILTER (WHERE early_stopped) AS early_stopped,
   floor(sum(duration::DECIMAL(28,6))::DOUBLE * 100 + 0.5::DOUBLE) / 100 AS total_duration,
-  floor(sum(duration::DECIMAL(28,6))::DOUBLE / count(duration) * 100 + 0.5::DOUBLE) / 100 AS avg_duration"""
+  floor(sum(duration::DECIMAL(28,6))::DOUBLE / count(DISTINCT task) * 100 + 0.5::DOUBLE) / 100 AS avg_duration"""
 
 
 @query("fetch_stats", f"WITH {_LOG} SELECT source, {_STATS_COLS} FROM log GROUP BY 1")

@@ -86,11 +86,12 @@ def _titled(spark, d):
 
 @query("layout_tag_json", f"""WITH {_TITLED} SELECT page_id, 0 AS pos, t AS title,
   CASE WHEN page_id % 3 = 0 THEN 'Firm ' || page_id ELSE 'Unknown Company' END AS company,
-  CASE WHEN page_id % 3 = 0 THEN 'here' ELSE 'loc' END AS location,
+  CASE WHEN page_id % 3 = 0 THEN 'here' WHEN page_id % 3 = 1 THEN 'loc' WHEN page_id % 2 = 0 THEN '' ELSE 'here' END AS location,
   CASE WHEN page_id % 3 = 0 THEN 'j' || page_id ELSE 'naukri_two_words_' END AS job_id,
   CASE WHEN page_id % 3 = 0 THEN 'https://www.naukri.com/job-details/j' || page_id ELSE '' END AS url FROM titled WHERE page_id % 3 = 0 OR t <> ''""")
 def layout_tag_json(spark, d):
-    """First layout: every third page carries JSON with a repeated id, the others cards."""
+    """First layout: every third page carries JSON with a repeated id behind a broken and an
+    empty tag; the others carry cards with a location, a blank one or none."""
     row = F.to_json(
         F.struct(
             F.concat(F.lit("j"), F.col("page_id").cast("string")).alias("jobId"), F.col("title").alias("jobTitle"),
@@ -98,13 +99,17 @@ def layout_tag_json(spark, d):
         )
     )
     tag = F.concat(
+        F.lit('<script type="application/json" id="__NEXT_DATA__">{"props":{"broken</script>'),
+        F.lit('<script type="application/json" id="__NEXT_DATA__">{"props":{"pageProps":{"jobList":[]}}}</script>'),
         F.lit('<script type="application/json" id="__NEXT_DATA__">{"props":{"pageProps":{"searchResults":{"jobDetails":[]},"jobList":['),
         row, F.lit(","), row, F.lit("]}}}</script>"),
     )
     escaped = F.replace(F.replace(F.col("title"), F.lit("<"), F.lit(" ")), F.lit(">"), F.lit(" "))
     card = F.concat(
         F.lit('<article class="x jobTuple y"><a class="title z" href="/q">'), escaped,
-        F.lit('</a><span class="loc"> loc </span></article>'),
+        F.lit("</a>"),
+        F.when(F.col("page_id") % 3 == 1, '<span class="loc"> loc </span>').when(F.col("page_id") % 2 == 0, '<span class="loc"> </span>').otherwise(""),
+        F.lit("</article>"),
     )
     pages = _titled(spark, d).select(
         "page_id", F.lit("two words").alias("keyword"), F.lit("here").alias("location_hint"),
@@ -115,14 +120,15 @@ def layout_tag_json(spark, d):
 
 
 @query("layout_beacon_cards", f"""WITH {_TITLED} SELECT page_id, 0 AS pos, CASE WHEN t = '' THEN 'Unknown Position' ELSE t END AS title, 'ACME & Co' AS company,
-  'here' AS location, 'indeed_k' || page_id AS job_id, 'https://b.example/viewjob?jk=k' || page_id AS url, 'short note' AS description FROM titled""")
+  CASE WHEN page_id % 2 = 0 THEN '' ELSE 'here' END AS location, 'indeed_k' || page_id AS job_id, 'https://b.example/viewjob?jk=k' || page_id AS url, 'short note' AS description FROM titled""")
 def layout_beacon_cards(spark, d):
     """Second layout without JSON: two equal cards per page, one listing."""
     escaped = F.replace(F.replace(F.col("title"), F.lit("<"), F.lit(" ")), F.lit(">"), F.lit(" "))
     card = F.concat(
         F.lit('<td><div class="job_seen_beacon"><h2 class="jobTitle"><a href="/viewjob?jk=k'), F.col("page_id").cast("string"),
         F.lit('&amp;x=1">'), F.replace(escaped, F.lit("&"), F.lit("&amp;")),
-        F.lit('</a></h2><span class="company"> ACME &amp; Co </span><div class="summary">short  <b>note</b></div> </div></td>'),
+        F.lit('</a></h2><span class="company"> ACME &amp; Co </span><div class="summary">short  <b>note</b></div>'),
+        F.when(F.col("page_id") % 2 == 0, '<div class="location"> <br> </div>').otherwise(""), F.lit(" </div></td>"),
     )
     pages = _titled(spark, d).select(
         "page_id", F.lit("two words").alias("keyword"), F.lit("here").alias("location_hint"), F.concat(card, card).alias("html")
@@ -131,22 +137,22 @@ def layout_beacon_cards(spark, d):
     return found.select("page_id", "pos", "title", "company", "location", "job_id", "url", "description")
 
 
-@query("layout_base_cards", f"""WITH {_TITLED} SELECT page_id, pos, CASE WHEN t = '' THEN 'Unknown Position' ELSE t END AS title, 'Firm' AS company, 'Town' AS location,
+@query("layout_base_cards", f"""WITH {_TITLED} SELECT page_id, pos, CASE WHEN t = '' THEN 'Unknown Position' ELSE t END AS title, 'Firm' AS company, CASE WHEN pos = 0 THEN 'Town' ELSE '' END AS location,
   CASE WHEN pos = 0 THEN 'linkedin_' || page_id ELSE 'linkedin_9' || page_id END AS job_id, url FROM titled, (VALUES (0), (1)) p(pos)""")
 def layout_base_cards(spark, d):
     """Third layout: one id from the attribute, one from the link."""
     escaped = F.replace(F.replace(F.col("title"), F.lit("<"), F.lit(" ")), F.lit(">"), F.lit(" "))
     pid = F.col("page_id").cast("string")
 
-    def card(attribute, view):
+    def card(attribute, view, town):
         return F.concat(
             F.lit('<li><div class="base-card job-search-card" '), attribute, F.lit('><a class="base-card__full-link x" href="'), F.col("url"),
             F.lit('"></a>'), view, F.lit('<h3 class="base-search-card__title"> '), F.replace(escaped, F.lit("&"), F.lit("&amp;")),
-            F.lit(' </h3><h4 class="base-search-card__subtitle"><a href="#"> Firm </a></h4><span class="job-search-card__location"> Town </span></div> </li>'),
+            F.lit(' </h3><h4 class="base-search-card__subtitle"><a href="#"> Firm </a></h4><span class="job-search-card__location"> '), F.lit(town), F.lit(' </span></div> </li>'),
         )
 
-    first = card(F.concat(F.lit('data-entity-urn="urn:li:jobPosting:'), pid, F.lit('"')), F.lit(""))
-    second = card(F.lit('data-x=""'), F.concat(F.lit("<i>/jobs/view/9"), pid, F.lit("</i>")))
+    first = card(F.concat(F.lit('data-entity-urn="urn:li:jobPosting:'), pid, F.lit('"')), F.lit(""), "Town")
+    second = card(F.lit('data-x=""'), F.concat(F.lit("<i>/jobs/view/9"), pid, F.lit("</i>")), "")
     pages = _titled(spark, d).select(
         "page_id", "url", F.lit("two words").alias("keyword"), F.lit("here").alias("location_hint"), F.concat(first, second).alias("html")
     )
@@ -155,19 +161,23 @@ def layout_base_cards(spark, d):
 
 
 @query("fill_descriptions", f"""SELECT o.o_orderkey AS ord, CASE WHEN o.o_orderkey % 2 = 0 THEN 'own text' WHEN p.page_id IS NULL THEN ''
-  WHEN len(p.t) > 50 THEN p.t ELSE '' END AS description
+  WHEN len(p.t) > 50 THEN p.t WHEN p.page_id % 2 = 0 THEN trim(repeat('an older landing of the same page ', 3)) ELSE '' END AS description
 FROM orders o LEFT JOIN (SELECT page_id, {sql_clean("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")} AS t FROM pages) p
   ON p.page_id = o.o_custkey % (2 * (SELECT count(*) FROM pages))""")
 def fill_descriptions(spark, d):
-    """Half of the listings have a text; the others take it from a detail page, if there is one."""
+    """Half of the listings have a text; the others take it from the last landed detail page
+    that has one, if there is one. Pages are landed up to three times."""
     pages = table(spark, d, "pages")
     n = pages.agg(F.count(F.lit(1))).scalar()
     rows = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("ord"), (F.col("o_custkey") % (n * 2)).cast("string").alias("job_id"),
         F.when(F.col("o_orderkey") % 2 == 0, "own text").otherwise("").alias("description"),
     )
-    details = pages.select(F.col("page_id").cast("string").alias("job_id"), "html")
-    return H.fill_descriptions(rows, details, (r"<article>(.*?)</article>",)).select("ord", "description")
+    landed = pages.select(F.col("page_id").cast("string").alias("job_id"), "html", F.lit(2).alias("landing"))
+    older = landed.select("job_id", F.lit("<article>" + "an older landing of the same page " * 3 + "</article>").alias("html"), F.lit(1).alias("landing"))
+    blank = landed.select("job_id", F.lit("").alias("html"), F.lit(3).alias("landing"))
+    details = landed.unionByName(older.where("cast(job_id as long) % 2 = 0")).unionByName(blank)
+    return H.fill_descriptions(rows, details, (r"<article>(.*?)</article>",), order="landing").select("ord", "description")
 
 
 @query("normalize_cards", f"""WITH {LISTINGS_SQL} SELECT ord, 'q' AS category, CASE WHEN category = 'small' THEN 'Unknown Position' ELSE {sql_strip('title')} END AS title,

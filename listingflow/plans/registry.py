@@ -89,5 +89,7 @@ def sql_greedy(src: str, rounds: int = 6) -> str:
             f" AND NOT EXISTS (SELECT 1 FROM win{i} w WHERE w.k2 = u.k2))"
         )
     union = " UNION ALL ".join(f"SELECT ord FROM win{i}" for i in range(rounds))
+    # Rows that are still undecided would be missing from the check: it fails instead.
+    union += f" UNION ALL SELECT CAST(error('undecided rows after {rounds} rounds') AS BIGINT) FROM und{rounds}"
     ctes.append(f"kept AS ({union})")
     return ", ".join(ctes)

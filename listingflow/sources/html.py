@@ -21,12 +21,15 @@ class Field:
     """One field of a card: patterns tried in order, group 1 is the value.
 
     ``clean`` drops tags; with ``entities`` it also decodes entities and collapses spaces.
+    With ``blank`` a match without text counts: the value is then empty, and null only
+    where no pattern matches.
     """
 
     patterns: tuple[str, ...]
     clean: bool = True
     default: str = ""
     entities: bool = True
+    blank: bool = False
 
 
 def landed_pages(spark, path: str) -> DataFrame:
@@ -45,8 +48,8 @@ def read_field(card: Column, field: Field) -> Column:
             value = clean_html(value)
         elif field.clean:
             value = strip(F.regexp_replace(value, "<[^>]+>", " "))
-        tries.append(F.nullif(value, F.lit("")))
-    return F.coalesce(*tries, F.lit(field.default))
+        tries.append(F.when(F.regexp_like(card, F.lit(p)), value) if field.blank else F.nullif(value, F.lit("")))
+    return F.coalesce(*tries) if field.blank else F.coalesce(*tries, F.lit(field.default))
 
 
 def cards(df: DataFrame, html: str, card_pattern: str, keep: Sequence[str]) -> DataFrame:
@@ -80,9 +83,15 @@ def json_after(html: Column | str, marker: str) -> Column:
     return F.when(F.contains(c, F.lit(marker)) & (start > 0), F.substr(tail, start))
 
 
-def json_in_tag(html: Column | str, tag_pattern: str) -> Column:
-    """Body of the first element a pattern matches (group 1)."""
-    return F.nullif(F.regexp_extract(text_or_empty(html), "(?s)" + tag_pattern, 1), F.lit(""))
+def json_in_tags(html: Column | str, tag_pattern: str) -> Column:
+    """Bodies of all elements a pattern matches (group 1), in page order."""
+    return F.regexp_extract_all(text_or_empty(html), F.lit("(?s)" + tag_pattern), F.lit(1))
+
+
+def first_json_rows(bodies: Column, schema: str, paths: Sequence[str]) -> Column:
+    """Rows of the first body that holds any; broken or empty ones are passed over."""
+    tries = F.transform(bodies, lambda body: json_rows(body, schema, paths))
+    return F.get(F.filter(tries, lambda rows: F.size(rows) > 0), 0)
 
 
 def json_rows(text: Column, schema: str, paths: Sequence[str]) -> Column:
@@ -131,15 +140,20 @@ def long_text(html: Column | str, patterns: Sequence[str], longer_than: int = 50
     return F.coalesce(*tries, F.lit(""))
 
 
-def fill_descriptions(listings: DataFrame, details: DataFrame, patterns: Sequence[str], key: str = "job_id") -> DataFrame:
+def fill_descriptions(
+    listings: DataFrame, details: DataFrame, patterns: Sequence[str], key: str = "job_id", order: str | None = None
+) -> DataFrame:
     """Take a missing description from the landed detail page of the same id.
 
     Only listings without one take part in the join; the pages are cut down to the
-    extracted text before it. A blank id joins nothing.
+    extracted text before it, one for each id: the last landed by the column ``order``,
+    or without it the greatest text. A blank id joins nothing.
     """
-    texts = details.select(
-        F.col(key).alias("_key"), long_text("html", patterns).alias("_text")
+    found = details.select(
+        F.col(key).alias("_key"), long_text("html", patterns).alias("_text"), *([F.col(order).alias("_order")] if order else [])
     ).where((F.col("_text") != "") & (F.col("_key") != ""))
+    last = F.max_by("_text", F.struct("_order", "_text")) if order else F.max("_text")
+    texts = found.groupBy("_key").agg(last.alias("_text"))
     need = text_or_empty("description") == ""
     # Listings that already have a text go around the join, so they are not moved.
     missing = listings.where(need).join(texts, F.col(key) == F.col("_key"), "left")
@@ -197,7 +211,7 @@ TUPLE_CARD = r'(?s)<article[^>]*class="[^"]*jobTuple[^"]*"[^>]*>(.*?)</article>'
 TUPLE_FIELDS = {
     "title": Field((r'(?s)<a[^>]*class="[^"]*title[^"]*"[^>]*>(.*?)</a>',), entities=False),
     "company": Field((r'(?s)<a[^>]*class="[^"]*subTitle[^"]*"[^>]*>(.*?)</a>',), entities=False),
-    "location": Field((r'(?s)<span[^>]*class="[^"]*loc[^"]*"[^>]*>(.*?)</span>',), entities=False),
+    "location": Field((r'(?s)<span[^>]*class="[^"]*loc[^"]*"[^>]*>(.*?)</span>',), entities=False, blank=True),
 }
 BEACON_CARD = r'(?s)<div[^>]*class="[^"]*job_seen_beacon[^"]*"[^>]*>.*?</div>\s*</div>\s*</td>'
 BEACON_FIELDS = {
@@ -208,7 +222,7 @@ BEACON_FIELDS = {
         )
     ),
     "company": Field((r'(?s)<span[^>]*class="[^"]*company[^"]*"[^>]*>\s*(.*?)\s*</span>',)),
-    "location": Field((r'(?s)<div[^>]*class="[^"]*location[^"]*"[^>]*>\s*(.*?)\s*</div>',)),
+    "location": Field((r'(?s)<div[^>]*class="[^"]*location[^"]*"[^>]*>\s*(.*?)\s*</div>',), blank=True),
     "job_key": Field((r'data-jk="([^"]+)"', r'/viewjob\?jk=([^"&]+)'), clean=False),
     "description": Field((r'(?s)<div[^>]*class="[^"]*summary[^"]*"[^>]*>\s*(.*?)\s*</div>',)),
 }
@@ -217,7 +231,7 @@ BASE_FIELDS = {
     "job_key": Field((r'data-entity-urn="urn:li:jobPosting:(\d+)"', r"/jobs/view/(\d+)"), clean=False),
     "title": Field((r'(?s)<h3 class="base-search-card__title">\s*(.*?)\s*</h3>',)),
     "company": Field((r'(?s)<h4 class="base-search-card__subtitle">.*?<a[^>]*>\s*(.*?)\s*</a>',)),
-    "location": Field((r'(?s)<span class="job-search-card__location">\s*(.*?)\s*</span>',)),
+    "location": Field((r'(?s)<span class="job-search-card__location">\s*(.*?)\s*</span>',), blank=True),
     "url": Field((r'<a class="base-card__full-link[^"]*" href="([^"]+)"',), clean=False),
 }
 DETAIL_PATTERNS = {
@@ -266,7 +280,7 @@ def _unfold(pages: DataFrame, rows: Column, keep: Sequence[str]) -> DataFrame:
 def tag_json_listings(pages: DataFrame, keep: Sequence[str], keyword: str = "keyword", location: str = "location_hint") -> DataFrame:
     """First layout: JSON in a script tag; article cards where it gives nothing."""
     kw, place = F.col(keyword), F.col(location)
-    rows = json_rows(json_in_tag("html", TAG_JSON_PATTERN), TAG_JSON_SCHEMA, TAG_JSON_PATHS)
+    rows = first_json_rows(json_in_tags("html", TAG_JSON_PATTERN), TAG_JSON_SCHEMA, TAG_JSON_PATHS)
 
     def from_json_row(r: Column) -> Column:
         jid = _or(r["jobId"], r["id"])
@@ -279,7 +293,7 @@ def tag_json_listings(pages: DataFrame, keep: Sequence[str], keyword: str = "key
 
     def from_card(c: Column) -> Column:
         return _raw(
-            c["title"], _or(c["company"], F.lit("Unknown Company")), _or(c["location"], place),
+            c["title"], _or(c["company"], F.lit("Unknown Company")), F.coalesce(c["location"], place),
             F.replace(F.concat_ws("_", F.lit("naukri"), kw, c["company"]), F.lit(" "), F.lit("_")),
             F.lit(""), F.lit(""), F.lit(""),
         )
@@ -307,7 +321,7 @@ def marker_json_listings(pages: DataFrame, keep: Sequence[str], base: str, keywo
         synthetic = F.replace(F.concat_ws("_", F.lit("indeed"), kw, c["company"]), F.lit(" "), F.lit("_"))
         return _raw(
             _or(c["title"], F.lit("Unknown Position")), _or(c["company"], F.lit("Unknown Company")),
-            _or(c["location"], place), F.when(jk != "", F.concat(F.lit("indeed_"), jk)).otherwise(synthetic),
+            F.coalesce(c["location"], place), F.when(jk != "", F.concat(F.lit("indeed_"), jk)).otherwise(synthetic),
             jk, c["description"], F.when(jk != "", view(jk)).otherwise(F.lit("")),
         )
 
@@ -337,7 +351,7 @@ def base_card_listings(pages: DataFrame, keep: Sequence[str], keyword: str = "ke
         synthetic = F.replace(F.concat_ws("_", F.lit("linkedin"), kw, c["company"]), F.lit(" "), F.lit("_"))
         return _raw(
             _or(c["title"], F.lit("Unknown Position")), _or(c["company"], F.lit("Unknown Company")),
-            _or(c["location"], place), F.when(jid != "", F.concat(F.lit("linkedin_"), jid)).otherwise(synthetic),
+            F.coalesce(c["location"], place), F.when(jid != "", F.concat(F.lit("linkedin_"), jid)).otherwise(synthetic),
             jid, F.lit(""), c["url"],
         )
 

@@ -86,28 +86,12 @@ def read_store(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).parquet(path)
 
 
-def read_spread(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet table whose rows are spread over all cores if its files would give fewer
-    tasks than there are cores. Large tables are read as they are."""
-    df = spark.read.parquet(path)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop_path).getLength()
-    split = 128 * 1024 * 1024
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if size < split * cores else df
-
-
 def write_store(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
     """Write a parquet store; ``partition_by=["source"]`` lets readers skip sources."""
     writer = df.write.mode(mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int, mode: str = "overwrite") -> None:
-    """Write a store bucketed by its merge key, so that later merges read it without a shuffle."""
-    df.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
-
-
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 

@@ -25,9 +25,10 @@ from listingflow.sources.stores import read_store
 BATCH = "_batch"
 
 
-def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
-    """Landed parquet files, a bounded number per micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
+    """Landed parquet files: all that are there in one micro-batch, or a bounded number."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
 def earlier_batches(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
@@ -57,7 +58,7 @@ def ingest(stream: DataFrame, store: str, checkpoint: str, id_col: str = "job_id
 
     def each(batch: DataFrame, batch_id: int) -> None:
         known = earlier_batches(batch.sparkSession, store, schema, batch_id)
-        write_batch(merge_new(known, batch, id_col, content), store, batch_id)
+        write_batch(merge_new(known, batch, id_col, content, small_batch=True), store, batch_id)
 
     run_available(stream, each, checkpoint)
 
@@ -67,7 +68,7 @@ def score_arrivals(stream: DataFrame, profile: DataFrame, rules: ScoreRules, as_
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         keys = T.StructType.fromDDL("title string, company string")
-        fresh = unscored(batch, earlier_batches(spark, cache, keys, batch_id), dedup_in_batch=True)
+        fresh = unscored(batch, earlier_batches(spark, cache, keys, batch_id), dedup_in_batch=True, small_batch=True)
         write_batch(score_entries(score_listings(fresh, profile, rules, as_of, posted=posted)), cache, batch_id)
 
     run_available(stream, each, checkpoint)
@@ -107,18 +108,23 @@ def health(stream: DataFrame, out: str, checkpoint: str, unhealthy_at: int = ZER
 
     Runs of later batches must not be older than those of earlier ones. Each batch
     finds its streaks with the distributed operator; the streak a source ended with
-    is added to the runs before its first hit in the new batch.
+    is added to the runs before its first hit in the new batch. That state, one row per
+    source, is written beside the output; a batch reads only the state of the one before.
     """
     schema = T.StructType(
         stream.schema.fields
         + [T.StructField("consecutive_zero", T.LongType()), T.StructField("healthy", T.BooleanType())]
     )
 
+    state = f"{out}-state"
+    state_schema = T.StructType(
+        [f for f in stream.schema.fields if f.name == "source"]
+        + [T.StructField("_carry", T.LongType()), T.StructField(BATCH, T.LongType())]
+    )
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        before = earlier_batches(batch.sparkSession, out, schema, batch_id)
-        last = before.groupBy("source").agg(
-            F.max(F.struct("run_ts", "consecutive_zero")).alias("s")
-        ).select("source", F.col("s")["consecutive_zero"].alias("_carry"))
+        before = read_store(batch.sparkSession, state, state_schema).where(F.col(BATCH) == batch_id - 1)
+        last = before.select("source", "_carry")
         hits = batch.where(F.col("jobs_found") > 0).groupBy("source").agg(F.min("run_ts").alias("_first_hit"))
         local = zero_streaks(batch, unhealthy_at=unhealthy_at)
         open_run = F.col("_first_hit").isNull() | (F.col("run_ts") < F.col("_first_hit"))
@@ -130,6 +136,15 @@ def health(stream: DataFrame, out: str, checkpoint: str, unhealthy_at: int = ZER
             .select(*schema.fieldNames()),
             out, batch_id,
         )
+        ended = (
+            read_store(batch.sparkSession, out, T.StructType(schema.fields + [T.StructField(BATCH, T.LongType())]))
+            .where(F.col(BATCH) == batch_id)
+            .groupBy("source")
+            .agg(F.max_by("consecutive_zero", "run_ts").alias("_now"))
+        )
+        write_batch(
+            last.join(ended, "source", "full").select("source", F.coalesce("_now", "_carry").alias("_carry")), state, batch_id
+        )
 
     run_available(stream, each, checkpoint)
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from listingflow.operators import dedup
 from listingflow.operators.dedup import first_seen, first_seen_counts, kept_ords, listing_keys
 from listingflow.operators.keys import anti_join
 from listingflow.operators.merge import lookup_latest, merge_new, not_done, unscored
@@ -25,9 +26,9 @@ def sequential(rows):
     return kept
 
 
-def run(spark, rows, **limits):
+def run(spark, rows):
     df = spark.createDataFrame(rows, "ord long, k1 string, k2 string")
-    return sorted(r[0] for r in kept_ords(df, KEYS(), **limits).collect())
+    return sorted(r[0] for r in kept_ords(df, KEYS()).collect())
 
 
 def test_second_key_of_a_rejected_row_stays_free(spark):
@@ -35,13 +36,14 @@ def test_second_key_of_a_rejected_row_stays_free(spark):
     assert run(spark, rows) == [0, 2]
 
 
-@pytest.mark.parametrize("seed,limits", [(1, {}), (2, {"tail_after": 99}), (3, {"tail_rows": 5, "tail_after": 1}), (4, {"tail_after": 1})])
-def test_random_rows(spark, seed, limits):
+@pytest.mark.parametrize("seed,plain", [(1, 2), (2, 0), (3, 99)])
+def test_random_rows(spark, monkeypatch, seed, plain):
+    monkeypatch.setattr(dedup, "PLAIN_ROUNDS", plain)
     rnd = random.Random(seed)
     pick = lambda n: None if rnd.random() < 0.1 else str(rnd.randrange(n))
     rows = [(i, pick(60), pick(70)) for i in range(400)]
     rnd.shuffle(rows)
-    assert run(spark, rows, **limits) == sequential(rows)
+    assert run(spark, rows) == sequential(rows)
 
 
 def test_hot_keys_and_copies(spark):
@@ -52,10 +54,25 @@ def test_hot_keys_and_copies(spark):
 
 def test_long_chain_is_finished_exactly(spark):
     # Each row shares one key with the row before it, in turn.
-    rows = [(i, str((i + 1) // 2), str(i // 2)) for i in range(300)]
+    rows = [(i, str((i + 1) // 2), str(i // 2)) for i in range(25_000)]
     assert run(spark, rows) == sequential(rows)
 
 
+def test_chains_that_meet_and_branch(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "PLAIN_ROUNDS", 0)
+    rnd = random.Random(3)
+    rows = [(i, f"a{(i + 1) // 2}", f"b{i // 2}") for i in range(60)]
+    rows += [(60 + i, f"a{rnd.randrange(40)}", f"b{rnd.randrange(40)}") for i in range(60)]
+    rnd.shuffle(rows)
+    rows = [(i, a, b) for i, (_, a, b) in enumerate(rows)]
+    assert run(spark, rows) == sequential(rows)
+
+
+def test_a_key_that_looks_like_a_stand_in_is_only_a_key(spark):
+    rows = [(0, "x", None), (1, "y", "ord:0"), (2, "z", "o:0"), (3, "w", "v:")]
+    assert run(spark, rows) == [0, 1, 2, 3]
+
+
 def test_blank_content_is_a_key_and_blank_url_is_not(spark):
     rows = [(0, "", "", "", ""), (1, " ", "", "", ""), (2, "A", "B", "C", ""), (3, "A!", "b", " c", ""), (4, "D", "E", "F", "x.y/z"), (5, "G", "H", "I", "xyz")]
     df = spark.createDataFrame(rows, "ord long, company string, title string, location string, url string")

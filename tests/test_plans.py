@@ -1,5 +1,9 @@
 """Shapes of physical plans."""
 
+import re
+from pathlib import Path
+
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
@@ -13,14 +17,32 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_no_nested_loop_or_cartesian_joins(spark):
-    slow = {n for n in entry_points.queries() if n.startswith("stream_") or n.startswith("dedup") or n == "merge_new"}
-    for name, make in entry_points.queries().items():
-        if name in slow:
-            continue
-        text = plan(make(spark, DIR))
-        assert "NestedLoopJoin" not in text and "CartesianProduct" not in text, name
-        assert "PythonUDF" not in text and "MapInPandas" not in text, name
+OWN = [n for n, q in entry_points.queries().items() if q.__module__.startswith("listingflow.plans")]
+PYTHON = re.compile("PythonUDF|EvalPython|MapInPandas|MapInArrow|FlatMapGroups|FlatMapCoGroups")
+
+
+@pytest.mark.parametrize("name", OWN)
+def test_no_nested_loop_cartesian_join_or_python(spark, name):
+    text = plan(entry_points.queries()[name](spark, DIR))
+    assert "NestedLoopJoin" not in text and "CartesianProduct" not in text
+    assert not PYTHON.search(text)
+
+
+def test_package_has_no_python_in_tasks():
+    """Also plans inside materialised steps and micro-batches have none."""
+    root = Path(__file__).resolve().parents[1] / "listingflow"
+    for path in root.rglob("*.py"):
+        if "llm" not in path.relative_to(root).parts:
+            assert not re.search(r"mapIn|applyIn|pandas_udf|@F\.udf|F\.udf\(|\.rdd\b|tempfile", path.read_text()), path
+
+
+def test_a_small_batch_does_not_shuffle_its_store(spark):
+    store = spark.range(1000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("ord"))
+    batch = spark.createDataFrame([("5", 1), ("x", 2)], "k string, ord long")
+    text = plan(keys.anti_join(batch, store, ["k"], small_left=True))
+    semi = text.index("LeftSemi")
+    scan = text.index("Range (0, 1000", semi)
+    assert "BroadcastHashJoin" in text[semi - 200 : semi] and "Exchange hashpartitioning" not in text[semi:scan]
 
 
 def test_columns_and_filters_reach_the_scan(spark):
