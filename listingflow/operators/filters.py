@@ -24,6 +24,31 @@ def flag_rejected(
     )
 
 
+def flag_by_table(
+    df: DataFrame,
+    terms: DataFrame,
+    columns: Sequence[str] = ("company", "title"),
+    reason: str = REJECTION_REASON,
+    term: str = "term",
+    ord_col: str = "ord",
+) -> DataFrame:
+    """``flag_rejected`` with the terms in a table of any size; blank terms match nothing.
+
+    Each text is cut into its parts of the lengths that terms have, and a part that is a
+    term is found by an equality join. A row makes about its texts' lengths times the number
+    of different term lengths of narrow rows, whatever the number of terms.
+    """
+    wanted = terms.select(F.lower(F.trim(text_or_empty(term))).alias("term")).where("term != ''").distinct()
+    lengths = wanted.agg(F.collect_set(F.length("term"))).scalar()
+    texts = df.select(ord_col, F.explode(F.array(*[F.lower(text_or_empty(c)) for c in columns])).alias("_text"))
+    sized = texts.select(ord_col, "_text", F.explode(lengths).alias("_n")).where(F.length("_text") >= F.col("_n"))
+    parts = sized.select(
+        ord_col, F.explode(F.expr("transform(sequence(1, length(_text) - _n + 1), p -> substring(_text, p, _n))")).alias("term")
+    )
+    hits = parts.join(wanted, "term", "left_semi").select(ord_col, F.lit(True).alias("_hit")).distinct()
+    return df.join(hits, ord_col, "left").withColumn("rejection_reason", F.when(F.col("_hit"), F.lit(reason))).drop("_hit")
+
+
 def split_rejected(df: DataFrame, terms: Sequence[str], **kw) -> tuple[DataFrame, DataFrame]:
     """(kept, rejected) from one flagged frame; both are narrow filters."""
     flagged = flag_rejected(df, terms, **kw)

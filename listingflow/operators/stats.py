@@ -69,9 +69,11 @@ def outcome_counts(rows: DataFrame, outcome: str = "outcome") -> DataFrame:
 
 
 def daily_trend(listings: DataFrame, as_of: Column, posted: str = "posted") -> DataFrame:
-    """Listings per day; a missing date counts for the day of the run."""
-    return listings.groupBy(F.coalesce(F.col(posted), as_of).alias("day")).agg(
-        F.count(F.lit(1)).alias("n")
+    """Listings per day, in order of days; a missing date counts for the day of the run."""
+    return (
+        listings.groupBy(F.coalesce(F.col(posted), as_of).alias("day"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .orderBy("day")
     )
 
 

@@ -12,6 +12,7 @@ from listingflow.defaults import (
     APPLIED_COLUMNS, FILTERED_COLUMNS, RECOMMENDED_COLUMNS, SCRAPED_COLUMNS,
 )
 from listingflow.functions.responses import acceptance_chance, block
+from listingflow.functions.score import ScoreRules
 from listingflow.functions.text import text_or_empty
 
 LISTING_SCHEMA = T.StructType(
@@ -133,6 +134,57 @@ def read_health(spark: SparkSession, path: str) -> DataFrame:
     return parse_keyed_map(spark.read.text(path, wholetext=True), "value", HEALTH_TYPE, "source")
 
 
+def write_keyed_map(df: DataFrame, path: str, key: str) -> None:
+    """Write rows as JSON objects of one key each, a line for each row, by all tasks.
+
+    ``read_keyed_lines`` reads them back; joined, the objects are the interchange map.
+    """
+    value = F.struct(*[F.col(c) for c in df.columns if c != key])
+    df.select(F.to_json(F.create_map(F.col(key), value)).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_keyed_lines(spark: SparkSession, path: str, map_type: str, key: str) -> DataFrame:
+    """Rows of ``write_keyed_map``; broken lines give none."""
+    return parse_keyed_map(spark.read.text(path), "value", map_type, key)
+
+
+def write_progress(progress: DataFrame, path: str) -> None:
+    """Write (job_key, status, folder)."""
+    write_keyed_map(progress.select("job_key", "status", "folder"), path, "job_key")
+
+
+def write_health(health: DataFrame, path: str) -> None:
+    """Write the health state by source."""
+    fields = ("source", "last_run", "jobs_found", "http_success_rate", "consecutive_zero_jobs", "healthy")
+    write_keyed_map(health.select(*fields), path, "source")
+
+
+def update_progress(progress: DataFrame, updates: DataFrame, ord_col: str = "ord") -> DataFrame:
+    """Progress after status updates: of several updates of a key the last by ``ord``
+    counts, and it replaces the key's earlier status. Combined before the one shuffle."""
+    both = progress.select("job_key", "status", "folder", F.lit(None).cast("long").alias("_o")).unionByName(
+        updates.select("job_key", "status", "folder", F.col(ord_col).cast("long").alias("_o"))
+    )
+    newest = F.max(F.struct(F.col("_o"), "status", "folder")).alias("s")
+    return both.groupBy("job_key").agg(newest).select("job_key", "s.status", "s.folder")
+
+
+def rules_from_tables(roles: DataFrame, lexicons: DataFrame, default_category: str, **weights) -> ScoreRules:
+    """``ScoreRules`` of two rule tables, ``(role, pos, term)`` and ``(category, pos, term)``.
+
+    A rule set is configuration and is read to the driver whole; term lists too long for
+    that belong in ``filters.flag_by_table``.
+    """
+
+    def lists(table: DataFrame, name: str) -> dict[str, tuple[str, ...]]:
+        out: dict[str, list[str]] = {}
+        for row in table.select(name, "pos", "term").orderBy(name, "pos").collect():
+            out.setdefault(row[name], []).append(row["term"])
+        return {k: tuple(v) for k, v in out.items()}
+
+    return ScoreRules(roles=lists(roles, "role"), lexicons=lists(lexicons, "category"), default_category=default_category, **weights)
+
+
 def read_rules(spark: SparkSession, path: str, schema: T.StructType | str, defaults: dict[str, object] | None = None) -> DataFrame:
     """A rule or configuration object with typed fields; absent ones take their default."""
     df = read_json_array(spark, path, schema)
