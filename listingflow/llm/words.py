@@ -39,8 +39,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
-    """The column with nulls as empty texts and offsets that hold any size."""
-    return pc.fill_null(batch.column(column), "").cast(pa.large_string())
+    """The column with nulls as empty texts and offsets that hold any size. It is a copy
+    that begins at offset zero: some text kernels misread slices of larger arrays."""
+    values = batch.column(column).cast(pa.large_string())
+    return pc.fill_null(values.take(pa.array(np.arange(len(values)))), "")
 
 
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
