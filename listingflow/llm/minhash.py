@@ -4,11 +4,11 @@ Under each permutation of the shingles both the smallest and the largest value a
 kept, so a signature of 250 values costs 125 permutations. Bands of signature values
 propose pairs; every link is confirmed on the two whole shingle sets.
 
-Pairs are proposed without listing all pairs of a bucket. Equal word sequences count
-as one document from the start. In each bucket every member is first compared with the
-smallest one (the hub). What these links join needs no further comparison; only members
-of a bucket that are still in different components are then compared with each other.
-The components are the same as with all pairs of all buckets.
+All pairs of a bucket are decided, but not all are listed. Equal word sequences count as
+one document from the start. In each bucket every member is first compared with the
+smallest one (the hub). What these links join needs no further comparison. The members of
+a hub's buckets that are still apart from it are then compared with each other and with
+the rest, block by block inside tasks, which return no pairs but the components they find.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,18 +96,59 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        sets = [s.view(np.int64) for _, s in shingle_sets(texts_of(batch, "text"))]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"]
-        )
+#: Bits of the filter that tells which documents' shingles are needed, 8 MB in all. It
+#: only saves work: what it lets through beyond the wanted ids joins nothing.
+FILTER_BITS = 26
+#: Shingles of a block of documents that are compared in one task.
+BLOCK_SHINGLES = 1 << 17
+_WANTED = "word int, bits long"
+
+
+def _places(ids: np.ndarray) -> np.ndarray:
+    hashed = mix(ids.astype(np.int64).view(np.uint64) + STEP)
+    low = np.uint64((1 << FILTER_BITS) - 1)
+    return np.stack([hashed & low, (hashed >> np.uint64(32)) & low]).astype(np.int64)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        places = _places(np.asarray(batch.column("doc_id"))).ravel()
+        word, bit = places >> 6, np.uint64(1) << (places & 63).astype(np.uint64)
+        distinct, index = np.unique(word, return_inverse=True)
+        bits = np.zeros(len(distinct), np.uint64)
+        np.bitwise_or.at(bits, index, bit)
+        yield pa.RecordBatch.from_arrays([pa.array(distinct.astype(np.int32)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of non-null ids; its size doesn't depend on theirs."""
+    table = ids.mapInArrow(_marked, _WANTED).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    return out
+
 
+def _sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(doc_id, shingles)`` of all documents in ``ids``, and of few others. The texts are
+    read again where they are; they aren't shuffled."""
+    shared = texts.sparkSession.sparkContext.broadcast(_filter_of(ids))
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column("doc_id")))
+            first, second = _places(np.asarray(batch.column("doc_id")))
+            there = lambda p: words[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)
+            wanted = (there(first) & there(second)).astype(bool)
+            for part in slices(iter([batch.filter(pa.array(wanted))]), "text"):
+                sets = [s.view(np.int64) for _, s in shingle_sets(texts_of(part, "text"))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    return materialize(texts.mapInArrow(run, _SETS), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The ``pairs(a, b)`` whose whole shingle sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, _SETS), "sets")
     left = sets.select(F.struct(F.col("doc_id").alias("a")).alias("_a"), F.col("shingles").alias("sa"))
     right = sets.select(F.struct(F.col("doc_id").alias("b")).alias("_b"), F.col("shingles").alias("sb"))
     both = (
@@ -116,9 +158,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         .join(right, "_b")
         .select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
     )
-    links = materialize(both.where(f"100L * common >= {percent}L * (na + nb - common)").select("a", "b"), "links")
-    discard(sets)
-    return links
+    return materialize(both.where(f"100L * common >= {percent}L * (na + nb - common)").select("a", "b"), "links")
 
 
 def _near(n: str, m: str, percent: int) -> str:
@@ -126,6 +166,113 @@ def _near(n: str, m: str, percent: int) -> str:
     return f"100L * least({n}, {m}) >= {percent}L * greatest({n}, {m})"
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    lengths = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), lengths)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # A shingle of one set is in no intersection with another.
+    common = often[column] > 1
+    row, column = row[common], np.unique(column[common], return_inverse=True)[1]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    wide = max(1, (1 << 22) // max(1, len(sets)))
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        a, b = np.searchsorted(column, [first, first + wide])
+        hits = np.zeros((len(sets), wide), np.float32)
+        hits[row[a:b], column[a:b] - first] = 1
+        out += hits @ hits.T
+    out = out.astype(np.int64)
+    np.fill_diagonal(out, lengths)
+    return out
+
+
+def _joined(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Each document with the smallest one it is joined with by links among these."""
+    sizes = np.array([len(s) for s in sets])
+    common = overlaps(sets)
+    linked = (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)) & (common > 0)
+    label = ids.copy()
+    while True:
+        low = np.where(linked, label[None, :], np.iinfo(np.int64).max).min(axis=1)
+        low = np.minimum(low, label)
+        if (low == label).all():
+            break
+        label = low
+    return [(int(i), int(x)) for i, x in zip(ids, label) if i != x]
+
+
+def _compared(percent: int):
+    """Sorted rows of blocks: the components within each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sets = None, [], []
+
+        def flush() -> pa.RecordBatch:
+            pairs = _joined(np.array(ids, np.int64), sets, percent) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("hub", "kind", "i", "j")))
+            lists = batch.column("shingles")
+            offsets, values = np.asarray(lists.offsets), np.asarray(lists.values)
+            for k, (key, doc) in enumerate(zip(keys, batch.column("doc_id").to_pylist())):
+                if key != now:
+                    if len(ids) > 1:
+                        yield flush()
+                    now, ids, sets = key, [], []
+                if not ids or ids[-1] != doc:
+                    ids.append(doc)
+                    sets.append(values[offsets[k] : offsets[k + 1]].copy())
+        if len(ids) > 1:
+            yield flush()
+
+    return run
+
+
+def _rest(shared: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """What the comparison with hubs left open: pairs of members of a hub's buckets of
+    which at least one is apart from the hub. Members are dealt into blocks; a block of
+    members apart meets every other block once, members joined with the hub meet no other
+    such member."""
+    labels = joined.select(F.col("node").alias("doc_id"), "component")
+    hubs = joined.select(F.col("node").alias("hub"), F.col("component").alias("_h"))
+    placed = (
+        shared.join(labels, "doc_id", "left")
+        .join(hubs, "hub", "left")
+        .select("hub", "doc_id", "n", (F.coalesce("component", "doc_id") != F.coalesce("_h", "hub")).alias("apart"))
+    )
+    size = lambda apart: F.ceil(F.sum(F.when(F.col("apart") == apart, F.col("n")).otherwise(0)) / BLOCK_SHINGLES).cast("int")
+    groups = (
+        placed.groupBy("hub")
+        .agg(size(True).alias("open_blocks"), F.greatest(size(False), F.lit(1)).alias("main_blocks"), F.count(F.lit(1)).alias("members"))
+        .where("open_blocks > 0 and members > 2")
+    )
+    dealt = (
+        placed.withColumn("_k", F.struct("hub"))
+        .join(groups.select(F.struct("hub").alias("_k"), "open_blocks", "main_blocks"), "_k")
+        .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("apart"), F.col("open_blocks")).otherwise(F.col("main_blocks"))).cast("int"))
+    )
+    blocks = F.when(
+        F.col("apart"),
+        F.expr(
+            "concat(transform(sequence(0, open_blocks - 1), o -> struct(0 as kind, least(own, o) as i, greatest(own, o) as j)),"
+            " transform(sequence(0, main_blocks - 1), o -> struct(1 as kind, own as i, o as j)))"
+        ),
+    ).otherwise(F.expr("transform(sequence(0, open_blocks - 1), o -> struct(1 as kind, o as i, own as j))"))
+    order = ["hub", "kind", "i", "j"]
+    rows = (
+        dealt.select("hub", "doc_id", F.explode(blocks).alias("w"))
+        .select("hub", "doc_id", "w.kind", "w.i", "w.j")
+        .join(sets, "doc_id")
+        .select(*order, "doc_id", "shingles")
+    )
+    many = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    arranged = rows.repartition(many, *order).sortWithinPartitions(*order, "doc_id")
+    return materialize(arranged.mapInArrow(_compared(percent), "a long, b long").distinct(), "rest")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: doc_id, n_shingles, component_id, kept.
 
@@ -160,46 +307,27 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         .agg(F.min("doc_id").alias("hub"), F.min_by("n", "doc_id").alias("m"), F.count(F.lit(1)).alias("members"))
         .where("members > 1")
     )
+    # Every document of a bucket with the bucket's hub, the hub included, once.
     shared = materialize(
         rows.withColumn("_k", F.struct("key"))
-        .join(hubs.select(F.struct("key").alias("_k"), "hub", "m", "members"), "_k")
-        .select("key", "doc_id", "n", "hub", "m", "members"),
+        .join(hubs.select(F.struct("key").alias("_k"), "hub", "m"), "_k")
+        .select("doc_id", "n", "hub", "m")
+        .distinct(),
         "shared",
     )
-    stars = materialize(
-        shared.where("doc_id != hub").where(_near("n", "m", percent)).select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(),
-        "stars",
-    )
-    links = _confirmed(stars, texts, percent)
+    sets = _sets(texts, shared.select("doc_id"))
+    stars = shared.where("doc_id != hub").where(_near("n", "m", percent)).select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    links = _confirmed(stars.distinct(), sets, percent)
     joined = materialize(components(links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))), "joined")
-
-    labelled = (
-        shared.where("members > 2")
-        .join(joined, F.col("doc_id") == F.col("node"), "left")
-        .select("key", "doc_id", "n", "hub", F.coalesce("component", "doc_id").alias("c"))
-    )
-    split = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    open_rows = materialize(
-        labelled.withColumn("_k", F.struct("key")).join(split.select(F.struct("key").alias("_k")), "_k", "left_semi").drop("_k"), "open"
-    )
-    left = open_rows.where("doc_id != hub").select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    right = open_rows.where("doc_id != hub").select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = materialize(
-        left.join(right, "key").where("a < b and ca != cb").where(_near("na", "nb", percent)).select("a", "b").distinct()
-        .join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"),
-        "rest",
-    )
-    more = _confirmed(rest, texts, percent)
-    members = components(
-        joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    )
+    rest = _rest(shared.select("hub", "doc_id", "n").distinct(), joined, sets, percent)
+    members = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
     members = materialize(members, "members")
     result = (
         signed.select("doc_id", "n_shingles")
         .join(members, F.col("doc_id") == F.col("node"), "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     )
-    discard(stars, shared, open_rows, rest, links, more, copies, joined)
+    discard(shared, sets, links, rest, copies, joined)
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
