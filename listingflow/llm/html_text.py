@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listingflow.llm.html_tree import INLINE, Node, tree
+from listingflow.llm.html_tree import INLINE, SILENT, Node, tree
 from listingflow.llm.words import slices, texts_of
 from listingflow.scratch import discard, materialize
 
@@ -64,7 +64,7 @@ def dropped(label: str, inside: bool) -> bool:
 
 
 # A wrapper node is [label, kind, children]; kind is "1", "?" (optional), "+" (repeated) or
-# "*" (both). A slot has the label "#".
+# "*" (both). A slot has the label "#", a repeated group of siblings "(label label ...)".
 
 
 def _either(a: str, b: str, joined: bool = False) -> str:
@@ -82,6 +82,13 @@ def merge(a: list, b: list, joined: bool = False) -> list:
     return [a[0], _either(a[1], b[1], joined), align(a[2], b[2])]
 
 
+def _group(node: list, items: list) -> list | None:
+    """A repeated group with the plain items that it matches merged in, if it does."""
+    if not node[0].startswith("(") or [x[0] for x in items[: len(node[2])]] != [x[0] for x in node[2]]:
+        return None
+    return [node[0], node[1], [merge(x, y) for x, y in zip(node[2], items)]]
+
+
 def align(a: list, b: list) -> list:
     """Align two sequences; what only one has becomes optional."""
     out = []
@@ -91,6 +98,14 @@ def align(a: list, b: list) -> list:
             out.append(merge(a[i], b[j]))
             i, j = i + 1, j + 1
             continue
+        if once := _group(a[i], b[j:]):
+            out.append(once)
+            i, j = i + 1, j + len(once[2])
+            continue
+        if once := _group(b[j], a[i:]):
+            out.append(once)
+            i, j = i + len(once[2]), j + 1
+            continue
         skip_b = next((k for k in range(j + 1, len(b)) if b[k][0] == a[i][0]), None)
         skip_a = next((k for k in range(i + 1, len(a)) if a[k][0] == b[j][0]), None)
         if skip_a is None and skip_b is None:
@@ -107,7 +122,8 @@ def align(a: list, b: list) -> list:
 
 
 def repeated(items: list) -> list:
-    """Neighbouring groups of alike siblings as one repeated group, shortest groups first."""
+    """Neighbouring alike siblings, or groups of siblings, as one repetition; shortest
+    groups first. A group of several is a node labelled with their labels in brackets."""
     out: list = []
     for item in items:
         if out and out[-1][0] == item[0]:
@@ -117,10 +133,14 @@ def repeated(items: list) -> list:
     for width in range(2, min(LONGEST_GROUP, len(out) // 2) + 1):
         i = 0
         while i + 2 * width <= len(out):
-            if all(out[i + k][0] == out[i + width + k][0] for k in range(width)):
-                out[i : i + 2 * width] = [merge(out[i + k], out[i + width + k], joined=True) for k in range(width)]
-            else:
-                i += 1
+            names = [x[0] for x in out[i : i + width]]
+            end, group = i + width, out[i : i + width]
+            while [x[0] for x in out[end : end + width]] == names:
+                group = [merge(x, y) for x, y in zip(group, out[end : end + width])]
+                end += width
+            if end > i + width:
+                out[i:end] = [[f"({' '.join(names)})", "+", group]]
+            i += 1
     return out
 
 
@@ -210,8 +230,12 @@ def regions(wrapper: list, stats: dict[str, tuple]) -> list[str]:
             return
         if name == "main" or any(m in MAIN_MARKS for m in marks):
             mains.append(path)
-        for child in node[2]:
-            if child[0] != SLOT:
+        children = list(node[2])
+        while children:
+            child = children.pop(0)
+            if child[0].startswith("("):
+                children = [*child[2], *children]
+            elif child[0] != SLOT:
                 walk(child, f"{path}/{child[0]}", inside or path in mains)
         texts, chars, linked, low, high, pages = stats.get(path, (0, 0, 0, 0, 0, 0))
         if chars and (pages < 3 or low != high):
@@ -293,11 +317,12 @@ def text_at(root: Node, paths: set[str]) -> str:
                 if not (item.marks and dropped(label, inside)):
                     walk(item, path if not item.marks else f"{path}/{label}", inside or f"{path}/{label}" in paths)
                 continue
-            out.append(" ")
+            gap = "" if item.name in SILENT else " "
+            out.append(gap)
             if not dropped(label, inside):
                 below = f"{path}/{label}"
                 walk(item, below, inside or below in paths)
-            out.append(" ")
+            out.append(gap)
 
     label = _label(root)
     walk(root, label, label in paths)

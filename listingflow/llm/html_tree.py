@@ -13,6 +13,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr".split()
 )
+#: Elements without text of their own that don't part the words around them.
+SILENT = frozenset("area button canvas embed iframe img input link meta noscript object param script select source style svg template textarea track".split())
 #: Elements that a start tag of the given name closes, up to the nearest container.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
