@@ -25,6 +25,7 @@ class ScoreRules:
     roles: Mapping[str, tuple[str, ...]]
     lexicons: Mapping[str, tuple[str, ...]]
     default_category: str
+    # Shipped weights, defaults and places of the score.
     role_weight: float = 0.35
     skills_weight: float = 0.25
     experience_weight: float = 0.15
@@ -182,6 +183,7 @@ def role_part(hits: list[Column], role_values: Column) -> Column:
 
 
 def role_detail(hits: list[Column], role_values: Column, rules: ScoreRules) -> Column:
+    # The wording of reasons.
     notes = [
         F.when(hit & (role_values[i] == 1.0), F.lit(f"Role '{role}' matches CV")).when(
             hit & (role_values[i] > 0.0), F.lit(f"Role '{role}' partially matches CV")

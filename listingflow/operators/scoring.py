@@ -135,8 +135,9 @@ def top_per_profile(
     A score depends on a listing only through a small signature (roles hit, skills
     named, years asked, place and freshness), and on a profile only through its
     features. So listings are reduced to distinct signatures, profiles to distinct
-    features, and only these are scored against each other; listing rows and
-    profiles never meet in pairs. The reduction is exact: the best ``k`` listings
+    features, and only these are scored against each other: every distinct signature
+    meets every distinct kind of profile, which on varied texts is little less than
+    every listing with every profile. The reduction is exact: the best ``k`` listings
     of a profile lie in its best ``k`` signatures ordered by score and first
     ``ord``, and within a signature they are its ``k`` earliest rows.
     """
@@ -180,11 +181,12 @@ def top_per_profile(
         features.groupBy("digest", *feature_cols).agg(F.min(profile_id).alias("kind")), "profiles"
     )
 
-    # Every kind of profile is compared with every kind of listing: the sides are
-    # matched bucket by bucket, and no side is collected or forced into a broadcast.
-    buckets = 8
-    left = groups.drop("ords").select("*", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_b"))
-    right = kinds.drop("digest").withColumn("_b", F.pmod(F.xxhash64("kind"), F.lit(buckets)).cast("int"))
+    # Every kind of profile is compared with every kind of listing. Signatures are spread
+    # over as many buckets as there are shuffle partitions and stay one row each; the far
+    # fewer kinds of profiles are copied to the buckets. No side is collected.
+    buckets = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = groups.drop("ords").withColumn("_b", F.pmod(F.xxhash64("first_ord"), F.lit(buckets)).cast("int"))
+    right = kinds.drop("digest").select("*", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_b"))
     flags = [F.col("roles")[i] for i in range(len(rules.roles))]
     matched = F.lit(0)
     for i in range(S.mask_words(rules)):

@@ -40,6 +40,7 @@ def task_grid(keywords: DataFrame, variants: Sequence[tuple[str, str]], ord_col:
     )
 
 
+# The shapes of the three search addresses below.
 def path_search_url(base: str, keyword, location, page) -> Column:
     """Words in the path, pages counted from 1 and named from the second on."""
     low = lambda c: percent_encode(F.trim(F.lower(col(c))))
