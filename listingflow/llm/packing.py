@@ -54,56 +54,73 @@ class Chunks:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.starts = np.zeros(max(vocab.values()) + 1, bool)
+        self.leading = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
-            self.starts[i] = token.startswith("Ġ")  # how the vocabulary spells a leading space
-        self.known: dict[str, np.ndarray] = {}
+            self.leading[i] = token.startswith("Ġ")  # how the vocabulary spells a leading space
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Place of each known chunk; its ids are ``ids[starts[place]:starts[place + 1]]``.
+        self.known: dict[str, int] = {}
+        self.ids, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, chunks: list[str]) -> None:
-        """Tokenize new chunks, a few thousand joined to one text."""
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self.known.clear()
-        for i in range(0, len(chunks), 4096):
-            some = chunks[i : i + 4096]
-            ids = self.whole([" " + " ".join(some)])[0]
-            cuts = np.flatnonzero(self.starts[ids])
-            if len(cuts) != len(some):
+    def places(self, chunks: list[str]) -> np.ndarray:
+        """The place of each chunk; new ones are tokenized, some thousand joined to one text."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        out = np.fromiter((self.known.get(c, -1) for c in chunks), np.int64, len(chunks))
+        fresh = np.flatnonzero(out < 0)
+        ids, starts, end = [self.ids], [self.starts], self.starts[-1]
+        for i in range(0, len(fresh), 4096):
+            some = [chunks[k] for k in fresh[i : i + 4096]]
+            found = self.whole([" " + " ".join(some)])[0]
+            cuts = np.flatnonzero(self.leading[found])
+            if len(cuts) != len(some):  # a chunk that holds such a token itself
                 parts = self.whole([" " + c for c in some])
-            else:
-                parts = np.split(ids, cuts[1:])
-            self.known.update(zip(some, parts))
+                found = np.concatenate(parts)
+                cuts = np.cumsum([0, *map(len, parts)])[:-1]
+            ids.append(found)
+            starts.append(end + np.append(cuts[1:], len(found)))
+            end += len(found)
+        out[fresh] = len(self.known) + np.arange(len(fresh))
+        self.known.update((chunks[k], int(out[k])) for k in fresh)
+        self.ids, self.starts = np.concatenate(ids), np.concatenate(starts)
+        return out
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        whole = pc.match_substring_regex(texts, r" ([\s\p{Z}\x{85}\x{0b}\x{1c}-\x{1f}]|$)").to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, r" ([\s\p{Z}\x{85}\x{0b}\x{1c}-\x{1f}]|$)").to_numpy(zero_copy_only=False).astype(bool)
         lists = pc.split_pattern(texts, " ")
         offsets = np.asarray(lists.offsets)
         offsets = offsets - offsets[0]
         coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
         index = np.asarray(coded.indices)
         inner = np.ones(len(index), bool)
         inner[offsets[:-1]] = False
-        inner[np.repeat(whole.astype(bool), np.diff(offsets))] = False
+        inner[np.repeat(whole, np.diff(offsets))] = False
         used = np.unique(index[inner])
-        fresh = [distinct[i] for i in used if distinct[i] not in self.known]
-        self.learn(fresh)
-        table = np.empty(len(distinct), object)
-        for i in used:
-            table[i] = self.known.get(distinct[i])
-        if any(table[i] is None for i in used):  # the memory was emptied for the new ones
-            self.learn([distinct[i] for i in used if table[i] is None])
-            for i in used:
-                if table[i] is None:
-                    table[i] = self.known[distinct[i]]
-        heads = self.whole([texts[i].as_py() if whole[i] else distinct[index[offsets[i]]] for i in range(len(texts))])
-        for i, head in enumerate(heads):
-            if whole[i]:
-                yield head
-            else:
-                yield np.concatenate([head, *table[index[offsets[i] + 1 : offsets[i + 1]]]])
+        place = np.zeros(len(coded.dictionary), np.int64)
+        place[used] = self.places(coded.dictionary.take(pa.array(used)).to_pylist())
+        heads = self.whole(
+            [texts[i].as_py() if whole[i] else coded.dictionary[int(index[k])].as_py() for i, k in enumerate(offsets[:-1])]
+        )
+        # Lengths of all pieces in order: the first of a text is its head.
+        sizes = np.zeros(len(index), np.int64)
+        chosen = place[index[inner]]
+        sizes[inner] = self.starts[chosen + 1] - self.starts[chosen]
+        sizes[offsets[:-1]] = [len(h) for h in heads]
+        ends = np.cumsum(sizes)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        lengths = sizes[inner]
+        into = ends[inner] - lengths
+        within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        out[np.repeat(into, lengths) + within] = self.ids[np.repeat(self.starts[chosen], lengths) + within]
+        bounds = np.append(0, ends)[offsets]
+        for head, a, b in zip(heads, bounds[:-1], bounds[1:]):
+            out[a : a + len(head)] = head
+            yield out[a:b]
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -117,7 +134,7 @@ def _tokenize(tokenizer_path: str):
         sequence = row
         chunks = _workers.setdefault(tokenizer_path, None) or Chunks(tokenizer_path)
         _workers[tokenizer_path] = chunks
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 8 << 20):
             out: list[tuple] = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), chunks.encode(texts_of(batch, "text"))):
                 ids = np.append(ids, np.uint32(END))
