@@ -22,28 +22,40 @@ PENALTY, STEPS = 1.0, 200
 CUT = 0.5
 
 
+#: Code points of a text, or of several, that are looked at together.
+BLOCK = 1 << 19
+
+
 def ngrams(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """``(row, feature)`` of every distinct n-gram; with ``wanted`` only of those."""
     plain = pc.utf8_lower(pc.replace_substring_regex(pc.utf8_trim_whitespace(texts), r"\s+", " "))
     # A text border is a code point that no text has.
     joined = "\udc80".join(["", *plain.to_pylist(), ""])
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    border = points == 0xDC80
-    row = np.cumsum(border) - 1
-    rows, found = [], []
-    for size in SIZES:
-        n = len(points) - size + 1
-        total = np.zeros(max(n, 0), np.uint64)
-        inside = np.ones(max(n, 0), bool)
-        for i in range(size):
-            total = total * STEP + points[i : i + n]
-            inside &= ~border[i : i + n]
-        feature = (mix(total + np.uint64(size)) >> np.uint64(64 - BITS)).astype(np.int64)
-        if wanted is not None:
-            inside &= wanted[feature]
-        rows.append(row[:n][inside])
-        found.append(feature[inside])
-    return distinct(np.concatenate(rows), np.concatenate(found))
+    first_row, rows, found = 0, [], []
+    # Blocks overlap, so every n-gram lies in the block in which it begins.
+    for start in range(0, len(points), BLOCK):
+        some = points[start : start + BLOCK + max(SIZES) - 1]
+        border = some == 0xDC80
+        row = (np.cumsum(border) - 1 + first_row).astype(np.int32)
+        block_rows, block_found = [], []
+        for size in SIZES:
+            n = max(min(len(some) - size + 1, BLOCK), 0)
+            total = np.zeros(n, np.uint64)
+            inside = np.ones(n, bool)
+            for i in range(size):
+                total = total * STEP + some[i : i + n]
+                inside &= ~border[i : i + n]
+            feature = (mix(total + np.uint64(size)) >> np.uint64(64 - BITS)).astype(np.int32)
+            if wanted is not None:
+                inside &= wanted[feature]
+            block_rows.append(row[:n][inside])
+            block_found.append(feature[inside])
+        first_row += int(np.count_nonzero(border[:BLOCK]))
+        r, f = distinct(np.concatenate(block_rows), np.concatenate(block_found))
+        rows.append(r)
+        found.append(f)
+    return distinct(np.concatenate(rows), np.concatenate(found)) if len(rows) > 1 else (rows[0], found[0])
 
 
 def fit(data: Training) -> tuple[np.ndarray, float]:
