@@ -23,8 +23,11 @@ from listingflow.scratch import discard, materialize
 
 PER_CLASS = 8_000
 BITS = 20
-#: A feature is kept if its class counts differ with this likelihood-ratio statistic.
-LEAST_G2, LEAST_DOCS = 20.0, 4
+#: Bytes of text whose features are found together; it bounds a task's memory.
+SLICE = 1 << 20
+#: A feature is kept if its class counts differ with this likelihood-ratio statistic and
+#: its log-count ratio is at least this far from zero.
+LEAST_G2, LEAST_DOCS, LEAST_RATIO = 20.0, 4, 0.5
 
 #: Text array -> (row, feature) of every distinct feature of every text, sorted by row.
 Features = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
@@ -63,7 +66,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 def _counter(features: Features):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << BITS), np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             rows, found = features(texts_of(batch, "text"))
             of = np.asarray(batch.column("label"))[rows]
             for c in (0, 1):
@@ -81,11 +84,10 @@ def _lister(features: Features, chosen: np.ndarray):
     place[chosen] = np.arange(len(chosen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            rows, found = features(texts_of(batch, "text"))
-            kept = place[found] >= 0
-            ends = np.cumsum(np.bincount(rows[kept], minlength=len(batch)))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(place[found[kept]]))
+        for batch in slices(batches, "text", SLICE):
+            rows, found = features(texts_of(batch, "text"), place >= 0)
+            ends = np.cumsum(np.bincount(rows, minlength=len(batch)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(place[found]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), lists], names=["doc_id", "label", "found"])
 
     return run
@@ -131,12 +133,12 @@ def prepare(docs: DataFrame, labels: DataFrame, label: str, features: Features)
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     d0, d1 = sizes.get(0, 0), sizes.get(1, 0)
     n0, n1 = counts["n0"].to_numpy(float), counts["n1"].to_numpy(float)
+    ratios = np.log((n1 + 1) / (d1 + 2)) - np.log((n0 + 1) / (d0 + 2))
     if d0 and d1:
-        told = _g2(n0, n1, d0, d1) >= LEAST_G2
+        told = (_g2(n0, n1, d0, d1) >= LEAST_G2) & (np.abs(ratios) >= LEAST_RATIO)
     else:
         told = np.zeros(len(counts), bool)
-    n0, n1 = n0[told], n1[told]
-    ratios = np.log((n1 + 1) / (d1 + 2)) - np.log((n0 + 1) / (d0 + 2))
+    ratios = ratios[told]
     chosen = counts["feature"].to_numpy()[told]
     lists = sample.mapInArrow(_lister(features, chosen), "doc_id long, label int, found array<int>").orderBy("doc_id", "label").toArrow()
     discard(sample)
@@ -158,7 +160,7 @@ def scored(
     where the margin is the intercept and the weights of the text's distinct features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             rows, found = features(texts_of(batch, "text"), weights != 0)
             margins = intercept + np.bincount(rows, weights[found], minlength=len(batch))
             scores = 1 / (1 + np.exp(-np.clip(scale * margins + shift, -500, 500)))
