@@ -10,6 +10,7 @@ score by a logistic curve.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -29,15 +30,17 @@ CUT = 0.3
 SEED = 3
 
 _CORE = re.compile(r"[^\W_]+(?:.*[^\W_])?", re.S)
+_DIGIT = re.compile(r"\d")
 
 
+@functools.lru_cache(maxsize=1 << 18)
 def _described(word: str) -> tuple[int, int]:
     """Hashes of a word without case and outer punctuation, and of its shape."""
     core = _CORE.search(word)
     inner = core.group() if core else ""
     end = word[core.end() :] if core else word
     case = "u" if inner.isupper() and len(inner) > 1 else "l" if inner.islower() else "t" if inner.istitle() else "m" if inner else "-"
-    digits = any(c.isdigit() for c in inner)
+    digits = _DIGIT.search(inner) is not None
     shape = f"{case}{digits:d}{min(len(inner), 24) // 8}{word[: core.start()][:2] if core else ''} {end[:3]}"
     return xxhash.xxh3_64_intdigest(inner.lower()), xxhash.xxh3_64_intdigest(shape)
 
