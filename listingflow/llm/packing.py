@@ -32,15 +32,12 @@ END = 0
 QUADRATIC = 4096
 #: Tokens of one shard: some 2,000 sequences, a few MB.
 SHARD_TOKENS = 1 << 21
-#: Distinct chunks a task remembers between batches.
+#: Distinct chunks a task remembers.
 REMEMBERED = 1 << 20
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _TOKENIZED = _PIECES + ", row long, rest binary"
 
-_workers: dict[str, Chunks] = {}
-
-
 class Chunks:
     """Token ids of texts, with each distinct chunk tokenized once.
 
@@ -132,8 +129,7 @@ def _tokenize(tokenizer_path: str):
         # Numbers that no other task uses; they are read back from the written table.
         row = TaskContext.get().partitionId() << 36
         sequence = row
-        chunks = _workers.setdefault(tokenizer_path, None) or Chunks(tokenizer_path)
-        _workers[tokenizer_path] = chunks
+        chunks = Chunks(tokenizer_path)  # forgotten with the task
         for batch in slices(batches, "text", 8 << 20):
             out: list[tuple] = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), chunks.encode(texts_of(batch, "text"))):
