@@ -105,16 +105,17 @@ class Training:
     weights: np.ndarray
 
 
-def _g2(n0: np.ndarray, n1: np.ndarray, d0: float, d1: float) -> np.ndarray:
-    """Likelihood ratio of two document frequencies against a common one."""
-    rate = (n0 + n1) / (d0 + d1)
-    total = np.zeros(len(n0))
-    for n, d in ((n0, d0), (n1, d1)):
+def _told(d0: int, d1: int) -> F.Column:
+    """Whether a feature of ``n0`` and ``n1`` documents tells classes of ``d0`` and ``d1``
+    documents apart: likelihood ratio of two frequencies against a common one, and size of
+    the log-count ratio."""
+    rate = (F.col("n0") + F.col("n1")) / (d0 + d1)
+    total = F.lit(0.0)
+    for n, d in ((F.col("n0"), d0), (F.col("n1"), d1)):
         for seen, expected in ((n, rate * d), (d - n, (1 - rate) * d)):
-            part = np.zeros(len(n0))
-            np.log(seen / np.maximum(expected, 1e-12), out=part, where=seen > 0)
-            total += 2 * seen * part
-    return total
+            total = total + F.when(seen > 0, 2 * seen * F.ln(seen / F.greatest(expected, F.lit(1e-12)))).otherwise(0.0)
+    ratio = F.ln((F.col("n1") + 1) / (d1 + 2)) - F.ln((F.col("n0") + 1) / (d0 + 2))
+    return (total >= LEAST_G2) & (F.abs(ratio) >= LEAST_RATIO)
 
 
 def prepare(docs: DataFrame, labels: DataFrame, label: str, features: Features) -> Training:
@@ -122,24 +123,19 @@ def prepare(docs: DataFrame, labels: DataFrame, label: str, features: Features)
     features, their log-count ratios and the sample's feature lists come to the driver.
     Their size is bounded by the sample and the number of hashed features."""
     sample, class_weights = labelled_sample(docs, labels, label)
+    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    d0, d1 = sizes.get(0, 0), sizes.get(1, 0)
     counts = (
         sample.mapInArrow(_counter(features), "feature int, n0 long, n1 long")
         .groupBy("feature")
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         .where(f"n0 + n1 >= {LEAST_DOCS}")
+        .where(_told(d0, d1) if d0 and d1 else F.lit(False))
         .orderBy("feature")
-        .toPandas()
+        .toArrow()
     )
-    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    d0, d1 = sizes.get(0, 0), sizes.get(1, 0)
-    n0, n1 = counts["n0"].to_numpy(float), counts["n1"].to_numpy(float)
+    chosen, n0, n1 = (counts.column(c).to_numpy() for c in ("feature", "n0", "n1"))
     ratios = np.log((n1 + 1) / (d1 + 2)) - np.log((n0 + 1) / (d0 + 2))
-    if d0 and d1:
-        told = (_g2(n0, n1, d0, d1) >= LEAST_G2) & (np.abs(ratios) >= LEAST_RATIO)
-    else:
-        told = np.zeros(len(counts), bool)
-    ratios = ratios[told]
-    chosen = counts["feature"].to_numpy()[told]
     lists = sample.mapInArrow(_lister(features, chosen), "doc_id long, label int, found array<int>").orderBy("doc_id", "label").toArrow()
     discard(sample)
     found = lists.column("found").combine_chunks()

@@ -33,7 +33,7 @@ _CORE = re.compile(r"[^\W_]+(?:.*[^\W_])?", re.S)
 _DIGIT = re.compile(r"\d")
 
 
-@functools.lru_cache(maxsize=1 << 18)
+@functools.lru_cache(maxsize=1 << 16)
 def _described(word: str) -> tuple[int, int]:
     """Hashes of a word without case and outer punctuation, and of its shape."""
     core = _CORE.search(word)
