@@ -7,6 +7,10 @@ in descending length, each document goes to the sequence of lowest cost that has
 it; one that fits nowhere is cut and fills the sequences with most room. A shard has as
 many sequences as its tokens fill; the tokens beyond full sequences go to sequences whose
 lengths are powers of two, which need no padding.
+
+Where documents have a place in an order, shards are ranges of it and sequences are
+numbered by it: a whole sequence by the place of its document, the others of a shard, in
+the order of their tokens' mean place, spread over the places of the shard.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from listingflow.llm.words import slices, texts_of
 from listingflow.scratch import materialize
@@ -34,6 +39,10 @@ QUADRATIC = 4096
 SHARD_TOKENS = 1 << 21
 #: Distinct chunks a task remembers.
 REMEMBERED = 1 << 20
+#: Sequences numbered for one place: half for the whole ones of its document.
+PLACE_BITS = 24
+#: Cells of places whose tokens are added up together to find shards.
+CELLS = 256
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _TOKENIZED = _PIECES + ", row long, rest binary"
@@ -124,7 +133,7 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _tokenize(tokenizer_path: str):
+def _tokenize(tokenizer_path: str, placed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Numbers that no other task uses; they are read back from the written table.
         row = TaskContext.get().partitionId() << 36
@@ -132,7 +141,10 @@ def _tokenize(tokenizer_path: str):
         chunks = Chunks(tokenizer_path)  # forgotten with the task
         for batch in slices(batches, "text", 8 << 20):
             out: list[tuple] = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), chunks.encode(texts_of(batch, "text"))):
+            at = batch.column("place").to_pylist() if placed else None
+            for i, (doc_id, ids) in enumerate(zip(batch.column("doc_id").to_pylist(), chunks.encode(texts_of(batch, "text")))):
+                if at is not None:
+                    row, sequence = at[i], at[i] << PLACE_BITS
                 ids = np.append(ids, np.uint32(END))
                 full = len(ids) // CAPACITY * CAPACITY
                 for start in range(0, full, CAPACITY):
@@ -206,41 +218,72 @@ def assign(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int,
     return pieces
 
 
-def _packed(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["length", "row"], ascending=[False, True], kind="stable").reset_index(drop=True)
-    ids = []
-    for rest, n in zip(group["rest"], group["length"]):
-        ids.append(np.frombuffer(rest, "<u2" if len(rest) == 2 * n else "<u4"))
-    shard = int(group["shard"].iloc[0])
-    out = []
-    for doc, start, length, sequence, offset in assign(group["length"].tolist()):
-        out.append(
-            (
-                group["doc_id"].iat[doc], group["start"].iat[doc] + start, length, _crc(ids[doc][start : start + length]),
-                group["doc_tokens"].iat[doc], (1 << 62) + (shard << 24) + sequence, offset,
+def _packed(placed: bool):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["length", "row"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        ids = []
+        for rest, n in zip(group["rest"], group["length"]):
+            ids.append(np.frombuffer(rest, "<u2" if len(rest) == 2 * n else "<u4"))
+        pieces = assign(group["length"].tolist())
+        numbers = _placed(pieces, group["row"].to_numpy()) if placed else (1 << 62) + (int(group["shard"].iloc[0]) << 24) + np.arange(len(pieces))
+        out = []
+        for doc, start, length, sequence, offset in pieces:
+            out.append(
+                (
+                    group["doc_id"].iat[doc], group["start"].iat[doc] + start, length, _crc(ids[doc][start : start + length]),
+                    group["doc_tokens"].iat[doc], numbers[sequence], offset,
+                )
             )
-        )
-    result = pd.DataFrame(out, columns=[f.split()[0] for f in _PIECES.split(", ")])
-    return result.astype({c: "int64" for c in result.columns if c != "doc_id"})
+        result = pd.DataFrame(out, columns=[f.split()[0] for f in _PIECES.split(", ")])
+        return result.astype({c: "int64" for c in result.columns if c != "doc_id"})
+
+    return run
+
+
+def _placed(pieces: list[tuple[int, int, int, int, int]], places: np.ndarray) -> np.ndarray:
+    """The number of each sequence of a shard whose documents have these ``places``."""
+    doc, _, length, sequence, _ = (np.array(c) for c in zip(*pieces))
+    first = places.min()
+    mean = np.bincount(sequence, (places[doc] - first) * length) / np.bincount(sequence, length)
+    rank = np.empty(len(mean), np.int64)
+    rank[np.argsort(mean, kind="stable")] = np.arange(len(mean))
+    spread = np.sort(places)[(2 * rank + 1) * len(places) // (2 * len(mean))]
+    return (spread.astype(np.int64) << PLACE_BITS) + (1 << PLACE_BITS - 1) + rank
 
 
-def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def _ranges(rests: DataFrame) -> DataFrame:
+    """``rests`` with ``shard``: ranges of places with ``SHARD_TOKENS`` to twice as many
+    tokens, where what begins every ``CELLS`` cells has that many. A cell of places has no
+    more than ``SHARD_TOKENS``, as every rest is shorter than a sequence."""
+    cell = F.floor(F.col("row") / max(1, SHARD_TOKENS // CAPACITY)).alias("cell")
+    sums = rests.groupBy(cell).agg(F.sum("length").alias("tokens")).withColumn("part", F.floor(F.col("cell") / CELLS))
+    before = F.sum("tokens").over(W.partitionBy("part").orderBy("cell").rowsBetween(W.unboundedPreceding, -1))
+    shard = F.col("part") * CELLS + F.floor(F.coalesce(before, F.lit(0)) / SHARD_TOKENS)
+    return rests.withColumn("cell", cell).join(sums.select("cell", shard.alias("shard")), "cell").drop("cell")
+
+
+def pack(docs: DataFrame, tokenizer_path: str, place: str | None = None) -> DataFrame:
     """Pieces of all rows of ``docs(doc_id, text, ...)``: doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset.
 
+    ``place`` names a column of distinct whole numbers, from 0 to below 2 ** 39, that orders
+    the rows: ascending sequence_ids then follow it. Without it sequences have no order.
+
     A null or empty text is the end token alone. Rows that repeat a doc_id are packed as
     documents of their own under that id; a null doc_id stays null. An empty table gives
     no rows; other columns are not looked at.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    tokenized = materialize(texts.mapInArrow(_tokenize(tokenizer_path), _TOKENIZED), "tokenized")
-    full = tokenized.where("rest is null").select(*[f.split()[0] for f in _PIECES.split(", ")])
-    rests = tokenized.where("rest is not null")
-    tokens = rests.agg(F.sum("length")).first()[0] or 0
-    shards = max(1, round(tokens / SHARD_TOKENS))
-    packed = (
-        rests.select("doc_id", "start", "length", "doc_tokens", "row", "rest", F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"))
-        .groupBy("shard")
-        .applyInPandas(_packed, _PIECES)
+    placed = place is not None
+    texts = docs.select(
+        F.col("doc_id").cast("long"), F.col("text").cast("string"), *([F.col(place).cast("long").alias("place")] if placed else [])
     )
-    return full.unionByName(packed)
+    tokenized = materialize(texts.mapInArrow(_tokenize(tokenizer_path, placed), _TOKENIZED), "tokenized")
+    full = tokenized.where("rest is null").select(*[f.split()[0] for f in _PIECES.split(", ")])
+    rests = tokenized.where("rest is not null").select("doc_id", "start", "length", "doc_tokens", "row", "rest")
+    if placed:
+        sharded = _ranges(rests)
+    else:
+        tokens = rests.agg(F.sum("length")).first()[0] or 0
+        shards = max(1, round(tokens / SHARD_TOKENS))
+        sharded = rests.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
+    return full.unionByName(sharded.groupBy("shard").applyInPandas(_packed(placed), _PIECES))

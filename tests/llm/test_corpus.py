@@ -277,6 +277,33 @@ def test_run_packs_what_the_stages_keep(spark, corpus, reference):
     check_pieces(corpus_pipeline.run(spark, DIR).collect(), kept, reference)
 
 
+def test_sequences_follow_the_schedule(spark, frame, monkeypatch):
+    """Over ascending sequence_id the sources have the share that the schedule gives them."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 1 << 12)
+    rng = random.Random(6)
+    text = lambda i: " ".join(["word"] * (2500 if i % 1000 == 7 else rng.randint(20, 60)))
+    rows = [(i, text(i), "small" if i % 5 == 0 else "big", "", 1) for i in range(6000)]
+    rng.shuffle(rows)
+    docs = frame(rows, DOCS).drop("slot").repartition(5)
+    got = dict(corpus_pipeline.STAGES)["packing"](spark, docs, DIR).collect()
+    tokens = {r.doc_id: r.doc_tokens for r in got}
+    assert {i: sum(n) for i, n in _by_sequence((r.doc_id, r.length) for r in got).items()} == tokens and len(tokens) == len(rows)
+    for found in _by_sequence((r.sequence_id, (r.offset, r.length)) for r in got).values():
+        ends = np.cumsum([n for _, n in sorted(found)])
+        assert [o for o, _ in sorted(found)] == [0, *ends[:-1]] and ends[-1] <= packing.CAPACITY
+    source = {i: s for i, _, s, *_ in rows}
+
+    def shares(lengths):
+        small = np.cumsum([n if source[i] == "small" else 0 for i, n in lengths])
+        return np.cumsum([n for _, n in lengths]), small
+
+    by_place = sorted(mixing.mix(docs).collect(), key=lambda r: r.position)
+    want = shares([(r.doc_id, tokens[r.doc_id]) for r in by_place])
+    have = shares([(r.doc_id, r.length) for r in sorted(got, key=lambda r: r.sequence_id)])
+    away = np.abs(have[1] - np.interp(have[0], *want))
+    assert away.max() < 2 * packing.SHARD_TOKENS < want[1][-1] / 5
+
+
 def test_stages_of_an_empty_table(spark, corpus):
     docs = corpus("documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
