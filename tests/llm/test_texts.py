@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -196,6 +197,57 @@ def test_lm_scores_prefer_the_target(frame):
     assert max(r.score for r in got if r.doc_id % 2) < min(r.score for r in got if not r.doc_id % 2)
 
 
+def test_every_bigram_has_its_own_count(frame, monkeypatch):
+    """More distinct bigrams than any fixed table of counts held, some sent to all tasks
+    and some joined; rare pairs get their own evidence."""
+    monkeypatch.setattr(lm_scoring, "HOT", 1 << 10)
+    rng = np.random.default_rng(5)
+    docs = [(i, " ".join(f"w{x}" for x in rng.zipf(1.2, 400) % 3_000_000)) for i in range(300)]
+    target = [t for i, t in docs if i % 4 == 0]
+    rows = lm_scoring.cross_entropy_difference(
+        frame([(i, t, "x", 1) for i, t in docs], DOCS).repartition(4), frame([(0, t, "x", 1) for t in target], DOCS)
+    ).collect()
+    want = plain_scores(docs, target)
+    assert {r.doc_id: r.score for r in rows} == pytest.approx(want, rel=1e-9, abs=1e-9)
+    table = lm_scoring.losses(frame([], DOCS), frame([(i, t, "x", 1) for i, t in docs], DOCS))
+    bigrams = {b for _, t in docs for b in zip(["", *t.split()], t.split())}
+    assert table.count() == len(bigrams)
+    assert 0 < table.where(f"n >= {lm_scoring._least_hot(table)}").count() <= 1 << 10
+
+
+def plain_scores(docs, target):
+    """Scores from counts of the words themselves."""
+
+    def counts(texts):
+        pairs = Counter(b for t in texts for b in zip(["", *t.split()], t.split()))
+        words, histories = Counter(), Counter()
+        for (h, w), n in pairs.items():
+            words[w] += n
+            histories[h] += n
+        return words, histories, pairs
+
+    near, far = counts(target), counts([t for _, t in docs])
+    totals = [sum(m[0].values()) for m in (near, far)]
+
+    def loss(model, total, scale, h, w):
+        plain = (model[0][w] + lm_scoring.WORD_PRIOR * scale) / (total + lm_scoring.WORD_PRIOR * scale * 2**lm_scoring.WORD_BITS)
+        prior = lm_scoring.PAIR_PRIOR * scale
+        return -math.log((model[2][h, w] + prior * plain) / (model[1][h] + prior))
+
+    out = {}
+    for i, t in docs:
+        found = list(zip(["", *t.split()], t.split()))
+        out[i] = sum(loss(near, totals[0], 1.0, *b) - loss(far, totals[1], max(1.0, totals[1] / totals[0]), *b) for b in found) / len(found)
+    return out
+
+
+def test_target_has_all_curated_documents(frame):
+    ids = list(range(30_000))
+    docs = frame([(i, "t", "", 0) for i in ids], DOCS)
+    labels = frame([(i, 1, 0) for i in ids], "doc_id long, quality int, toxic int")
+    assert lm_scoring.curated(docs, labels).count() == sum(not is_held_out(i) for i in ids) > 10_000
+
+
 def test_lm_edge_cases(frame):
     docs = frame([(1, "a b", "", 0), (1, "a b", "", 0), (None, "c", "", 0)], DOCS)
     empty = frame([], DOCS)
