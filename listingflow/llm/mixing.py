@@ -5,23 +5,28 @@ alone. Block k of a source of weight w is released at slot floor(k / w) and due
 ceil((k + 1) / w); in every slot the released block with the earliest deadline runs. With
 weights that sum to one each source stays within one block of its share at all times.
 
-Weights are multiples of 1/Q, so the schedule repeats after Q slots: one period is worked
-out and all blocks find their slot by arithmetic. When a source has no blocks left, the
-weights of the others are scaled up and a new phase with its own period begins. The driver
-sees one row for each source and never a block; no document is left out or repeated.
+Windows follow from the weights as given: they are fractions of whole numbers, so nothing
+is rounded and no deviation adds up. When a source has no blocks left, the weights of the
+others are scaled up and a new phase begins. The driver sees one row for each source; the
+schedule, a row for each block, is written by a task that holds no more than a count of
+each source. No document is left out or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
+from fractions import Fraction
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from listingflow.scratch import materialize
+
 BLOCK = 64
 PERIOD = 4096
 #: Rows of one numbering group; only the number of groups depends on it.
@@ -41,34 +46,77 @@ def quantize(weights: Mapping[str | None, float], period: int) -> dict[str | Non
     return out
 
 
-def pfair_period(parts: Mapping[str | None, int], period: int) -> dict[str | None, list[int]]:
-    """The slots of each source in one period of ``period`` slots, by earliest deadline
-    among released blocks. ``parts`` sum to ``period``."""
-    names = sorted(parts, key=lambda s: (s is None, s or ""))
-    slots: dict[str | None, list[int]] = {s: [] for s in names}
-    waiting = [(0, -(-period // parts[s]), i) for i, s in enumerate(names)]
+def whole(weights: Mapping[str | None, float]) -> dict[str | None, int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    common = math.lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * common) for s, x in exact.items()}
+
+
+def _order(sources: Mapping[str | None, object]) -> list[str | None]:
+    return sorted(sources, key=lambda s: (s is None, s or ""))
+
+
+def pfair(parts: Sequence[int]) -> Iterator[int]:
+    """Which of the ``parts`` each slot goes to, without end: the earliest deadline among
+    released blocks."""
+    period = sum(parts)
+    ran = [0] * len(parts)
+    waiting = [(0, -(-period // p), i) for i, p in enumerate(parts)]
     heapq.heapify(waiting)
     ready: list[tuple[int, int]] = []
-    for t in range(period):
+    t = 0
+    while True:
         while waiting and waiting[0][0] <= t:
             _, due, i = heapq.heappop(waiting)
             heapq.heappush(ready, (due, i))
-        due, i = heapq.heappop(ready)
-        s = names[i]
-        slots[s].append(t)
-        k, p = len(slots[s]), parts[s]
+        _, i = heapq.heappop(ready)
+        yield i
+        ran[i] += 1
+        k, p = ran[i], parts[i]
         heapq.heappush(waiting, (k * period // p, -(-(k + 1) * period // p), i))
+        t += 1
+
+
+def pfair_period(parts: Mapping[str | None, int], period: int) -> dict[str | None, list[int]]:
+    """The slots of each source in one period of ``period`` slots, by earliest deadline
+    among released blocks. ``parts`` sum to ``period``."""
+    names = _order(parts)
+    slots: dict[str | None, list[int]] = {s: [] for s in names}
+    for t, i in zip(range(period), pfair([parts[s] for s in names])):
+        slots[names[i]].append(t)
     return slots
 
 
-def phases(blocks: Mapping[str | None, int], weights: Mapping[str | None, float], period: int = PERIOD) -> list[tuple]:
-    """Rows ``(source, first_block, end_block, start_slot, slots, period)``: the blocks of
-    a source that run in a phase, the slot at which it begins, and the source's slots in
-    the phase's period."""
+def _left(blocks: Mapping[str | None, int], weights: Mapping[str | None, float]) -> dict[str | None, int]:
     left = {s: n for s, n in blocks.items() if n > 0}
     missing = [s for s in left if not weights.get(s, 0) > 0]
     if missing:
         raise ValueError(f"sources without a positive target weight: {missing}")
+    return left
+
+
+def schedule(blocks: Mapping[str | None, int], weights: Mapping[str | None, float]) -> Iterator[tuple[str | None, int]]:
+    """``(source, block)`` of each slot. Within a phase, that is until a source runs out,
+    each source stays within one block of its share of the weights left."""
+    left = _left(blocks, weights)
+    while left:
+        names = _order(left)
+        parts = whole({s: weights[s] for s in names})
+        for i in pfair([parts[s] for s in names]):
+            s = names[i]
+            yield s, blocks[s] - left[s]
+            left[s] -= 1
+            if not left[s]:
+                del left[s]
+                break
+
+
+def phases(blocks: Mapping[str | None, int], weights: Mapping[str | None, float], period: int = PERIOD) -> list[tuple]:
+    """Rows ``(source, first_block, end_block, start_slot, slots, period)``: the blocks of
+    a source that run in a phase, the slot at which it begins, and the source's slots in
+    the phase's period. Weights are rounded to parts of the period, which is repeated."""
+    left = _left(blocks, weights)
     done = dict.fromkeys(left, 0)
     start, out = 0, []
     while left:
@@ -134,33 +182,64 @@ _PHASES = T.StructType(
 )
 
 
+def _placed(blocks: Mapping[str | None, int], weights: Mapping[str | None, float]):
+    """The schedule in pieces, as rows ``source, block, slot``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            sources, numbers, slot = [], [], 0
+            for s, k in schedule(blocks, weights):
+                sources.append(s)
+                numbers.append(k)
+                if len(sources) == 1 << 16:
+                    yield piece(sources, numbers, slot)
+                    slot += len(sources)
+                    sources, numbers = [], []
+            if sources:
+                yield piece(sources, numbers, slot)
+
+    def piece(sources: list[str | None], numbers: list[int], slot: int) -> pa.RecordBatch:
+        slots = pa.array(range(slot, slot + len(sources)), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.array(numbers, pa.int64()), slots], names=["source", "block", "slot"])
+
+    return run
+
+
+def _slots(spark: SparkSession, blocks: Mapping[str | None, int], weights: Mapping[str | None, float], period: int | None) -> DataFrame:
+    """``source, block, slot`` of all blocks."""
+    if period is None:
+        _left(blocks, weights)  # raises here, not in the task
+        return materialize(spark.range(0, 1, 1, 1).mapInArrow(_placed(blocks, weights), "source string, block long, slot long"), "schedule")
+    turns = F.size("_slots")
+    inside = F.col("block") - F.col("_first")
+    slot = F.col("_start") + F.floor(inside / turns) * F.col("_size") + F.get("_slots", (inside % turns).cast("int"))
+    table = spark.createDataFrame(phases(blocks, weights, period), _PHASES)
+    return table.withColumn("block", F.explode(F.expr("sequence(_first, _end - 1)"))).select(F.col("_source").alias("source"), "block", slot.alias("slot"))
+
+
 def mix(
-    docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD
+    docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, period: int | None = None
 ) -> DataFrame:
     """``docs(doc_id, source, ...)`` with ``block`` and ``slot`` (of the block) and
     ``position`` (ascending in the mixed order, unique, with gaps after partial blocks).
 
-    Without ``weights`` the sources are weighted by the square root of their size. Every
-    row is placed once. Null and repeated doc_ids are ordered by their other columns; rows
-    equal in all columns are interchangeable. A source without a positive weight raises an
-    error; an empty table gives no rows. No column but doc_id and source decides anything
-    else, and further columns are carried along.
+    Without ``weights`` the sources are weighted by the square root of their size. With a
+    ``period`` the weights are rounded to parts of it. Every row is placed once. Null and
+    repeated doc_ids are ordered by their other columns; rows equal in all columns are
+    interchangeable. A source without a positive weight raises an error; an empty table
+    gives no rows. No column but doc_id and source decides anything else, and further
+    columns are carried along.
     """
     counts = source_counts(docs)
     rows = sum(counts.values())
-    plan = phases({s: -(-n // block) for s, n in counts.items()}, weights or temperature_weights(counts), period)
-    # One row per source and phase, each with at most a period of slots.
-    table = docs.sparkSession.createDataFrame(plan, _PHASES)
+    slots = _slots(docs.sparkSession, {s: -(-n // block) for s, n in counts.items()}, weights or temperature_weights(counts), period)
+    key = F.struct(F.col("source").cast("string").alias("source"), "block").alias("_k")
     numbered = _numbered(docs, rows).withColumn("block", F.floor(F.col("_n") / block))
-    here = F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") >= F.col("_first")) & (F.col("block") < F.col("_end"))
-    inside = F.col("block") - F.col("_first")
-    turns = F.size("_slots")
-    slot = F.col("_start") + F.floor(inside / turns) * F.col("_size") + F.get("_slots", (inside % turns).cast("int"))
     return (
-        numbered.join(F.broadcast(table), here)
-        .withColumn("slot", slot)
+        numbered.withColumn("_k", key)
+        .join(slots.select(key, "slot"), "_k")
         .withColumn("position", F.col("slot") * block + F.col("_n") % block)
-        .drop("_n", "_source", "_first", "_end", "_start", "_slots", "_size")
+        .drop("_n", "_k")
     )
 
 

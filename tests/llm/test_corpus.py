@@ -242,6 +242,30 @@ def test_mixed_share_follows_the_weights(frame):
     assert np.abs(share).max() <= 10
 
 
+def test_deviation_does_not_grow_with_the_slots():
+    """Against the weights as given, over many times 4096 slots."""
+    sizes = dict(zip("abcdefg", [900, 5000, 70, 12_345, 333, 2, 1999]))
+    weights = {**mixing.temperature_weights(sizes), "rare": 1e-3}
+    blocks = dict.fromkeys(weights, 10**9)
+    total = math.fsum(weights.values())
+    ran = dict.fromkeys(weights, 0)
+    for t, (s, k) in zip(range(1, 60_001), mixing.schedule(blocks, weights)):
+        assert k == ran[s]
+        ran[s] += 1
+        assert t % 101 or all(abs(ran[x] - t * w / total) < 1 + 1e-6 for x, w in weights.items())
+
+
+def test_mixed_rows_follow_the_weights_as_given(frame):
+    docs = frame([(i, "t", "b" if i % 4 == 0 else "rare" if i % 1000 == 1 else "a", "", 1) for i in range(12_000)], DOCS).drop("slot")
+    weights = {"a": 0.7, "b": 0.29999, "rare": 1e-5}
+    rows = sorted(mixing.mix(docs, weights, block=1).collect(), key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(12_000))
+    end = max(i for i, r in enumerate(rows) if r.source == "b")
+    for s, w in weights.items():
+        away = np.cumsum([r.source == s for r in rows[:end]]) - w * np.arange(1, end + 1)
+        assert np.abs(away).max() < 1
+
+
 # Pipeline and registration
 
 
