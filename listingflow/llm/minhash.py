@@ -99,8 +99,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 #: Bits of the filter that tells which documents' shingles are needed, 8 MB in all. It
 #: only saves work: what it lets through beyond the wanted ids joins nothing.
 FILTER_BITS = 26
-#: Shingles of a block of documents that are compared in one task.
-BLOCK_SHINGLES = 1 << 17
+#: Shingles and documents of a block of documents that are compared in one task, and
+#: documents that are compared with all others of two blocks at a time.
+BLOCK_SHINGLES, BLOCK_DOCS, TILE = 1 << 17, 2000, 256
 _WANTED = "word int, bits long"
 
 
@@ -166,41 +167,62 @@ def _near(n: str, m: str, percent: int) -> str:
     return f"100L * least({n}, {m}) >= {percent}L * greatest({n}, {m})"
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets."""
+def overlaps(sets: list[np.ndarray], tile: int = TILE) -> Iterator[tuple[int, np.ndarray]]:
+    """Sizes of the intersections of pairs of sets: of ``tile`` sets at a time with all."""
     lengths = np.array([len(s) for s in sets])
     row = np.repeat(np.arange(len(sets)), lengths)
     _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     # A shingle of one set is in no intersection with another.
     common = often[column] > 1
     row, column = row[common], np.unique(column[common], return_inverse=True)[1]
-    out = np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     wide = max(1, (1 << 22) // max(1, len(sets)))
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
-        a, b = np.searchsorted(column, [first, first + wide])
-        hits = np.zeros((len(sets), wide), np.float32)
-        hits[row[a:b], column[a:b] - first] = 1
-        out += hits @ hits.T
-    out = out.astype(np.int64)
-    np.fill_diagonal(out, lengths)
-    return out
+    for start in range(0, len(sets), tile):
+        stop = min(start + tile, len(sets))
+        out = np.zeros((stop - start, len(sets)), np.float32)
+        # Only the shingles of these sets count.
+        mine = (row >= start) & (row < stop)
+        used = np.zeros(int(column[-1]) + 1 if len(column) else 0, bool)
+        used[column[mine]] = True
+        kept = used[column] if len(column) else mine
+        place = np.cumsum(used) - 1
+        rows, columns = row[kept], place[column[kept]]
+        for first in range(0, int(columns[-1]) + 1 if len(columns) else 0, wide):
+            a, b = np.searchsorted(columns, [first, first + wide])
+            hits = np.zeros((len(sets), min(wide, int(columns[-1]) + 1 - first)), np.float32)
+            hits[rows[a:b], columns[a:b] - first] = 1
+            out += hits[start:stop] @ hits.T
+        out[np.arange(stop - start), np.arange(start, stop)] = lengths[start:stop]
+        yield start, out
 
 
 def _joined(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Each document with the smallest one it is joined with by links among these."""
-    sizes = np.array([len(s) for s in sets])
-    common = overlaps(sets)
-    linked = (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)) & (common > 0)
+    sizes = np.array([len(s) for s in sets], np.float64)
+    linked = np.zeros((len(sets), len(sets)), bool)
+    for start, common in overlaps(sets):
+        mine = slice(start, start + len(common))
+        linked[mine] = (100 * common >= percent * (sizes[mine, None] + sizes[None, :] - common)) & (common > 0)
     label = ids.copy()
     while True:
-        low = np.where(linked, label[None, :], np.iinfo(np.int64).max).min(axis=1)
-        low = np.minimum(low, label)
+        low = label.copy()
+        for start in range(0, len(sets), TILE):
+            mine = slice(start, start + TILE)
+            low[mine] = np.minimum(low[mine], np.where(linked[mine], label[None, :], np.iinfo(np.int64).max).min(axis=1))
         if (low == label).all():
             break
         label = low
-    return [(int(i), int(x)) for i, x in zip(ids, label) if i != x]
+    return sorted({(int(i), int(x)) for i, x in zip(ids, label) if i != x})
+
+
+def _held(ids: list[int], sets: list[np.ndarray], doc: int, own: np.ndarray) -> bool:
+    for i in range(len(ids) - 1, -1, -1):
+        if ids[i] != doc:
+            return False
+        if np.array_equal(sets[i], own):
+            return True
+    return False
 
 
 def _compared(percent: int):
@@ -222,9 +244,11 @@ def _compared(percent: int):
                     if len(ids) > 1:
                         yield flush()
                     now, ids, sets = key, [], []
-                if not ids or ids[-1] != doc:
+                own = values[offsets[k] : offsets[k + 1]]
+                # Texts that share a doc_id come one after another; equal ones are one.
+                if not _held(ids, sets, doc, own):
                     ids.append(doc)
-                    sets.append(values[offsets[k] : offsets[k + 1]].copy())
+                    sets.append(own.copy())
         if len(ids) > 1:
             yield flush()
 
@@ -243,7 +267,8 @@ def _rest(shared: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -
         .join(hubs, "hub", "left")
         .select("hub", "doc_id", "n", (F.coalesce("component", "doc_id") != F.coalesce("_h", "hub")).alias("apart"))
     )
-    size = lambda apart: F.ceil(F.sum(F.when(F.col("apart") == apart, F.col("n")).otherwise(0)) / BLOCK_SHINGLES).cast("int")
+    share = F.greatest(F.col("n") / BLOCK_SHINGLES, F.lit(1 / BLOCK_DOCS))
+    size = lambda apart: F.ceil(F.sum(F.when(F.col("apart") == apart, share).otherwise(0.0))).cast("int")
     groups = (
         placed.groupBy("hub")
         .agg(size(True).alias("open_blocks"), F.greatest(size(False), F.lit(1)).alias("main_blocks"), F.count(F.lit(1)).alias("members"))

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -98,6 +99,58 @@ def test_document_edge_cases(frame):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 5, 6, 7, 8, 11, 12, 13, 14, 20]
 
 
+def test_blocks_of_short_texts_are_bounded(frame, monkeypatch):
+    """However few shingles the members of a hub have, no task compares more documents at
+    once than two blocks hold."""
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 40)
+
+    def sizes(percent):
+        def run(batches):
+            found = {}
+            for batch in batches:
+                for key in zip(*(batch.column(c).to_pylist() for c in ("hub", "kind", "i", "j"))):
+                    found[key] = found.get(key, 0) + 1
+            n = pa.array(found.values(), pa.int64())
+            yield pa.RecordBatch.from_arrays([n, n], names=["a", "b"])
+
+        return run
+
+    monkeypatch.setattr(minhash, "_compared", sizes)
+    ids = range(1, 1001)
+    got = minhash._rest(
+        frame([(1, i, 4) for i in ids], "hub long, doc_id long, n long"), frame([], "node long, component long"),
+        frame([(i, [i, 2, 3, 4]) for i in ids], "doc_id long, shingles array<long>"), 75,
+    )
+    assert 0 < max(r.a for r in got.collect()) < 160
+
+
+def test_short_texts_in_many_blocks_match_brute_force(frame, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 40)
+    rows = [(i, f"this text is the same but for {i}") for i in range(1, 301)]
+    rows += [(1000 + i, f"this text is the same but for {i} and") for i in range(1, 20)]
+    got = minhash.near_duplicates(frame([(i, t, "x", 0) for i, t in rows], DOCS)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_documents(rows)
+
+
+def test_tiles_compare_as_one(monkeypatch):
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 30, rng.integers(1, 20))) for _ in range(50)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    for tile in (1, 7, 50, 64):
+        assert np.concatenate([x for _, x in minhash.overlaps(sets, tile)]).tolist() == want
+
+
+def test_all_texts_of_a_doc_id_are_compared():
+    words = lambda text: np.array(sorted({hash(w) for w in text.split()}), np.int64)
+    rows = [(1, words("a b c d e f g h")), (2, words("q r s t")), (2, words("a b c d e f g h i"))]
+    columns = {c: pa.array([0] * 3, pa.int64()) for c in ("hub", "kind", "i", "j")}
+    batch = pa.RecordBatch.from_pydict(
+        columns | {"doc_id": pa.array([i for i, _ in rows]), "shingles": pa.array([s for _, s in rows], pa.list_(pa.int64()))}
+    )
+    got = [p for b in minhash._compared(75)(iter([batch])) for p in b.to_pylist()]
+    assert got == [{"a": 2, "b": 1}]
+
+
 def test_no_documents(frame):
     assert minhash.near_duplicates(frame([], DOCS)).collect() == []
     assert minhash.without_near_duplicates(frame([], DOCS)).collect() == []
