@@ -8,7 +8,8 @@ host, a regular expression without unions over tags, slots, ``?`` and ``+``.
 
 The wrapper shows which of its parts is the article: an ``article`` element, else the main
 region, else the part whose slots hold most text that changes from page to page and isn't
-links. Texts are then taken from each page at the wrapper's places.
+links. Copies of a page are one page there, and where nothing changes on a host its pages
+are read as a single one is. Texts are then taken from each page at the wrapper's places.
 
 Pages are reduced to distinct structures before alignment. A host's structures are
 aligned in groups of ``FAN_IN`` over several rounds, so a host with a third of all pages
@@ -181,7 +182,7 @@ def places(node: Node) -> Iterator[tuple[str, str, bool]]:
                 stack.append((item, f"{path}/{_label(item)}", link or item.name == "a"))
 
 
-_STATS = "host string, skeleton string, path string, texts long, chars long, linked long, low long, high long"
+_STATS = "host string, skeleton string, page long, path string, texts long, chars long, linked long, low long, high long"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,18 +193,20 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for host, page in zip(batch.column("host").to_pylist(), texts_of(batch, "html").to_pylist()):
             root = tree(page)
-            out.append((host, json.dumps(skeleton(root), ensure_ascii=False), None, None, None, None, None, None))
+            shape = json.dumps(skeleton(root), ensure_ascii=False)
+            out.append((host, shape, None, None, None, None, None, None, None))
             found: dict[str, list] = {}
             for path, text, link in places(root):
                 got = found.setdefault(path, [0, 0, []])
                 got[0] += len(text)
                 got[1] += len(text) if link else 0
                 got[2].append(text.strip())
+            same = xxhash.xxh3_64_intdigest(json.dumps([shape, sorted(found.items())])) >> 1
             for path, (chars, linked, texts) in found.items():
                 digest = xxhash.xxh3_64_intdigest("\n".join(texts)) >> 1
-                out.append((host, None, path, len(texts), chars, linked, digest, digest))
+                out.append((host, None, same, path, len(texts), chars, linked, digest, digest))
         names = [f.split()[0] for f in _STATS.split(", ")]
-        kinds = [pa.string()] * 3 + [pa.int64()] * 5
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.string()] + [pa.int64()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=names)
 
 
@@ -219,7 +222,7 @@ def _fold(group: pd.DataFrame) -> pd.DataFrame:
 def regions(wrapper: list, stats: dict[str, tuple]) -> list[str]:
     """Paths of the article in the wrapper: the outermost article elements, else the main
     region, else the part with most text of its own that changes and isn't links."""
-    articles, mains, bodies = [], [], {}
+    articles, mains, bodies, texts_of_all = [], [], {}, {}
 
     def walk(node: list, path: str, inside: bool) -> None:
         name, *marks = node[0].split(" ")
@@ -238,12 +241,16 @@ def regions(wrapper: list, stats: dict[str, tuple]) -> list[str]:
             elif child[0] != SLOT:
                 walk(child, f"{path}/{child[0]}", inside or path in mains)
         texts, chars, linked, low, high, pages = stats.get(path, (0, 0, 0, 0, 0, 0))
-        if chars and (pages < 3 or low != high):
-            bodies[path] = max(0, chars - 2 * linked)
+        if chars:
+            texts_of_all[path] = max(0, chars - 2 * linked)
+            if pages < 3 or low != high:
+                bodies[path] = texts_of_all[path]
 
     walk(wrapper, wrapper[0], False)
     if articles:
         return list(dict.fromkeys(articles))
+    # Where no text changes, that tells nothing.
+    bodies = bodies or texts_of_all
     if mains:
         # The innermost region that holds nearly all text of the outermost.
         held = {m: sum(v for p, v in bodies.items() if p == m or p.startswith(m + "/")) for m in mains}
@@ -291,6 +298,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         current = after
     stats = (
         read.where("path is not null")
+        .dropDuplicates(["host", "page", "path"])
         .groupBy("host", "path")
         .agg(*[F.sum(c).alias(c) for c in ("texts", "chars", "linked")], F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("pages"))
     )

@@ -153,6 +153,23 @@ def test_whole_operator_with_templates_and_edge_cases(frame):
     assert html_text.main_text(pages_frame(frame, [])).collect() == []
 
 
+def test_copies_of_a_page_are_one_page(frame):
+    page = "<body><header>h</header><div class=top0><a href=/>Start</a></div><div class=txt><p>A story that is long.</p></div><div class=low><p>Rights.</p></div></body>"
+    two = "<div class=content><h1>Title</h1></div><div class=content><div class=post>Some text in it.</div></div>"
+    rows = [(n * 100 + i, f"http://h{n}.example/{i}", page) for n in (1, 2, 3, 7) for i in range(n)]
+    rows += [(n * 10_000 + i, f"http://m{n}.example/{i}", two) for n in (1, 5) for i in range(n)]
+    text = {r.page_id: r.text for r in html_text.main_text(pages_frame(frame, rows)).collect()}
+    assert {text[i] for i, _, p in rows if p == page} == {text_of(page)} and "A story" in text_of(page) and "Start" not in text_of(page)
+    assert {text[i] for i, _, p in rows if p == two} == {text_of(two)}
+
+
+def test_pages_whose_texts_do_not_change_are_read_as_one(frame):
+    page = "<body><header>h</header><div class=top0><a href=/>Start</a></div><div class=txt><p>A story that is long.</p></div><div class=nav>{}</div></body>"
+    rows = [(i, f"http://same.example/{i}", page.format(i)) for i in range(5)]
+    text = {r.text for r in html_text.main_text(pages_frame(frame, rows)).collect()}
+    assert text == {text_of(page)} and "Start" not in text_of(page)
+
+
 def test_small_table_matches_a_plain_reading(corpus):
     import html
 
