@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingflow.llm import html_text, lm_scoring, minhash, mixing, near_vectors, order_minhash, packing, quality, toxicity, warc
+from listingflow.llm import (
+    byte_bpe, html_text, lm_scoring, merkle, minhash, mixing, near_vectors, order_minhash, packing, quality, toxicity, warc,
+    whitening,
+)
 from listingflow.llm.linear import held_out
 from listingflow.llm.ship import ship
 from listingflow.plans.registry import query
 from listingflow.scratch import scratch_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,3 +117,72 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_extraction")
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return whitened.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query("op12_byte_bpe")
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.coded_digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+def _sql_even(x: str) -> str:
+    """Whether CRC-32 of the decimal number ``x`` is even, bit by bit."""
+    bits = f"flatten([[ord(ch), 0, 0, 0, 0, 0, 0, 0] FOR ch IN string_split(CAST({x} AS VARCHAR), '')])"
+    return (
+        f"(list_reduce(list_prepend(4294967295, CAST({bits} AS BIGINT[])),"
+        " lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))) & 1) = 1"
+    )
+
+
+def _sql_leaf(text: str) -> str:
+    fields = [f"coalesce(octet_length(encode({c})) || ':' || {c}, '-')" for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
+@query(
+    "op13_merkle_manifest",
+    f"""WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, doc_id, source, {_sql_leaf('text')} AS leaf,
+         CASE WHEN {_sql_even('doc_id')} THEN {_sql_leaf("replace(text, chr(10), '')")} ELSE {_sql_leaf('text')} END AS changed
+  FROM documents),
+ranked AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n
+  FROM docs),
+nodes(tree, level, i, n, digest) AS (
+  SELECT tree, 0, i, n, leaf FROM ranked
+  UNION ALL
+  SELECT tree, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY i)) FROM nodes WHERE n > 1
+  GROUP BY tree, level, n, i // 3),
+kept AS MATERIALIZED (SELECT * FROM nodes),
+tops(level, i, n, digest) AS (
+  SELECT 0, tree, (SELECT count(DISTINCT tree) FROM ranked), digest FROM kept WHERE n = 1
+  UNION ALL
+  SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, n, i // 3),
+steps AS MATERIALIZED (
+  SELECT p.tree, p.level, p.i, p.n,
+         coalesce(string_agg(q.digest, '' ORDER BY q.i) FILTER (q.i < p.i), '') AS before,
+         coalesce(string_agg(q.digest, '' ORDER BY q.i) FILTER (q.i > p.i), '') AS after
+  FROM (SELECT * FROM kept UNION ALL SELECT NULL, level, i, n, digest FROM tops) p
+  JOIN (SELECT * FROM kept UNION ALL SELECT NULL, level, i, n, digest FROM tops) q
+    ON p.tree IS NOT DISTINCT FROM q.tree AND p.level = q.level AND p.i // 3 = q.i // 3
+  GROUP BY p.tree, p.level, p.i, p.n),
+fold(id, tree, of, level, i, digest, proof, done) AS (
+  SELECT id, tree, tree, 0, i, changed, '', false FROM ranked
+  UNION ALL
+  SELECT f.id, f.tree, CASE WHEN s.n > 1 THEN f.of END, CASE WHEN s.n > 1 THEN f.level + 1 ELSE 0 END,
+         CASE WHEN s.n > 1 THEN f.i // 3 ELSE f.tree END,
+         CASE WHEN s.n > 1 THEN sha256(s.before || f.digest || s.after) ELSE f.digest END,
+         CASE WHEN s.n > 1 THEN f.proof || s.before || s.after ELSE f.proof END, f.of IS NULL AND s.n = 1
+  FROM fold f JOIN steps s ON s.tree IS NOT DISTINCT FROM f.of AND s.level = f.level AND s.i = f.i WHERE NOT f.done),
+root AS (SELECT digest AS root FROM tops WHERE n = 1)
+SELECT r.doc_id, r.leaf, k.digest AS subroot, root, sha256(f.proof) AS proof_sha256, f.digest AS folded_root, f.digest = root AS verified
+FROM ranked r JOIN kept k ON k.tree = r.tree AND k.n = 1 JOIN fold f ON f.id = r.id AND f.done, root""",
+)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_manifest(table(spark, sf_dir, "documents"))
