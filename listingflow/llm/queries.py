@@ -13,7 +13,7 @@ from listingflow.llm import (
 from listingflow.llm.linear import held_out
 from listingflow.llm.ship import ship
 from listingflow.plans.registry import query
-from listingflow.scratch import scratch_path
+from listingflow.scratch import materialize, scratch_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -86,10 +86,12 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p JOIN f USING (payload_digest)""",
 )
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "warc")
+    path, files = scratch_path(spark, "warc"), scratch_path(spark, "warc-files")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
-    records = warc.read_archive(spark, path)
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    warc.write_warc(warc.read_archive(spark, path), files)
+    # Written once more without the bodies, as the files are parsed in Python.
+    records = materialize(warc.read_warc(spark, files, bodies=False).drop("header", "body"), "records")
+    return warc.full_payloads(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query("op6_document_fingerprints")

@@ -1,11 +1,14 @@
 """The WARC archive's round trip and the main text of pages."""
 
+import gzip
 import hashlib
+import io
 import re
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from listingflow.llm import html_text, html_tree, warc
 
@@ -73,19 +76,58 @@ def test_records_are_well_formed(spark, frame, tmp_path):
         assert ("WARC-Refers-To" in fields) == (r.record_type == "revisit")
 
 
-def test_exported_files_hold_the_records(spark, frame, tmp_path):
+def test_warc_files_hold_the_records_and_are_read_back(spark, frame, tmp_path):
     records = archived(spark, pages_frame(frame, ROWS), tmp_path)
-    warc.export_warc(records, str(tmp_path / "files"))
-    written = b"".join(p.read_bytes() for p in sorted((tmp_path / "files").glob("part-*")))
+    warc.write_warc(records, str(tmp_path / "files"), records_per_file=2)
+    written = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "files").glob("part-*")))
     want = [bytes(r.whole) for r in records.select(warc.record_bytes().alias("whole")).collect()]
     assert len(written) == sum(map(len, want)) and all(w in written for w in want)
+    read = warc.read_warc(spark, str(tmp_path / "files"))
+    got = [(r.page_id, r.record_type, r.refers_to, r.payload_digest, bytes(r.header)) for r in read.collect()]
+    kept = [(r.page_id, r.record_type, r.refers_to, r.payload_digest, bytes(r.header)) for r in records.collect()]
+    assert sorted(got, key=str) == sorted(kept, key=str)
+    full = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.full_payloads(read).collect()]
+    assert sorted(map(str, full)) == sorted(map(str, brute_archive(ROWS)))
+
+
+def test_every_byte_of_a_value_counts(spark, frame, tmp_path):
+    """With one byte of a value changed, a record reads differently or not at all."""
+    record = archived(spark, pages_frame(frame, [(41, "http://a", LONG)]), tmp_path).withColumn("whole", warc.record_bytes()).first()
+    whole = bytes(record.whole)
+    values = lambda f: tuple(f.get(n) for n in ("WARC-Type", "WARC-Record-ID", "WARC-Payload-Digest", "Content-Length"))
+    [(_, fields, _)] = warc.parsed_records(io.BytesIO(whole))
+    for name in ("WARC-Type", "WARC-Record-ID", "WARC-Payload-Digest", "Content-Length"):
+        start = whole.index(f"\r\n{name}: ".encode()) + len(name) + 4
+        for at in range(start, whole.index(b"\r\n", start)):
+            spoiled = whole[:at] + bytes([whole[at] ^ 1]) + whole[at + 1 :]
+            try:
+                [(_, got, _)] = warc.parsed_records(io.BytesIO(spoiled))
+            except (ValueError, KeyError):
+                continue
+            assert values(got) != values(fields)
+
+
+@pytest.mark.parametrize(("old", "new"), [(b"Length: 1", b"Length: 2"), (b"sha256:", b"sha257:"), (b"WARC-Type: res", b"WARC-Type: ref")])
+def test_a_changed_header_is_found(spark, frame, tmp_path, old, new):
+    archived(spark, pages_frame(frame, [(41, "http://a", LONG)]), tmp_path)
+    stored = spark.read.parquet(str(tmp_path / "archive" / "headers"))
+    changed = F.encode(F.replace(F.decode("header", "UTF-8"), F.lit(old.decode()), F.lit(new.decode())), "UTF-8")
+    stored.withColumn("header", changed).write.parquet(str(tmp_path / "bad" / "headers"))
+    spark.read.parquet(str(tmp_path / "archive" / "payloads")).write.parquet(str(tmp_path / "bad" / "payloads"))
+    with pytest.raises(Exception, match="payload differs"):
+        warc.read_archive(spark, str(tmp_path / "bad")).collect()
+
+
+def test_the_query_takes_its_columns_from_headers(spark, frame, tmp_path):
+    archived(spark, pages_frame(frame, ROWS), tmp_path)
+    assert spark.read.parquet(str(tmp_path / "archive" / "headers")).columns == ["header"]
+    read = warc.read_archive(spark, str(tmp_path / "archive")).select("page_id", "record_type", "refers_to", "payload_digest")
+    assert "header" in read._jdf.queryExecution().executedPlan().toString()
 
 
 def test_a_changed_payload_is_found(spark, frame, tmp_path):
     archived(spark, pages_frame(frame, ROWS), tmp_path)
     stored = spark.read.parquet(str(tmp_path / "archive" / "payloads"))
-    from pyspark.sql import functions as F
-
     spoiled = stored.withColumn("payload", F.when(F.col("payload_bytes") == 5, F.lit(b"shorx")).otherwise(F.col("payload")))
     spoiled.write.parquet(str(tmp_path / "bad" / "payloads"))
     spark.read.parquet(str(tmp_path / "archive" / "headers")).write.parquet(str(tmp_path / "bad" / "headers"))
