@@ -189,7 +189,6 @@ def manifest(leaves: DataFrame) -> DataFrame:
     subroot. An empty table gives no rows. Other columns are carried along; their names are
     packed away meanwhile, but the names of the results are taken.
     """
-    spark = leaves.sparkSession
     own = {"steps", "subroot", "root"} & set(leaves.columns)
     if own:
         raise ValueError(f"columns {sorted(own)} are results")
@@ -208,8 +207,7 @@ def manifest(leaves: DataFrame) -> DataFrame:
     tops = ranked(subroots, ["source"]).select("tree", "width", "lo", (F.col("lo") + 1).alias("hi"), "digest", "source")
     top_strides, top = _grown(tops.drop("source"))
     first = top.first()
-    root = spark.range(1).select(one.alias("tree"), F.array().cast(_STEPS).alias("steps"))
-    beyond = _attached(tops, top_strides, root).select(
+    beyond = _attached(tops, top_strides, top.select("tree", F.array().cast(_STEPS).alias("steps"))).select(
         F.struct("source").alias("tree"), "steps", F.col("digest").alias("subroot")
     )
     done = _attached(placed, strides, beyond)
