@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from listingflow.llm.words import slices, texts_of
+from listingflow.llm.words import slices, texts_of, tidy
 from listingflow.scratch import materialize
 
 CAPACITY = 1024
@@ -37,8 +38,8 @@ END = 0
 QUADRATIC = 4096
 #: Tokens of one shard: some 2,000 sequences, a few MB.
 SHARD_TOKENS = 1 << 21
-#: Distinct chunks a task remembers.
-REMEMBERED = 1 << 20
+#: Distinct chunks a worker process remembers, some 100 MB at most.
+REMEMBERED = 1 << 19
 #: Sequences numbered for one place: half for the whole ones of its document.
 PLACE_BITS = 24
 #: Cells of places whose tokens are added up together to find shards.
@@ -129,6 +130,12 @@ class Chunks:
             yield out[a:b]
 
 
+@lru_cache(maxsize=1)
+def chunks_of(tokenizer_path: str) -> Chunks:
+    """One tokenizer for a worker process, with the chunks that its tasks met last."""
+    return Chunks(tokenizer_path)
+
+
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -138,8 +145,8 @@ def _tokenize(tokenizer_path: str, placed: bool):
         # Numbers that no other task uses; they are read back from the written table.
         row = TaskContext.get().partitionId() << 36
         sequence = row
-        chunks = Chunks(tokenizer_path)  # forgotten with the task
-        for batch in slices(batches, "text", 8 << 20):
+        chunks = chunks_of(tokenizer_path)
+        for batch in slices(batches, "text", 4 << 20):
             out: list[tuple] = []
             at = batch.column("place").to_pylist() if placed else None
             for i, (doc_id, ids) in enumerate(zip(batch.column("doc_id").to_pylist(), chunks.encode(texts_of(batch, "text")))):
@@ -277,7 +284,7 @@ def pack(docs: DataFrame, tokenizer_path: str, place: str | None = None) -> Data
     texts = docs.select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"), *([F.col(place).cast("long").alias("place")] if placed else [])
     )
-    tokenized = materialize(texts.mapInArrow(_tokenize(tokenizer_path, placed), _TOKENIZED), "tokenized")
+    tokenized = materialize(texts.mapInArrow(tidy(_tokenize(tokenizer_path, placed)), _TOKENIZED), "tokenized")
     full = tokenized.where("rest is null").select(*[f.split()[0] for f in _PIECES.split(", ")])
     rests = tokenized.where("rest is not null").select("doc_id", "start", "length", "doc_tokens", "row", "rest")
     if placed:
