@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from listingflow.defaults import REJECTION_REASON
 from listingflow.functions.rules import blacklist_hit
 from listingflow.functions.text import text_or_empty
+from listingflow.operators.containment import contained, numbered
+from listingflow.scratch import materialize_observed
 
 
 def flag_rejected(
@@ -34,18 +36,15 @@ def flag_by_table(
 ) -> DataFrame:
     """``flag_rejected`` with the terms in a table of any size; blank terms match nothing.
 
-    Each text is cut into its parts of the lengths that terms have, and a part that is a
-    term is found by an equality join. A row makes about its texts' lengths times the number
-    of different term lengths of narrow rows, whatever the number of terms.
+    Each different text is searched once, through an index of the terms' rarest runs of
+    characters (``containment``); rows then learn by their texts whether one of them holds a
+    term.
     """
-    wanted = terms.select(F.lower(F.trim(text_or_empty(term))).alias("term")).where("term != ''").distinct()
-    lengths = wanted.agg(F.collect_set(F.length("term"))).scalar()
-    texts = df.select(ord_col, F.explode(F.array(*[F.lower(text_or_empty(c)) for c in columns])).alias("_text"))
-    sized = texts.select(ord_col, "_text", F.explode(lengths).alias("_n")).where(F.length("_text") >= F.col("_n"))
-    parts = sized.select(
-        ord_col, F.explode(F.expr("transform(sequence(1, length(_text) - _n + 1), p -> substring(_text, p, _n))")).alias("term")
-    )
-    hits = parts.join(wanted, "term", "left_semi").select(ord_col, F.lit(True).alias("_hit")).distinct()
+    wanted = terms.select(F.lower(F.trim(text_or_empty(term))).alias("term")).where("term != ''")
+    parts = df.select(ord_col, F.explode(F.array_distinct(F.array(*[F.lower(text_or_empty(c)) for c in columns]))).alias("text"))
+    texts = numbered(parts)
+    bad = texts.join(contained(texts, wanted), "text_id", "left_semi").select(F.struct("text").alias("_k"))
+    hits = parts.withColumn("_k", F.struct("text")).join(bad, "_k", "left_semi").select(ord_col, F.lit(True).alias("_hit")).distinct()
     return df.join(hits, ord_col, "left").withColumn("rejection_reason", F.when(F.col("_hit"), F.lit(reason))).drop("_hit")
 
 
@@ -56,6 +55,13 @@ def split_rejected(df: DataFrame, terms: Sequence[str], **kw) -> tuple[DataFrame
     return kept, flagged.where(F.col("rejection_reason").isNotNull())
 
 
+def written_split(flagged: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(kept, rejected, counts): both sides from one written table, counted as it is written."""
+    hit = F.col("rejection_reason").isNotNull()
+    table, counts = materialize_observed(flagged, "split", kept=F.count_if(~hit), rejected=F.count_if(hit))
+    return table.where(~hit).drop("rejection_reason"), table.where(hit), counts
+
+
 def reject_counts(flagged: DataFrame) -> DataFrame:
     """How many rows were kept and rejected."""
     return flagged.groupBy(F.col("rejection_reason").isNotNull().alias("rejected")).agg(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listingflow.functions.score import two_decimals
+from listingflow.scratch import materialize_observed
 
 
 def exact_sum(c: str) -> Column:
@@ -85,6 +88,30 @@ def category_counts(listings: DataFrame, category: str = "category") -> DataFram
     )
 
 
+def written_scores(scored: DataFrame, min_score: float) -> tuple[DataFrame, dict[str, object]]:
+    """The scored rows, written, and what a run reports of them, taken as they are written:
+    ``total_scored``, ``recommended`` and ``avg_score`` of the recommended."""
+    best = F.col("score") >= min_score
+    exact = F.sum(F.when(best, F.col("score").cast("decimal(28,6)")))
+    table, seen = materialize_observed(
+        scored, "scored", total_scored=F.count(F.lit(1)), recommended=F.count_if(best), total=exact
+    )
+    n, total = seen["recommended"], seen.pop("total")
+    return table, {**seen, "avg_score": math.floor(float(total) / n * 100 + 0.5) / 100 if n else None}
+
+
+def observed_totals(counts: dict[str, object], scraped: DataFrame, progress: DataFrame, as_of: Column) -> DataFrame:
+    """``run_totals`` with the figures of the scored rows from ``written_scores``."""
+    rows = scraped.select(F.lit(False).alias("done")).unionAll(progress.where("status = 'done'").select(F.lit(True)))
+    return rows.agg(
+        F.count_if(~F.col("done")).alias("total_scraped"), F.count_if("done").alias("total_applied")
+    ).select(
+        as_of.alias("date"), "total_scraped", F.lit(counts["total_scored"]).cast("long").alias("total_scored"),
+        F.lit(counts["recommended"]).cast("long").alias("recommended"), "total_applied",
+        F.lit(counts["avg_score"]).cast("double").alias("avg_score"),
+    )
+
+
 def run_totals(
     scraped: DataFrame, scored: DataFrame, recommended: DataFrame, progress: DataFrame,
     as_of: Column,

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 LOCAL_ROOT = "/tmp/checkpoints"
 
@@ -49,6 +49,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return frame
 
 
+def materialize_observed(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict[str, object]]:
+    """``materialize``, and aggregates over all rows that are taken while they are written:
+    no second job reads them. Over no rows counts are zero and other aggregates null."""
+    seen = Observation()
+    frame = materialize(df.observe(seen, *[c.alias(name) for name, c in metrics.items()]), label)
+    return frame, seen.get
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables written by ``materialize`` that nothing reads any more."""
     for frame in frames:
