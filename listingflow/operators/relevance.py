@@ -6,56 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listingflow.functions.text import distinct_runs, relevance_tokens, render
+from listingflow.operators.containment import contained, numbered
+from listingflow.operators.once import once
 from listingflow.scratch import materialize
 
-PROJECTS_PER_CHUNK = 200
 
 
-def _packed(projects: DataFrame, tokens: Column, order: str, chunk: int) -> DataFrame:
-    """Projects folded into rows of at most ``chunk`` projects each: the distinct
-    tokens of the chunk, and per project the positions of its own tokens."""
-    words = projects.select(
-        F.floor(F.col(order) / chunk).cast("int").alias("_chunk"),
-        F.col(order).alias("_order"), tokens.alias("_tokens"),
-    )
-    grouped = words.groupBy("_chunk").agg(
-        F.array_distinct(F.flatten(F.collect_list("_tokens"))).alias("vocab"),
-        F.sort_array(F.collect_list(F.struct("_order", "_tokens"))).alias("_projects"),
-    )
-    # Positions are looked up once per chunk, never per document.
-    position = F.map_from_entries(
-        F.transform("vocab", lambda w, i: F.struct(w.alias("key"), i.alias("value")))
+def _found_sets(docs: DataFrame, vocabulary: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(doc_id, found)``: the ids of the tokens that are part of each document, sorted.
+
+    Documents are cut into their different words; tokens inside a word are found once for
+    each distinct word of all documents.
+    """
+    doc_runs = docs.select(F.col(doc_id).alias("doc_id"), F.explode(distinct_runs(text)).alias("text"))
+    runs = numbered(doc_runs)
+    inside = contained(runs, vocabulary.select(F.col("token").alias("term"))).join(
+        vocabulary.select(F.col("token").alias("term"), "token_id"), "term"
     )
-    return grouped.select(
-        "_chunk",
-        "vocab",
-        F.transform(
-            F.array(position),
-            lambda m: F.transform(
-                "_projects",
-                lambda p: F.struct(
-                    p["_order"].alias("project"),
-                    F.transform(p["_tokens"], lambda t: F.element_at(m, t)).alias("at"),
-                ),
-            ),
-        )[0].alias("projects"),
+    inside = inside.groupBy("text_id").agg(F.collect_list("token_id").alias("ids"))
+    known = runs.join(inside, "text_id").select(F.struct("text").alias("_k"), "ids")
+    hits = doc_runs.withColumn("_k", F.struct("text")).join(known, "_k").select("doc_id", "ids")
+    # Every document has a row, also one without a token.
+    every = docs.select(F.col(doc_id).alias("doc_id"), F.array().cast("array<bigint>").alias("ids"))
+    return hits.unionByName(every).groupBy("doc_id").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("found")
     )
 
 
-def _run_tokens(runs: DataFrame, tokens: DataFrame, longest: int) -> DataFrame:
-    """(run, chunk, found): positions of the tokens that are part of each run.
-
-    Candidate tokens are the substrings of a run that begin with a letter and are no
-    longer than the longest token, so the match is an equality join.
-    """
-    starts = runs.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("_at"))
-    windows = starts.select("run", F.substring("run", F.col("_at"), F.lit(longest)).alias("_w")).where(
-        F.substring("_w", 1, 1).between("a", "z")
-    )
-    parts = windows.select(
-        "run", F.col("_w"), F.explode(F.sequence(F.lit(1), F.length("_w"))).alias("_n")
-    ).select("run", F.substring("_w", F.lit(1), F.col("_n")).alias("token"))
-    return parts.join(tokens, "token").groupBy("run", "_chunk").agg(F.collect_set("_pos").alias("found"))
+def _shared(a, b) -> Column:
+    return F.size(F.array_intersect(a, b))
 
 
 def rank_projects(
@@ -66,48 +45,79 @@ def rank_projects(
     text: str = "text",
     order: str = "project_ord",
     project_text: str = "project_text",
-    chunk: int = PROJECTS_PER_CHUNK,
 ) -> DataFrame:
     """The ``k`` most relevant projects per document: (doc_id, rank, project, relevance).
 
-    Relevance is the number of distinct project tokens contained in the text; ties
-    keep the project order. ``order`` numbers the projects from 0.
-
-    Texts are not searched token by token. Each document is cut into its different
-    words; the tokens inside a word are found once per distinct word of all
-    documents, by equality joins; and the found tokens are gathered per document,
-    which its own length bounds. Projects are packed into chunks of bounded size,
-    scored inside the row, and only the best ``k`` of a chunk leave it.
+    Relevance is the number of distinct project tokens contained in the text; ties keep the
+    project order, by which projects without a common token follow. Rows of one ``doc_id``
+    count as one document.
+
+    Documents with equal token sets are ranked once. A set looks its tokens up in an
+    inverted index and counts the projects it meets, combined before the shuffle. The
+    tokens of most projects come first in a set, and as many of these are left out of the
+    look-up as a project could have and still be below the ``k`` projects of most tokens,
+    whose relevance is counted beforehand; a project that has nothing else in common cannot
+    be among the best. What the left out tokens add is counted only for projects that reach
+    the ``k``-th best with all of them.
     """
-    packed = materialize(_packed(projects, relevance_tokens(project_text), order, chunk), "projects")
-    tokens = packed.select("_chunk", F.posexplode("vocab").alias("_pos", "token"))
-    longest = tokens.agg(F.max(F.length("token")).alias("n")).first()["n"] or 1
-    doc_runs = docs.select(doc_id, F.explode(distinct_runs(text)).alias("run"))
-    runs = _run_tokens(doc_runs.select("run").distinct(), tokens, longest)
-    hits = doc_runs.join(runs, "run").select(doc_id, "_chunk", "found")
-    # Every document meets every chunk, also one it shares no token with.
-    chunks = packed.agg(F.collect_list("_chunk").alias("c")).scalar()
-    none = F.array().cast("array<int>").alias("found")
-    every = docs.select(doc_id, F.explode(chunks).alias("_chunk"), none)
-    found = hits.unionByName(every).groupBy(doc_id, "_chunk").agg(
-        F.array_distinct(F.flatten(F.collect_list("found"))).alias("_found")
+    words = materialize(projects.select(F.col(order).alias("project"), relevance_tokens(project_text).alias("tokens")), "projects")
+    tokens = words.select("project", F.explode("tokens").alias("token"))
+    # In an order of falling frequency, which the ids then have too.
+    vocabulary = materialize(
+        tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "token")
+        .select("token", F.monotonically_increasing_id().alias("token_id")),
+        "vocabulary",
+    )
+    postings = materialize(tokens.join(vocabulary, "token").select("token_id", "project"), "postings")
+    described = postings.groupBy("project").agg(F.sort_array(F.collect_list("token_id")).alias("has"))
+
+    found = materialize(_found_sets(docs, vocabulary, doc_id, text), "found")
+    digest = F.sha2(F.array_join("found", ","), 256)
+    sets = found.groupBy(digest.alias("digest")).agg(F.any_value("found").alias("found"))
+    seeds = described.orderBy(F.size("has").desc(), "project").limit(k).agg(F.collect_list("has")).scalar()
+    floor = F.when(F.size("_seeds") < k, 0).otherwise(
+        F.array_min(F.transform("_seeds", lambda has: _shared(has, F.col("found"))))
+    )
+    seeded = once(sets.withColumnRenamed("digest", "set"), {"_seeds": seeds})
+    bounded = once(seeded, {"floor": floor})
+    left_out = F.greatest(F.col("floor") - 1, F.lit(0))
+    sets = materialize(
+        bounded.select(
+            "set", "floor", F.slice("found", F.lit(1), left_out).alias("left_out"),
+            F.slice("found", left_out + 1, F.size("found")).alias("looked_up"),
+        ).withColumn("set_id", F.monotonically_increasing_id()),
+        "sets",
+    )
+
+    met = (
+        sets.select("set_id", F.explode("looked_up").alias("token_id"))
+        .join(postings, "token_id")
+        .groupBy("set_id", "project")
+        .agg(F.count(F.lit(1)).cast("int").alias("part"))
     )
-    scored = F.transform(
-        "projects",
-        lambda p: F.struct(
-            (-F.size(F.array_intersect(p["at"], F.col("_found")))).alias("minus"),
-            p["project"].alias("project"),
-        ),
+    by_part = Window.partitionBy("set_id").orderBy(F.col("part").desc())
+    kth = (
+        met.withColumn("_r", F.row_number().over(by_part)).where(F.col("_r") <= k)
+        .groupBy("set_id").agg(F.when(F.count(F.lit(1)) == k, F.min("part")).alias("kth"))
     )
-    best = found.join(packed.select("_chunk", "projects"), "_chunk").select(
-        doc_id, F.inline(F.slice(F.sort_array(scored), 1, k))
+    reach = sets.join(kth, "set_id", "left").select(
+        "set_id", "left_out", F.greatest("floor", F.coalesce("kth", F.lit(0))).alias("least")
     )
-    w = Window.partitionBy(doc_id).orderBy("minus", "project")
-    return (
-        best.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= k)
-        .select(doc_id, "rank", "project", (-F.col("minus")).alias("relevance"))
+    exact = (
+        met.join(reach, "set_id")
+        .where(F.col("part") + F.size("left_out") >= F.col("least"))
+        .join(described, "project")
+        .select("set_id", "project", (F.col("part") + _shared("has", "left_out")).alias("relevance"))
     )
+    first = words.select("project").orderBy("project").limit(k).agg(F.collect_list("project")).scalar()
+    # Only where the bound is nothing can a project without a common token be among the best.
+    none = sets.where("floor = 0").select("set_id", F.explode(first).alias("project"), F.lit(0).alias("relevance"))
+    scored = exact.unionByName(none).groupBy("set_id", "project").agg(F.max("relevance").alias("relevance"))
+    w = Window.partitionBy("set_id").orderBy(F.col("relevance").desc(), "project")
+    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = best.join(sets.select("set_id", "set"), "set_id").select(F.struct("set").alias("_k"), "rank", "project", "relevance")
+    of = found.select(F.col("doc_id").alias(doc_id), F.struct(digest.alias("set")).alias("_k"))
+    return of.join(ranked, "_k").select(doc_id, "rank", "project", "relevance")
 
 
 def project_block(
