@@ -119,28 +119,12 @@ def constant_scores(listings: DataFrame, threshold: float) -> DataFrame:
     return listings.withColumn("score", F.lit(float(threshold)))
 
 
-def top_per_profile(
-    listings: DataFrame,
-    profiles: DataFrame,
-    rules: ScoreRules,
-    as_of: Column,
-    k: int,
-    profile_id: str = "profile_id",
-    text: str = "text",
-    posted: str = "posted",
-    ord_col: str = "ord",
-) -> DataFrame:
-    """The best ``k`` listings of every profile: (profile_id, rank, ord, score).
+#: Years asked from which on listings share a cell; it bounds the number of cells.
+MOST_YEARS = 40
 
-    A score depends on a listing only through a small signature (roles hit, skills
-    named, years asked, place and freshness), and on a profile only through its
-    features. So listings are reduced to distinct signatures, profiles to distinct
-    features, and only these are scored against each other: every distinct signature
-    meets every distinct kind of profile, which on varied texts is little less than
-    every listing with every profile. The reduction is exact: the best ``k`` listings
-    of a profile lie in its best ``k`` signatures ordered by score and first
-    ``ord``, and within a signature they are its ``k`` earliest rows.
-    """
+
+def _signatures(listings: DataFrame, rules: ScoreRules, as_of: Column, k: int, posted: str, ord_col: str) -> DataFrame:
+    """Listings by all that their score depends on, each with its ``k`` earliest rows."""
     title, description = S.normalized_texts("title", "description")
     texts = once(
         listings.select(ord_col, "category", "location", posted, "title", "description"),
@@ -158,17 +142,121 @@ def top_per_profile(
         },
     )
     sig_cols = ["roles", "lexicon", "skills", "need", "place", "fresh"]
-    # The k earliest rows of each signature; limited per task before the shuffle. Rows
-    # of one signature differ in ``ord`` only, so the first ``ord`` names the group.
+    # Limited per task before the shuffle. Rows of one signature differ in ``ord`` only, so
+    # the first ``ord`` names the group.
     w = Window.partitionBy(*sig_cols).orderBy(F.col(ord_col))
     earliest = signature.select(*sig_cols, ord_col, F.row_number().over(w).alias("_n")).where(F.col("_n") <= k)
-    groups = materialize(
-        earliest.groupBy(*sig_cols).agg(
-            F.min(ord_col).alias("first_ord"), F.collect_list(ord_col).alias("ords")
-        ),
+    named = F.aggregate("skills", F.lit(0), lambda n, word: n + F.bit_count(word))
+    return materialize(
+        earliest.groupBy(*sig_cols)
+        .agg(F.min(ord_col).alias("first_ord"), F.sort_array(F.collect_list(ord_col)).alias("ords"))
+        .withColumn("named", named),
         "signatures",
     )
 
+
+def _cell() -> Column:
+    """What bounds a signature's score for a profile, besides which of the skills it names."""
+    return F.struct(
+        "roles", "lexicon", F.least(F.col("need").cast("double"), F.lit(MOST_YEARS)).alias("years"), "place", "fresh", "named"
+    )
+
+
+def _pair_score(listing, profile, matched: Column, rules: ScoreRules) -> Column:
+    """Score of a listing with the fields ``roles, lexicon, need, place, fresh`` for a
+    profile with ``role_values, years``, of whose skills it names ``matched``."""
+    flags = [listing["roles"][i] for i in range(len(rules.roles))]
+    size = F.greatest(S.lexicon_size(listing["lexicon"], rules), F.lit(1))
+    return S.total_score(
+        S.weighted(S.role_part(flags, profile["role_values"]), rules.role_weight),
+        S.weighted(matched.cast("double") / size, rules.skills_weight),
+        S.weighted(S.experience_part(profile["years"], listing["need"]), rules.experience_weight),
+        S.weighted(listing["place"], rules.location_weight),
+        S.weighted(listing["fresh"], rules.recency_weight),
+    )
+
+
+def _matched(listing, known: Column, rules: ScoreRules) -> Column:
+    """How many of the skills that a listing names a profile knows."""
+    matched = F.lit(0)
+    for i in range(S.mask_words(rules)):
+        matched = matched + F.bit_count(F.get(known, listing["lexicon"])[i].bitwiseAND(listing["skills"][i]))
+    return matched
+
+
+class _Columns:
+    """Columns of a frame, by name, where a struct's fields are asked for."""
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(name)
+
+
+def wanted_cells(groups: DataFrame, kinds: DataFrame, rules: ScoreRules, k: int) -> DataFrame:
+    """``kinds`` with ``_cell``, each cell that can hold one of the best ``k`` listings of the
+    kind, and ``_least``, a score that the ``k``-th best reaches for certain.
+
+    Signatures lie in cells of equal bound: a listing can't match more skills than it names
+    or the profile knows. The number of cells is bounded by the rules. Each kind walks over
+    the cells alone: one signature of each is scored, and the ``k``-th best of these listings
+    is reached by the answer. Cells whose bound doesn't reach it are left out.
+    """
+    celled = groups.withColumn("_cell", _cell())
+    # The signature of a cell that is scored: any would do.
+    one = F.min_by(F.struct("skills", "need", F.size("ords").alias("n")), "first_ord")
+    cells = celled.groupBy("_cell").agg(one.alias("one"), F.min(F.struct(F.col("need").cast("double").alias("least"), "need")).alias("need"))
+    directory = cells.agg(F.collect_list(F.struct("_cell", "one", F.col("need.need").alias("need")))).scalar()
+    p = _Columns()
+
+    def walked(c: Column) -> Column:
+        cell = c["_cell"]
+        sample = {"roles": cell["roles"], "lexicon": cell["lexicon"], "place": cell["place"], "fresh": cell["fresh"]}
+        known = F.aggregate(F.get("known", cell["lexicon"]), F.lit(0), lambda n, word: n + F.bit_count(word))
+        most = _pair_score({**sample, "need": c["need"]}, p, F.least(cell["named"], known), rules)
+        first = {**sample, "need": c["one"]["need"], "skills": c["one"]["skills"]}
+        reached = _pair_score(first, p, _matched(first, F.col("known"), rules), rules)
+        return F.struct(cell.alias("cell"), most.alias("most"), reached.alias("reached"), c["one"]["n"].alias("n"))
+
+    bounded = once(once(kinds, {"_cells": directory}), {"_walk": F.transform("_cells", walked)})
+    reached = F.flatten(F.transform("_walk", lambda w: F.array_repeat(w["reached"], w["n"])))
+    bounded = once(bounded, {"_least": F.coalesce(F.get(F.sort_array(reached, asc=False), F.lit(k - 1)), F.lit(0.0))})
+    return bounded.select(
+        "kind", "role_values", "years", "known", "_least",
+        F.explode(F.filter("_walk", lambda w: w["most"] >= F.col("_least"))["cell"]).alias("_cell"),
+    )
+
+
+def candidates(groups: DataFrame, kinds: DataFrame, rules: ScoreRules, k: int) -> DataFrame:
+    """``(kind, first_ord, score, ords)`` of the signatures in the cells that a kind wants,
+    joined by equality, as far as they reach the kind's least score."""
+    p = _Columns()
+    celled = groups.withColumn("_cell", _cell()).drop("named")
+    pairs = wanted_cells(groups, kinds, rules, k).join(celled, "_cell")
+    scored = once(pairs, {"score": _pair_score(p, p, _matched(p, F.col("known"), rules), rules)})
+    return scored.where("score >= _least").select("kind", "first_ord", "score", "ords")
+
+
+def top_per_profile(
+    listings: DataFrame,
+    profiles: DataFrame,
+    rules: ScoreRules,
+    as_of: Column,
+    k: int,
+    profile_id: str = "profile_id",
+    text: str = "text",
+    posted: str = "posted",
+    ord_col: str = "ord",
+) -> DataFrame:
+    """The best ``k`` listings of every profile: (profile_id, rank, ord, score).
+
+    A score depends on a listing only through a small signature (roles hit, skills
+    named, years asked, place and freshness), and on a profile only through its
+    features. So listings are reduced to distinct signatures and profiles to distinct
+    kinds, and a kind is compared only with signatures whose bound reaches what its
+    answer reaches for certain (``wanted_cells``). The reduction is exact: the best
+    ``k`` listings of a profile lie in its best ``k`` signatures ordered by score and
+    first ``ord``, and within a signature they are its ``k`` earliest rows.
+    """
+    groups = _signatures(listings, rules, as_of, k, posted, ord_col)
     features = profile_table(profiles, rules, text).select(
         profile_id, F.col("features")["role_values"].alias("role_values"),
         S.known_masks(F.col("features")["known"], rules).alias("known"),
@@ -177,34 +265,18 @@ def top_per_profile(
     feature_cols = ["role_values", "years", "known"]
     features = features.withColumn("digest", F.sha2(F.to_json(F.struct(*feature_cols)), 256))
     # One profile stands for all with the same features; they are never collected.
+    # They are dealt to all tasks: each walks over all cells.
+    parts = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = materialize(
-        features.groupBy("digest", *feature_cols).agg(F.min(profile_id).alias("kind")), "profiles"
+        features.groupBy("digest", *feature_cols).agg(F.min(profile_id).alias("kind")).repartition(parts), "profiles"
     )
 
-    # Every kind of profile is compared with every kind of listing. Signatures are spread
-    # over as many buckets as there are shuffle partitions and stay one row each; the far
-    # fewer kinds of profiles are copied to the buckets. No side is collected.
-    buckets = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = groups.drop("ords").withColumn("_b", F.pmod(F.xxhash64("first_ord"), F.lit(buckets)).cast("int"))
-    right = kinds.drop("digest").select("*", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_b"))
-    flags = [F.col("roles")[i] for i in range(len(rules.roles))]
-    matched = F.lit(0)
-    for i in range(S.mask_words(rules)):
-        mine = F.get("known", F.col("lexicon"))[i]
-        matched = matched + F.bit_count(mine.bitwiseAND(F.col("skills")[i]))
-    total = S.total_score(
-        S.weighted(S.role_part(flags, F.col("role_values")), rules.role_weight),
-        S.weighted(matched.cast("double") / F.greatest(S.lexicon_size(F.col("lexicon"), rules), F.lit(1)), rules.skills_weight),
-        S.weighted(S.experience_part(F.col("years"), F.col("need")), rules.experience_weight),
-        S.weighted(F.col("place"), rules.location_weight),
-        S.weighted(F.col("fresh"), rules.recency_weight),
-    )
-    scored = left.join(right, "_b").select("kind", "first_ord", total.alias("score"))
     best = Window.partitionBy("kind").orderBy(F.col("score").desc(), F.col("first_ord"))
-    top_groups = scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
-    rows = top_groups.join(groups.select("first_ord", "ords"), "first_ord").select(
-        "kind", "score", F.explode("ords").alias(ord_col)
+    top_groups = (
+        candidates(groups, kinds.drop("digest"), rules, k)
+        .withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
     )
+    rows = top_groups.select("kind", "score", F.explode("ords").alias(ord_col))
     rank = Window.partitionBy("kind").orderBy(F.col("score").desc(), F.col(ord_col))
     ranked = rows.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     answers = ranked.join(kinds.select("kind", "digest"), "kind")

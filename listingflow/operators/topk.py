@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from listingflow.scratch import materialize
+
 
 def by_score(df: DataFrame, score: str = "score", ord_col: str = "ord") -> DataFrame:
     """Best score first; equal scores stay in arrival order."""
@@ -57,3 +60,30 @@ def prefix_until(
     )
     cut = hits.agg(F.when(F.count(F.lit(1)) >= n, F.max("_hit")).alias("cut")).scalar()
     return df.where(F.col(ord_col) <= F.coalesce(cut, F.lit((1 << 63) - 1)))
+
+
+def prefix_until_scored(
+    df: DataFrame,
+    scored: Callable[[DataFrame], DataFrame],
+    n: int,
+    threshold: float,
+    score: str = "score",
+    ord_col: str = "ord",
+) -> DataFrame:
+    """``prefix_until`` over ``scored(df)``, without scoring what lies far behind the cut.
+
+    ``ord`` is walked in ranges, each as wide as all before it together; a range is scored
+    and written, and the walk ends with the range of the ``n``-th hit. Where ``ord`` has no
+    large gaps, at most about twice the rows of the answer are scored. ``scored`` keeps
+    ``ord`` and decides about each row by itself.
+    """
+    span = df.agg(F.min(ord_col).alias("low"), F.max(ord_col).alias("high")).first()
+    if span["low"] is None or n <= 0:
+        return scored(df.limit(0))
+    parts, hits, low, width = [], 0, span["low"], n
+    while low <= span["high"] and hits < n:
+        part = materialize(scored(df.where(F.col(ord_col).between(low, low + width - 1))), "prefix")
+        hits += part.where(F.col(score) >= threshold).count()
+        parts.append(part)
+        low, width = low + width, low + width - span["low"]
+    return prefix_until(reduce(DataFrame.unionByName, parts), n, threshold, score, ord_col)

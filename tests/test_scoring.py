@@ -6,11 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from listingflow.defaults import SCORE_RULES
+from listingflow.functions import score as S
 from listingflow.functions.score import ScoreRules
+from listingflow.operators import scoring
 from listingflow.operators.filters import at_least, recent_only, split_rejected
 from listingflow.operators.scoring import constant_scores, score_entries, score_listings, top_per_profile
-from listingflow.operators.topk import prefix_until, ranked_top, top_groups, top_per_group
-
+from listingflow.operators.topk import prefix_until, prefix_until_scored, ranked_top, top_groups, top_per_group
+from listingflow.scratch import materialize
 
 
 def as_of():
@@ -118,3 +120,41 @@ def test_filter_on_score_copies_no_text_search(spark):
     scored = score_entries(score_listings(df, spark.createDataFrame([(CV,)], "text string"), SCORE_RULES, as_of()))
     plan = scored.where("score >= 6")._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.split("\n") if "Filter" in line and "regexp_replace" in line]
+
+
+def test_few_signatures_are_compared(spark):
+    """Bounds leave out nearly all pairs of a signature and a kind of profile."""
+    rnd = random.Random(9)
+    terms = [t for words in SCORE_RULES.lexicons.values() for t in words]
+    cats = list(SCORE_RULES.lexicons)
+    rows = [
+        (i, rnd.choice(["Data Analyst", "Engineer", "Cook", "Genai"]), "c", rnd.choice(cats), rnd.choice(["Remote", "a (hybrid)", "b"]),
+         rnd.choice(["2024-01-10", "2024-01-08", "bad"]), " ".join(rnd.sample(terms, rnd.randint(1, 9))) + f" {rnd.randint(1, 9)} years")
+        for i in range(3000)
+    ]
+    listings = spark.createDataFrame(rows, SCHEMA)
+    cvs = [(i, " ".join(rnd.sample(terms, 12)) + f" {i % 9} years of experience data analyst") for i in range(12)]
+    groups = scoring._signatures(listings, SCORE_RULES, as_of(), 5, "posted", "ord")
+    features = scoring.profile_table(spark.createDataFrame(cvs, "kind long, text string"), SCORE_RULES)
+    kinds = features.select(
+        "kind", F.col("features")["role_values"].alias("role_values"), F.col("features")["years"].alias("years"),
+        S.known_masks(F.col("features")["known"], SCORE_RULES).alias("known"),
+    )
+    joined = scoring.wanted_cells(groups, kinds, SCORE_RULES, 5).join(groups.withColumn("_cell", scoring._cell()), "_cell").count()
+    assert joined <= 0.05 * groups.count() * kinds.count()
+
+
+def test_a_prefix_scores_at_most_twice_its_rows(spark):
+    scored = []
+
+    def score(rows):
+        out = materialize(rows.withColumn("score", (F.col("ord") % 10).cast("double")), "counted")
+        scored.append(out.count())
+        return out
+
+    df = spark.range(0, 100_000).select(F.col("id").alias("ord")).repartition(7)
+    got = prefix_until_scored(df, score, 40, 9.0)
+    assert sorted(r["ord"] for r in got.collect()) == list(range(400)) and sum(scored) <= 2 * 400
+    scored.clear()
+    assert prefix_until_scored(df.where("ord % 1000 = 9"), score, 400, 9.0).count() == 100
+    assert prefix_until_scored(df.limit(0), score, 3, 9.0).count() == 0
