@@ -50,11 +50,17 @@ def merge_new(
     fresh = batch.select(ord_col, id_col, *content)
     fresh = anti_join(fresh, store, [id_col], ord_col, blank_never_matches=True, small_left=small_batch)
     fresh = anti_join(fresh, store, list(content), ord_col, small_left=small_batch)
+    return pick_rows(drop_private(batch), first_of_batch(fresh, id_col, content, ord_col), ord_col)
+
+
+def first_of_batch(rows: DataFrame, id_col: str, content: Sequence[str], ord_col: str = "ord") -> DataFrame:
+    """``ord`` of the rows that are the first of their id and of their content among
+    ``rows``; a blank id is not a key."""
     keys = {
         "id_key": F.nullif(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("")),
         "content_key": exact_key(*content),
     }
-    return pick_rows(drop_private(batch), kept_ords(fresh, keys, ord_col), ord_col)
+    return kept_ords(rows, keys, ord_col)
 
 
 def unscored(

@@ -17,9 +17,11 @@ from listingflow.defaults import ZERO_RUNS_UNHEALTHY
 from listingflow.functions.score import ScoreRules
 from listingflow.functions.text import content_fingerprint
 from listingflow.operators.health import zero_streaks
-from listingflow.operators.merge import merge_new, unscored
+from listingflow.operators.keys import first_per_key, pick_rows
+from listingflow.operators.merge import drop_private, first_of_batch
 from listingflow.operators.scoring import score_entries, score_listings
 from listingflow.operators.topk import prefix_until
+from listingflow.sources.ledger import Ledger, key_digest, without_known
 from listingflow.sources.stores import read_store
 
 BATCH = "_batch"
@@ -53,23 +55,42 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
 
 
 def ingest(stream: DataFrame, store: str, checkpoint: str, id_col: str = "job_id", content: Sequence[str] = ("title", "company", "location")) -> None:
-    """Merge only-new listings of each micro-batch into the store."""
+    """Merge only-new listings of each micro-batch into the store.
+
+    What the store has is known from a ledger of keys beside it, of which a batch reads the
+    buckets that its own keys fall in; the store itself is never read.
+    """
     schema = T.StructType([f for f in stream.schema.fields if not f.name.startswith("_")])
+    blank = F.coalesce(F.col(id_col).cast("string"), F.lit("")) == ""
+    keys = [F.when(~blank, key_digest("id", id_col)), key_digest("content", *content)]
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        known = earlier_batches(batch.sparkSession, store, schema, batch_id)
-        write_batch(merge_new(known, batch, id_col, content, small_batch=True), store, batch_id)
+        spark = batch.sparkSession
+        ledger = Ledger(spark, f"{store}-keys")
+        fresh = without_known(batch.select("ord", id_col, *content), keys, ledger, batch_id)
+        write_batch(pick_rows(drop_private(batch), first_of_batch(fresh, id_col, content)), store, batch_id)
+        _add_written(spark, store, schema, keys, ledger, batch_id)
 
     run_available(stream, each, checkpoint)
 
 
+def _add_written(spark: SparkSession, store: str, schema: T.StructType, keys: Sequence[Column], ledger: Ledger, batch_id: int) -> None:
+    written = read_store(spark, f"{store}/{BATCH}={batch_id}", schema)
+    ledger.add(written.select(F.explode(F.array_compact(F.array(*keys))).alias("key")), batch_id)
+
+
 def score_arrivals(stream: DataFrame, profile: DataFrame, rules: ScoreRules, as_of: Column, cache: str, checkpoint: str, posted: str = "posted") -> None:
-    """Score each new (title, company) once, in arrival order across batches."""
+    """Score each new (title, company) once, in arrival order across batches. Which pairs
+    have a score is known from a ledger of keys beside the cache."""
+    pair = T.StructType.fromDDL("title string, company string")
+    keys = [key_digest("pair", "title", "company")]
+
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        keys = T.StructType.fromDDL("title string, company string")
-        fresh = unscored(batch, earlier_batches(spark, cache, keys, batch_id), dedup_in_batch=True, small_batch=True)
+        ledger = Ledger(spark, f"{cache}-keys")
+        fresh = first_per_key(without_known(batch, keys, ledger, batch_id), pair.fieldNames())
         write_batch(score_entries(score_listings(fresh, profile, rules, as_of, posted=posted)), cache, batch_id)
+        _add_written(spark, cache, pair, keys, ledger, batch_id)
 
     run_available(stream, each, checkpoint)
 
