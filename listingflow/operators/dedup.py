@@ -52,8 +52,9 @@ def _pointers(undecided: DataFrame, names: list[str], ord_col: str) -> DataFrame
     one key group and first in the others. Minima are combined before each shuffle."""
     ranked = undecided
     for i, n in enumerate(names):
-        first = undecided.groupBy(n).agg(F.min(ord_col).alias("_first"))
-        later = undecided.join(first, n).where(F.col(ord_col) > F.col("_first"))
+        # The key is a struct, by which nothing is partitioned yet, so a hot one can be split.
+        first = undecided.groupBy(n).agg(F.min(ord_col).alias("_first")).select(F.struct(n).alias("_k"), "_first")
+        later = undecided.withColumn("_k", F.struct(n)).join(first, "_k").where(F.col(ord_col) > F.col("_first"))
         second = later.groupBy(n).agg(F.min("_first").alias(f"_p{i}"), F.min(ord_col).alias(ord_col))
         # A row is first (absent here), second (with its neighbour) or later (no neighbour known).
         late = later.select(ord_col, F.lit(1).alias(f"_l{i}")).join(

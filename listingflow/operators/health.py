@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from listingflow.defaults import ZERO_RUNS_UNHEALTHY
+from listingflow.scratch import materialize
 
 
 def zero_streaks(
@@ -18,29 +19,21 @@ def zero_streaks(
 ) -> DataFrame:
     """For every run the number of zero runs in a row up to it, and the health flag.
 
-    The history of one source is never sorted in one task. It is cut into time
-    blocks; each block finds its own streaks, and a second pass over one row per
-    block carries a streak that reaches over block borders.
+    The history of one source is never sorted in one task. It is cut into time blocks, each
+    of which counts its own streaks, in one pass over ``runs`` whose result is written. A
+    block is summed up by whether any of its runs found something and by the streak at its
+    end; one row per block then carries streaks over block borders.
     """
     block = F.floor(F.unix_micros(F.col(run_ts).cast("timestamp")) / (block_seconds * 1_000_000))
     rows = runs.withColumn("_block", block).withColumn("_zero", (F.col(found) == 0).cast("long"))
     in_block = Window.partitionBy(source, "_block").orderBy(run_ts)
     marked = rows.withColumn("_island", F.sum(1 - F.col("_zero")).over(in_block))
     island = Window.partitionBy(source, "_block", "_island").orderBy(run_ts)
-    local = marked.withColumn("_streak", F.sum("_zero").over(island))
+    local = materialize(marked.withColumn("_streak", F.sum("_zero").over(island)), "streaks")
 
-    # One row per block: its last streak, and whether any run found something.
-    blocks = rows.groupBy(source, "_block").agg(
-        F.max(F.when(F.col("_zero") == 0, F.col(run_ts))).alias("_last_hit")
-    )
-    after = rows.join(blocks, [source, "_block"]).where(
-        F.col("_last_hit").isNull() | (F.col(run_ts) > F.col("_last_hit"))
-    )
-    tails = after.groupBy(source, "_block").agg(F.count(F.lit(1)).alias("_tail"))
-    summary = blocks.join(tails, [source, "_block"], "left").select(
-        source, "_block",
-        F.col("_last_hit").isNotNull().cast("long").alias("_hit"),
-        F.coalesce("_tail", F.lit(0)).alias("_tail"),
+    summary = local.groupBy(source, "_block").agg(
+        F.coalesce(F.max(1 - F.col("_zero")), F.lit(0)).alias("_hit"),
+        F.coalesce(F.max_by("_streak", run_ts), F.lit(0)).alias("_tail"),
     )
     over_blocks = Window.partitionBy(source).orderBy("_block")
     carried = (

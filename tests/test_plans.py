@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from listingflow.operators import keys, search, topk
+from listingflow.operators import health, keys, search, topk
 from listingflow.plans.driver_tables import listings, search_rows
+from listingflow.streaming import jobs
 
 DIR = "/root/testdata/sf0.001"
 
@@ -69,6 +70,29 @@ def test_minimum_per_key_is_combined_before_the_shuffle(spark):
     assert "partial_min" in text and "Window" not in text
 
 
+def test_streaks_read_their_input_once(spark):
+    """What is left after the one pass reads the written streaks alone."""
+    runs = spark.range(50).select(
+        F.lit("a").alias("source"), F.timestamp_seconds("id").alias("run_ts"), (F.col("id") % 3).alias("jobs_found")
+    )
+    text = plan(health.zero_streaks(runs, block_seconds=10))
+    assert "Range (" not in text and "streaks-" in text
+
+
+def test_a_store_is_not_read_by_a_batch(spark, tmp_path):
+    """A batch of a stream knows what the store has from the ledger beside it."""
+    schema = "ord long, title string, company string, location string, job_id string"
+    for i in range(3):
+        rows = [(i * 10 + k, f"t{(i * 10 + k) % 17}", "c", "l", str((i * 10 + k) % 13)) for k in range(10)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "landed"))
+    stream = jobs.file_stream(spark, str(tmp_path / "landed"), spark.createDataFrame([], schema).schema, 1)
+    jobs.ingest(stream, str(tmp_path / "store"), str(tmp_path / "checkpoint"))
+    stored = spark.read.parquet(str(tmp_path / "store")).collect()
+    assert len({r["job_id"] for r in stored}) == len(stored) == 13
+    held = sorted(p.name for p in (tmp_path / "store-keys" / "level=0").iterdir())
+    assert held == ["start=0", "start=1", "start=2"]
+
+
 def test_task_grid_is_narrow(spark):
     grid = search.task_grid(spark.range(3).withColumnRenamed("id", "keyword_ord"), [("a", "b"), ("c", "d")])
     assert "Exchange" not in plan(grid)
