@@ -11,9 +11,10 @@ from listingflow.operators import filters, labels, merge, scoring, stats, topk
 from listingflow.operators.dedup import first_seen, first_seen_counts
 from listingflow.plans.driver_tables import AS_OF, LISTINGS_SQL, as_of, listings, table
 from listingflow.plans.registry import (
-    query, sql_any, sql_fingerprint, sql_greedy, sql_match, sql_score_text, sql_slug, sql_text,
+    ORACLES, query, sql_any, sql_fingerprint, sql_greedy, sql_match, sql_score_text, sql_slug, sql_text,
 )
-from listingflow.scratch import materialize
+from listingflow.plans.staged import Stopped, staged_run
+from listingflow.scratch import materialize, scratch_path
 from listingflow.sources import stores
 
 BLACKLIST = ["Red ", "000007", " Gizmo", "cold anvil"]
@@ -328,9 +329,28 @@ def recommend_topn(spark, d):
 @query("prefix_until_n", f"""{SCORED}, cut AS (SELECT CASE WHEN count(*) >= 40 THEN max(ord) END AS c FROM (SELECT ord FROM scored WHERE score >= {MIN_SCORE} ORDER BY ord LIMIT 40))
 SELECT ord, title, score FROM scored, cut WHERE ord <= coalesce(c, ord)""")
 def prefix_until_n(spark, d):
-    # Scores are written once; finding the cut and reading the prefix are two cheap scans.
-    scored = materialize(_scored(spark, d).select("ord", "title", "score"), "scored")
-    return topk.prefix_until(scored, 40, MIN_SCORE)
+    profile = _profile(spark, d)
+    score = lambda rows: scoring.score_listings(rows, profile, RULES, as_of()).select("ord", "title", "score")
+    return topk.prefix_until_scored(listings(spark, d), score, 40, MIN_SCORE)
+
+
+@query("run_resumed", f"""{SCORED}, {_KEYS}, {sql_greedy('keyed', 8)}, {_FLAGGED}
+SELECT row_number() OVER (ORDER BY score DESC, ord) AS rank, ord, s.title, score FROM scored s JOIN kept USING (ord) JOIN (SELECT ord FROM flagged WHERE rejection_reason IS NULL) USING (ord)
+WHERE score >= {MIN_SCORE} ORDER BY score DESC, ord LIMIT {TOP}""")
+def run_resumed(spark, d):
+    """A run that ends after its second stage and is taken up again."""
+    path = scratch_path(spark, "run")
+
+    def go(stop_after=None):
+        return staged_run(listings(spark, d), _profile(spark, d), RULES, as_of(), path, BLACKLIST, MIN_SCORE, TOP, stop_after=stop_after)
+
+    try:
+        go("kept")
+    except Stopped:
+        best, stages = go()
+    if stages.done != ["unique", "kept"]:
+        raise RuntimeError(f"finished stages were made again: {stages.made}")
+    return best.select("rank", "ord", "title", "score")
 
 
 @query("recommended_average", f"{SCORED} SELECT count(*) AS n, floor(sum(score::DECIMAL(28,6))::DOUBLE / count(*) * 100 + 0.5::DOUBLE) / 100 AS avg_score FROM scored WHERE score >= {MIN_SCORE}")
@@ -472,6 +492,26 @@ def run_totals(spark, d):
     return stats.run_totals(base, scored, filters.at_least(scored, MIN_SCORE), _progress(base), as_of())
 
 
+@query("run_totals_observed", ORACLES["run_totals"])
+def run_totals_observed(spark, d):
+    """The figures of the scored rows are taken while these are written."""
+    base = listings(spark, d, description=False)
+    _, counts = stats.written_scores(_scored(spark, d).select("ord", "score"), MIN_SCORE)
+    return stats.observed_totals(counts, base, _progress(base), as_of())
+
+
+@query("split_observed", f"""{WITH}, {_FLAGGED} SELECT source, rejection_reason IS NOT NULL AS rejected, count(*) AS n,
+  (SELECT count(*) FROM flagged WHERE rejection_reason IS NULL) AS all_kept, (SELECT count(*) FROM flagged WHERE rejection_reason IS NOT NULL) AS all_rejected
+FROM flagged GROUP BY 1, 2""")
+def split_observed(spark, d):
+    """Both sides of a split from one written table, with the counts taken as it was written."""
+    kept, rejected, counts = filters.written_split(filters.flag_rejected(listings(spark, d, description=False), BLACKLIST))
+    sides = kept.select("source", F.lit(False).alias("rejected")).unionAll(rejected.select("source", F.lit(True)))
+    return sides.groupBy("source", "rejected").agg(F.count(F.lit(1)).alias("n")).select(
+        "*", F.lit(counts["kept"]).cast("long").alias("all_kept"), F.lit(counts["rejected"]).cast("long").alias("all_rejected")
+    )
+
+
 @query("checkpoint_summary", f"""{WITH}, {_FLAGGED} SELECT source, count(*) FILTER (WHERE rejection_reason IS NULL) AS jobs_found,
   count(*) FILTER (WHERE rejection_reason IS NOT NULL) AS rejected FROM flagged GROUP BY 1""")
 def checkpoint_summary(spark, d):

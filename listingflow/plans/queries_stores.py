@@ -8,9 +8,11 @@ from listingflow.operators import filters, merge
 from listingflow.operators.scoring import score_listings
 from listingflow.plans.driver_tables import LISTINGS_SQL, as_of, listings, table
 from listingflow.plans.queries_listings import RULES, SCORED, WITH, _PROGRESS, _profile, _progress
-from listingflow.plans.registry import query
+from listingflow.plans.queries_texts import repo_metadata
+from listingflow.plans.registry import ORACLES, query
 from listingflow.scratch import scratch_path
-from listingflow.sources import stores
+from listingflow.sources import repos, stores
+from listingflow.sources.json_arrays import read_split_array
 
 
 @query("store_by_source", f"{WITH} SELECT ord, title, company, location, source FROM listings")
@@ -112,9 +114,57 @@ def reject_by_table(spark, d):
 
 @query("score_by_rule_tables", f"{SCORED} SELECT ord, score FROM scored")
 def score_by_rule_tables(spark, d):
-    """The score's term lists come as tables."""
-    frame = lambda name, rules: spark.createDataFrame(
-        [(k, i, t) for k, terms in rules.items() for i, t in enumerate(terms)], f"{name} string, pos int, term string"
-    )
-    rules = stores.rules_from_tables(frame("role", RULES.roles), frame("category", RULES.lexicons), RULES.default_category)
+    """The score's term lists are read from rule files, the weight of roles with its default."""
+    path = scratch_path(spark, "rules")
+
+    def read(name, rules):
+        schema = f"{name} string, pos int, term string"
+        rows = spark.createDataFrame([(k, i, t) for k, terms in rules.items() for i, t in enumerate(terms)], schema)
+        stores.write_json_arrays(rows, f"{path}/{name}", F.lit(0))
+        return stores.read_rules(spark, f"{path}/{name}/*", f"{schema}, weight double", {"weight": RULES.role_weight})
+
+    roles, lexicons = read("role", RULES.roles), read("category", RULES.lexicons)
+    rules = stores.rules_from_tables(roles, lexicons, RULES.default_category, role_weight=roles.agg(F.max("weight")).first()[0])
     return score_listings(listings(spark, d), _profile(spark, d), rules, as_of(), posted="posted").select("ord", "score")
+
+
+@query("json_arrays", f"{WITH} SELECT title, company, location, url, source FROM listings")
+def json_arrays(spark, d):
+    """Listings written as JSON array files of some thousand rows each and read back."""
+    names = ["title", "company", "location", "url", "source"]
+    path = scratch_path(spark, "arrays")
+    rows = listings(spark, d, description=False)
+    stores.write_json_arrays(rows.select("ord", *names), path, F.floor(F.col("ord") / 4096))
+    return stores.read_json_array(spark, f"{path}/*").select(*names)
+
+
+@query("profile_files", "SELECT item_id, text FROM benchmark")
+def profile_files(spark, d):
+    """Each profile written as a text file of its own and read back, the id from its path."""
+    path = scratch_path(spark, "profiles")
+    rows = table(spark, d, "benchmark").select("item_id", F.col("text").alias("value"))
+    rows.repartition("item_id").write.partitionBy("item_id").option("lineSep", "\x00").text(path)
+    read = stores.read_profiles(spark, f"{path}/*")
+    return read.select(
+        F.regexp_extract("profile_id", "item_id=([0-9]+)/", 1).cast("long").alias("item_id"),
+        F.rtrim("text", F.lit("\x00")).alias("text"),
+    )
+
+
+@query("repo_files", ORACLES["repo_projects"])
+def repo_files(spark, d):
+    """Repository metadata written as JSON array files, read back and made projects."""
+    path = scratch_path(spark, "repos")
+    meta = repo_metadata(spark, d)
+    stores.write_json_arrays(meta, path, F.pmod(F.xxhash64("name"), F.lit(1 + meta.count() // 1000)))
+    return repos.projects(repos.read_repos(spark, f"{path}/*"))
+
+
+@query("json_array_ranges", f"{WITH} SELECT title, company, location, url, source FROM listings")
+def json_array_ranges(spark, d):
+    """Listings in files of one long line each, read back in byte ranges."""
+    names = ["title", "company", "location", "url", "source"]
+    path = scratch_path(spark, "lines")
+    rows = listings(spark, d, description=False).select(F.to_json(F.struct(*names)).alias("value"))
+    rows.write.option("lineSep", ", ").text(path)
+    return read_split_array(spark, path, ", ".join(f"{c} string" for c in names))

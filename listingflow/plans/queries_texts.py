@@ -265,11 +265,15 @@ def profile_features(spark, d):
        WHEN doc_id % 3 = 1 THEN lang ELSE 'Various' END AS technologies, 'git/' || doc_id AS url
 FROM (SELECT doc_id, source, lang, text FROM documents) WHERE doc_id % 5 <> 0""")
 def repo_projects(spark, d):
+    return repos.projects(repo_metadata(spark, d))
+
+
+def repo_metadata(spark, d):
     """Repository metadata with encoded texts, made from the documents."""
     doc = spread(spark, d, "documents")
     words = F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " ")
     kind = F.col("doc_id") % 3
-    meta = doc.select(
+    return doc.select(
         F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("name"),
         F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("about "), F.col("lang"))).alias("description"),
         F.concat(F.lit("git/"), F.col("doc_id").cast("string")).alias("html_url"),
@@ -277,4 +281,3 @@ def repo_projects(spark, d):
         (F.col("doc_id") % 5 == 0).alias("fork"), F.when(kind == 0, words).alias("languages"),
         F.base64(F.col("text").cast("binary")).alias("content"),
     )
-    return repos.projects(meta)

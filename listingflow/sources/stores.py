@@ -79,6 +79,13 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str =
     return raw.where(F.col("_corrupt").isNull()).drop("_corrupt")
 
 
+def write_json_arrays(df: DataFrame, path: str, group: Column) -> None:
+    """Write rows as JSON array files, one for each ``group``: the form of ``read_json_array``.
+    A file is made and read by one task, so groups are of bounded size."""
+    rows = df.groupBy(group.alias("_group")).agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
+    rows.repartition("_group").write.mode("overwrite").partitionBy("_group").text(path)
+
+
 def read_store(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Parquet table, or an empty one with the same columns where it does not exist yet."""
     schema = _struct(schema)
