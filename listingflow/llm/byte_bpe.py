@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding (operator 12).
 
 Each match of the splitting pattern is encoded by itself. Its bytes are read as Latin-1
-text, in which one Aho-Corasick pass finds the longest token that begins at every byte. A
-walk from the left takes the longest token that may follow the one before it; where none
+text, for which the trie of an Aho-Corasick automaton of all tokens gives the longest match
+at a byte. A walk from the left takes the longest token that may follow the one before it; where none
 may, it takes back the last token and tries the next shorter one. Two tokens may follow
-each other if merging their joined bytes by rank gives these two tokens again, which is
-remembered for each pair. Every prefix has one such sequence, so a place given up once
+each other if merging their joined bytes by rank gives these two tokens again, which their
+own merges tell and which is remembered for each pair. Every prefix has one such sequence, so a place given up once
 needs no second visit, the walk is linear in the bytes, and its outcome is that of the
 merges.
 """
@@ -13,19 +13,24 @@ merges.
 from __future__ import annotations
 
 import base64
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listingflow.llm.words import slices, texts_of
+from listingflow.llm.words import slices, texts_of, tidy
 
-#: Distinct pieces and token pairs a worker process remembers, and the longest such piece.
-REMEMBERED, LONGEST = 1 << 19, 64
+#: Words and pieces, and token pairs, that a worker process remembers: of each twice so many
+#: at most. The longest word or piece that it does.
+REMEMBERED, LONGEST = 1 << 18, 64
 #: Bytes of text encoded together.
 SLICE = 2 << 20
 
@@ -54,6 +59,19 @@ def split_pattern(pattern: str, later: str = "") -> regex.Pattern:
     return regex.compile(pattern, regex.V1)
 
 
+#: Alternatives by which every space before a character that isn't white space begins a piece.
+_ATTACHING = (r" ?\p{L}+", r" ?\p{N}+", r" ?[^\s\p{L}\p{N}]+")
+#: A space that isn't such a one.
+_OTHER_SPACE = re.compile(r" (?:\s|$)")
+_NEVER = 1 << 62
+
+
+def _cut(text: str) -> list[str]:
+    """The text before its first space, and each space with what follows it."""
+    head, *rest = text.split(" ")
+    return [head, *(" " + r for r in rest)]
+
+
 class ByteBPE:
     """Encoder and decoder of one file of ranks: a line is a token in base64 and its rank."""
 
@@ -63,15 +81,24 @@ class ByteBPE:
             raise ValueError(f"no token for the bytes {missing}")
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.size = {rank: len(token) for token, rank in ranks.items()}
         # The simpler pattern gives the same pieces of a text without later characters.
         self.split, self.strict = split_pattern(pattern), split_pattern(pattern, LATER)
+        self.at_spaces = all(a in pattern for a in _ATTACHING)
+        self.latin = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.found = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            self.found.add_word(token.decode("latin-1"), (len(token), rank))
-        self.found.make_automaton()
-        self.pieces: dict[str, list[int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        for token, rank in self.latin.items():
+            self.found.add_word(token, rank)
+        self.longest = max(self.size.values())
+        #: Pieces, and words of several pieces with the space before them.
+        self.words: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+        #: By the first token, which tokens may follow it; their number is counted.
+        self.pairs: dict[int, dict[int, bool]] = {}
+        self.known_pairs = 0
         self.cut: dict[int, int | None] = {}
+        self.made: dict[int, tuple[int, int] | None] = {}
+        self.edges: tuple[dict[int, list[tuple[bytes, int]]], ...] = ({}, {})
 
     @classmethod
     def of_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -80,23 +107,73 @@ class ByteBPE:
 
     def merged(self, piece: bytes) -> list[int]:
         """Tokens of a short piece by its merges, lowest rank first and leftmost of equals."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
+        return self._merged(piece)[0]
+
+    def _merged(self, piece: bytes) -> tuple[list[int], tuple[int, int] | None]:
+        parts, last = [piece[i : i + 1] for i in range(len(piece))], None
         while len(parts) > 1:
             joined = [self.ranks.get(a + b) for a, b in zip(parts, parts[1:])]
             known = [r for r in joined if r is not None]
             if not known:
                 break
             i = joined.index(min(known))
+            last = self.ranks[parts[i]], self.ranks[parts[i + 1]]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        return [self.ranks[p] for p in parts], last
+
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes ``token``; None for a byte. ``ValueError`` for a
+        token that merges don't make, or make of tokens of higher rank."""
+        if token not in self.made:
+            if self.size[token] == 1:
+                self.made[token] = None
+            else:
+                whole, last = self._merged(self.bytes_of[token])
+                self.made[token] = last if whole == [token] and max(last) < token else (-1, -1)
+        found = self.made[token]
+        if found == (-1, -1):
+            raise ValueError(token)
+        return found
+
+    def _edge(self, token: int, side: int) -> list[tuple[bytes, int]]:
+        """The tokens that stand at one end of ``token`` while it is merged, first to last,
+        with the rank of the merge that ends each."""
+        known = self.edges[side].get(token)
+        if known is None:
+            known, at, ends = [], token, _NEVER
+            while at is not None:
+                known.insert(0, (self.bytes_of[at], ends))
+                ends, halves = at, self.halves(at)
+                at = None if halves is None else halves[side]
+            self.edges[side][token] = known
+        return known
 
     def follows(self, a: int, b: int) -> bool:
-        """Whether token ``b`` may stand right after token ``a``."""
-        fits = self.pairs.get((a, b))
-        if fits is None:
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            fits = self.pairs[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        """Whether token ``b`` may stand right after token ``a``: no merge of what stands at
+        their border comes before those that make the two tokens. Of equal ranks the merge
+        further left comes first."""
+        if self.known_pairs >= 2 * REMEMBERED:
+            self.pairs.clear()
+            self.known_pairs = 0
+        try:
+            left, right = self._edge(a, 1), self._edge(b, 0)
+        except ValueError:
+            fits = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        else:
+            i = j = 0
+            fits = True
+            while fits:
+                (x, x_ends), (y, y_ends) = left[i], right[j]
+                rank = self.ranks.get(x + y)
+                fits = rank is None or rank >= x_ends or rank > y_ends
+                if x_ends == y_ends == _NEVER:
+                    break
+                if x_ends <= y_ends:
+                    i += 1
+                else:
+                    j += 1
+        self.pairs.setdefault(a, {})[b] = fits
+        self.known_pairs += 1
         return fits
 
     def shorter(self, token: int) -> int | None:
@@ -109,45 +186,92 @@ class ByteBPE:
 
     def walk(self, piece: bytes) -> list[int]:
         """Tokens of a piece that isn't a token itself."""
-        longest: list[int | None] = [None] * len(piece)
-        for last, (length, rank) in self.found.iter(piece.decode("latin-1")):
-            longest[last - length + 1] = rank  # later matches of a start are longer
-        given_up = bytearray(len(piece) + 1)
+        size, pairs, cut, reach, tokens = self.size, self.pairs, self.cut, self.found.longest_prefix, self.latin
+        text, n, most = piece.decode("latin-1"), len(piece), self.longest
+        given_up: set[int] = set()
         out: list[int] = []
-        place, token = 0, longest[0]
-        while place < len(piece):
+        place, before, token, fresh = 0, None, None, True
+        after: dict[int, bool] = {}
+        while place < n:
+            if fresh:
+                # The trie says how far any token goes on like the text; none need end there.
+                ahead = text[place : place + most]
+                long = reach(ahead)
+                token = tokens.get(ahead[:long])
+                while token is None:
+                    long -= 1
+                    token = tokens.get(ahead[:long])
+                fresh = False
             while token is not None:
-                end = place + len(self.bytes_of[token])
-                if not given_up[end] and (not out or self.follows(out[-1], token)):
-                    break
-                token = self.shorter(token)
+                end = place + size[token]
+                if end not in given_up:
+                    if before is None:
+                        break
+                    fits = after.get(token)
+                    if fits is None:
+                        fits = self.follows(before, token)
+                        after = pairs.get(before, after)
+                    if fits:
+                        break
+                token = cut[token] if token in cut else self.shorter(token)
             if token is not None:
                 out.append(token)
-                place = end
-                token = longest[place] if place < len(piece) else None
+                before, place, fresh = token, end, True
+                after = pairs.get(token, {})
             else:
-                given_up[place] = 1
+                given_up.add(place)
                 last = out.pop()
-                place -= len(self.bytes_of[last])
+                before = out[-1] if out else None
+                after = pairs.get(before, {})
+                place -= size[last]
                 token = self.shorter(last)
         return out
 
-    def piece(self, text: str) -> list[int]:
-        data = text.encode("utf-8", "surrogatepass")
-        rank = self.ranks.get(data)
-        ids = [rank] if rank is not None else self.walk(data)
-        if len(text) <= LONGEST:
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            self.pieces[text] = ids
+    def _remember(self, word: str, ids: list[int]) -> list[int]:
+        """Keep what was met last: a full memory becomes the older one, which is looked at
+        before anything is encoded anew."""
+        if len(word) <= LONGEST:
+            if len(self.words) >= REMEMBERED:
+                self.older, self.words = self.words, {}
+            self.words[word] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def piece(self, text: str) -> list[int]:
+        """Tokens of one piece."""
+        ids = self.words.get(text) or self.older.get(text)
+        if ids is None:
+            data = text.encode("utf-8", "surrogatepass")
+            rank = self.ranks.get(data)
+            ids = [rank] if rank is not None else self.walk(data)
+        return self._remember(text, ids)
+
+    def _pieces(self, text: str) -> list[int]:
         out: list[int] = []
-        known = self.pieces
         split = self.strict if max(text, default="") >= LATER[0] else self.split
         for part in split.findall(text):
-            out += known.get(part) or self.piece(part)
+            out += self.words.get(part) or self.piece(part)
+        return out
+
+    def _word(self, word: str) -> list[int]:
+        # Letters alone are one piece with their space.
+        if word[1:].isalpha():
+            return self.piece(word)
+        ids = self.older.get(word)
+        return self._remember(word, self._pieces(word) if ids is None else ids)
+
+    def encode(self, text: str) -> list[int]:
+        if not self.at_spaces or _OTHER_SPACE.search(text):
+            return self._pieces(text)
+        # No piece reaches over the start of a space, so what lies between is looked up whole.
+        head, *rest = _cut(text)
+        out = self._pieces(head)
+        get = self.words.get
+        for word in rest:
+            ids = get(word)
+            if ids is None:
+                ids = self._word(word)
+                get = self.words.get
+            out += ids
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -171,11 +295,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks_path, pattern)
         for batch in slices(batches, "text", SLICE):
-            ids = pa.array([bpe.encode(t) for t in texts_of(batch, "text").to_pylist()], pa.list_(pa.int32()))
+            flat, ends = array("i"), [0]
+            for text in texts_of(batch, "text").to_pylist():
+                flat.extend(bpe.encode(text))
+                ends.append(len(flat))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(run, "doc_id long, ids array<int>")
+    return texts.mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -187,7 +315,10 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for start in range(0, len(batch), 256):
                 some = batch.slice(start, 256)
-                decoded = pa.array([bpe.decode(ids or []) for ids in some.column("ids").to_pylist()], pa.binary())
+                ids = some.column("ids")
+                sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+                flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+                decoded = pa.array([bpe.decode(flat[e - n : e].tolist()) for e, n in zip(ends, sizes)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*some.columns, decoded], names=["doc_id", "ids", "decoded"])
 
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
