@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from listingflow.llm.words import slices, texts_of
+from listingflow.llm.words import slices, texts_of, tidy
 from listingflow.scratch import discard, materialize
 
 PER_CLASS = 8_000
@@ -126,7 +126,7 @@ def prepare(docs: DataFrame, labels: DataFrame, label: str, features: Features)
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     d0, d1 = sizes.get(0, 0), sizes.get(1, 0)
     counts = (
-        sample.mapInArrow(_counter(features), "feature int, n0 long, n1 long")
+        sample.mapInArrow(tidy(_counter(features)), "feature int, n0 long, n1 long")
         .groupBy("feature")
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         .where(f"n0 + n1 >= {LEAST_DOCS}")
@@ -136,7 +136,7 @@ def prepare(docs: DataFrame, labels: DataFrame, label: str, features: Features)
     )
     chosen, n0, n1 = (counts.column(c).to_numpy() for c in ("feature", "n0", "n1"))
     ratios = np.log((n1 + 1) / (d1 + 2)) - np.log((n0 + 1) / (d0 + 2))
-    lists = sample.mapInArrow(_lister(features, chosen), "doc_id long, label int, found array<int>").orderBy("doc_id", "label").toArrow()
+    lists = sample.mapInArrow(tidy(_lister(features, chosen)), "doc_id long, label int, found array<int>").orderBy("doc_id", "label").toArrow()
     discard(sample)
     found = lists.column("found").combine_chunks()
     targets = lists.column("label").to_numpy()
@@ -149,10 +149,19 @@ def prepare(docs: DataFrame, labels: DataFrame, label: str, features: Features)
 SCORE = "_score"
 
 
+def free_name(docs: DataFrame, name: str = SCORE) -> str:
+    """``name``, or a longer one that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scored(
-    docs: DataFrame, features: Features, weights: np.ndarray, intercept: float, scale: float = 1.0, shift: float = 0.0
+    docs: DataFrame, features: Features, weights: np.ndarray, intercept: float, scale: float = 1.0, shift: float = 0.0,
+    name: str = SCORE,
 ) -> DataFrame:
-    """``docs`` with the column ``_score``: ``1 / (1 + exp(-(scale * margin + shift)))``,
+    """``docs`` with the further column ``name``: ``1 / (1 + exp(-(scale * margin + shift)))``,
     where the margin is the intercept and the weights of the text's distinct features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +169,9 @@ def scored(
             rows, found = features(texts_of(batch, "text"), weights != 0)
             margins = intercept + np.bincount(rows, weights[found], minlength=len(batch))
             scores = 1 / (1 + np.exp(-np.clip(scale * margins + shift, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, SCORE])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def distinct(rows: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listingflow.llm.graph import components
-from listingflow.llm.words import STEP, mix, runs, slices, texts_of, word_hashes
+from listingflow.llm.words import STEP, mix, runs, slices, texts_of, tidy, word_hashes
 from listingflow.scratch import discard, materialize
 
 SHINGLE_WORDS = 5
@@ -145,7 +145,7 @@ def _sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
                 sets = [s.view(np.int64) for _, s in shingle_sets(texts_of(part, "text"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
-    return materialize(texts.mapInArrow(run, _SETS), "sets")
+    return materialize(texts.mapInArrow(tidy(run), _SETS), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -295,7 +295,7 @@ def _rest(shared: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -
     )
     many = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     arranged = rows.repartition(many, *order).sortWithinPartitions(*order, "doc_id")
-    return materialize(arranged.mapInArrow(_compared(percent), "a long, b long").distinct(), "rest")
+    return materialize(arranged.mapInArrow(tidy(_compared(percent)), "a long, b long").distinct(), "rest")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -307,7 +307,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     are not looked at.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = materialize(texts.mapInArrow(_signed, _SIGNED), "signed")
+    signed = materialize(texts.mapInArrow(tidy(_signed), _SIGNED), "signed")
     first = (
         signed.where("digest is not null and doc_id is not null")
         .groupBy("digest")
@@ -358,7 +358,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, that with the smallest
-    doc_id. Of rows that share a doc_id one stays; rows without one all stay."""
+    doc_id. Of rows that share doc_id and text one stays, and all texts of a doc_id do; rows
+    without a doc_id all stay. Further columns are carried along, whatever their names."""
     gone = near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id").distinct()
     own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return docs.join(gone, "doc_id", "left_anti").withColumn("_own", own).dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    digest = F.sha2(F.col("text").cast("string"), 256)
+    kept = docs.select(F.col("doc_id"), digest.alias("digest"), own.alias("own"), F.struct(*docs.columns).alias("row"))
+    return kept.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "digest", "own"]).select("row.*")

@@ -149,24 +149,24 @@ def source_counts(docs: DataFrame) -> dict[str | None, int]:
 
 
 def _numbered(docs: DataFrame, rows: int) -> DataFrame:
-    """``_n``, the place of each row in its source's random order. The rows of a source
-    are spread over many groups by the leading bits of their hash, so a source with a
-    third of all rows is numbered by many tasks."""
+    """``source, row, n``: each row of ``docs`` as a struct, and its place in its source's
+    random order. The rows of a source are spread over many groups by the leading bits of
+    their hash, so a source with a third of all rows is numbered by many tasks."""
     bits = max(1, math.ceil(math.log2(max(2, rows / GROUP_ROWS))))
-    key = F.xxhash64(F.col("doc_id").cast("string"))
-    placed = docs.withColumn("_h", key).withColumn("_g", F.shiftright("_h", 64 - bits))
-    sizes = placed.groupBy("source", "_g").agg(F.count(F.lit(1)).alias("_rows"))
-    before = sizes.withColumn(
-        "_before", F.sum("_rows").over(W.partitionBy("source").orderBy("_g").rowsBetween(W.unboundedPreceding, -1))
-    ).select(F.struct(F.col("source"), F.col("_g")).alias("_k"), F.coalesce("_before", F.lit(0)).alias("_before"))
     ties = [F.col(c) for c in docs.columns if c not in ("doc_id", "source")]
-    order = [F.col("_h"), F.col("doc_id").asc_nulls_first(), *([F.xxhash64(*ties)] if ties else [])]
-    ranked = placed.withColumn("_i", F.row_number().over(W.partitionBy("source", "_g").orderBy(*order)))
+    placed = docs.select(
+        "source", F.struct(*docs.columns).alias("row"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"),
+        (F.xxhash64(*ties) if ties else F.lit(0)).alias("tie"),
+    ).withColumn("g", F.shiftright("h", 64 - bits))
+    sizes = placed.groupBy("source", "g").agg(F.count(F.lit(1)).alias("rows"))
+    before = sizes.withColumn(
+        "before", F.sum("rows").over(W.partitionBy("source").orderBy("g").rowsBetween(W.unboundedPreceding, -1))
+    ).select(F.struct("source", "g").alias("k"), F.coalesce("before", F.lit(0)).alias("before"))
+    order = [F.col("h"), F.col("row.doc_id").asc_nulls_first(), F.col("tie")]
+    ranked = placed.withColumn("i", F.row_number().over(W.partitionBy("source", "g").orderBy(*order)))
     return (
-        ranked.withColumn("_k", F.struct(F.col("source"), F.col("_g")))
-        .join(before, "_k")
-        .withColumn("_n", F.col("_before") + F.col("_i") - 1)
-        .drop("_k", "_before", "_i", "_h", "_g")
+        ranked.withColumn("k", F.struct("source", "g")).join(before, "k")
+        .select("source", "row", (F.col("before") + F.col("i") - 1).alias("n"))
     )
 
 
@@ -182,7 +182,7 @@ _PHASES = T.StructType(
 )
 
 
-def _placed(blocks: Mapping[str | None, int], weights: Mapping[str | None, float]):
+def _pieces(blocks: Mapping[str | None, int], weights: Mapping[str | None, float]):
     """The schedule in pieces, as rows ``source, block, slot``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +209,7 @@ def _slots(spark: SparkSession, blocks: Mapping[str | None, int], weights: Mappi
     """``source, block, slot`` of all blocks."""
     if period is None:
         _left(blocks, weights)  # raises here, not in the task
-        return materialize(spark.range(0, 1, 1, 1).mapInArrow(_placed(blocks, weights), "source string, block long, slot long"), "schedule")
+        return materialize(spark.range(0, 1, 1, 1).mapInArrow(_pieces(blocks, weights), "source string, block long, slot long"), "schedule")
     turns = F.size("_slots")
     inside = F.col("block") - F.col("_first")
     slot = F.col("_start") + F.floor(inside / turns) * F.col("_size") + F.get("_slots", (inside % turns).cast("int"))
@@ -217,6 +217,24 @@ def _slots(spark: SparkSession, blocks: Mapping[str | None, int], weights: Mappi
     return table.withColumn("block", F.explode(F.expr("sequence(_first, _end - 1)"))).select(F.col("_source").alias("source"), "block", slot.alias("slot"))
 
 
+def placed(
+    docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, period: int | None = None
+) -> DataFrame:
+    """``row, block, slot, position``: what ``mix`` adds, beside each row as a struct. No
+    name of a column of ``docs`` can clash with these."""
+    counts = source_counts(docs)
+    rows = sum(counts.values())
+    slots = _slots(docs.sparkSession, {s: -(-n // block) for s, n in counts.items()}, weights or temperature_weights(counts), period)
+    key = F.struct(F.col("source").cast("string").alias("source"), "block").alias("k")
+    numbered = _numbered(docs, rows).withColumn("block", F.floor(F.col("n") / block))
+    position = F.col("slot") * block + F.col("n") % block
+    return (
+        numbered.withColumn("k", key)
+        .join(slots.select(key, "slot"), "k")
+        .select("row", "block", "slot", position.alias("position"))
+    )
+
+
 def mix(
     docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, period: int | None = None
 ) -> DataFrame:
@@ -228,23 +246,17 @@ def mix(
     repeated doc_ids are ordered by their other columns; rows equal in all columns are
     interchangeable. A source without a positive weight raises an error; an empty table
     gives no rows. No column but doc_id and source decides anything else, and further
-    columns are carried along.
+    columns are carried along; one named as a result raises an error, for which ``placed``
+    is the way out.
     """
-    counts = source_counts(docs)
-    rows = sum(counts.values())
-    slots = _slots(docs.sparkSession, {s: -(-n // block) for s, n in counts.items()}, weights or temperature_weights(counts), period)
-    key = F.struct(F.col("source").cast("string").alias("source"), "block").alias("_k")
-    numbered = _numbered(docs, rows).withColumn("block", F.floor(F.col("_n") / block))
-    return (
-        numbered.withColumn("_k", key)
-        .join(slots.select(key, "slot"), "_k")
-        .withColumn("position", F.col("slot") * block + F.col("_n") % block)
-        .drop("_n", "_k")
-    )
+    taken = {"block", "slot", "position"} & {c.lower() for c in docs.columns}
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are results")
+    return placed(docs, weights, block, period).select("row.*", "block", "slot", "position")
 
 
 def in_mixed_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None) -> DataFrame:
     """The rows of ``docs`` in mixed order: partitions are ranges of the position, sorted,
-    so the files of a table written from them follow the schedule."""
-    mixed = mix(docs, weights)
-    return mixed.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
+    so the files of a table written from them follow the schedule. Columns stay as they are,
+    whatever their names."""
+    return placed(docs, weights).repartitionByRange("position").sortWithinPartitions("position").select("row.*")

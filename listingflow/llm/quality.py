@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listingflow.llm.linear import BITS, SCORE, Training, distinct, prepare, scored
+from listingflow.llm.linear import BITS, SCORE, Training, distinct, free_name, prepare, scored
 from listingflow.llm.words import STEP, mix, split_words
 
 #: Bound of the dual variables (times a document's weight), and passes over the sample.
@@ -151,4 +151,5 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def only_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are predicted good, with all their columns."""
-    return scored(docs, ngrams, *train(docs, labels)).where(F.col(SCORE) >= CUT).drop(SCORE)
+    name = free_name(docs)
+    return scored(docs, ngrams, *train(docs, labels), name=name).where(F.col(name) >= CUT).drop(name)

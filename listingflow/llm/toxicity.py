@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listingflow.llm.linear import BITS, SCORE, Training, distinct, prepare, scored
+from listingflow.llm.linear import BITS, SCORE, Training, distinct, free_name, prepare, scored
 from listingflow.llm.words import STEP, mix
 
 SIZES = (3, 4, 5)
@@ -111,4 +111,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, with all their columns."""
-    return scored(docs, ngrams, *train(docs, labels)).where(F.col(SCORE) < CUT).drop(SCORE)
+    name = free_name(docs)
+    return scored(docs, ngrams, *train(docs, labels), name=name).where(F.col(name) < CUT).drop(name)

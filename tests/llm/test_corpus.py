@@ -217,7 +217,7 @@ def test_mixing_matches_brute_force(spark, frame):
 
 
 def test_mixing_does_not_depend_on_the_numbering_groups(frame, monkeypatch):
-    docs = frame([(i, "t", f"s{i % 3}", "", 1) for i in range(500)], DOCS).drop("slot")
+    docs = frame([(i, "t", f"s{i % 3}", "", 1) for i in range(500)], DOCS).withColumnRenamed("slot", "_h")
     first = sorted(mixing.mix(docs).select("doc_id", "position").collect())
     monkeypatch.setattr(mixing, "GROUP_ROWS", 7)
     assert sorted(mixing.mix(docs).select("doc_id", "position").collect()) == first
@@ -235,6 +235,37 @@ def test_mixing_edge_cases(frame):
     assert ordered.columns == docs.columns and ordered.count() == 5
 
 
+CLASHING = ["slot", "block", "position", "_h", "_n", "_k", "_i", "_g", "_score", "row", "own", "n", "k", "tie", "place"]
+
+
+def test_columns_of_any_name_are_carried_along(spark, frame, corpus):
+    """Every stage returns the columns it was given, with their values."""
+    rows = [(i, f"some words of text number {i} and more of them", f"s{i % 3}", *[f"{c}{i}" for c in CLASHING]) for i in range(60)]
+    docs = frame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASHING))
+    want = sorted(tuple(r) for r in docs.collect())
+    assert sorted(tuple(r) for r in mixing.in_mixed_order(docs).collect()) == want
+    got = mixing.placed(docs).select("row.*").collect()
+    assert sorted(map(tuple, got)) == want
+    clean = docs.drop("slot", "block", "position")
+    mixed = mixing.mix(clean)
+    assert mixed.columns == [*clean.columns, "block", "slot", "position"]
+    assert sorted(tuple(r) for r in mixed.drop("block", "slot", "position").collect()) == sorted(tuple(r) for r in clean.collect())
+    for c in ("slot", "block", "position"):
+        with pytest.raises(ValueError, match="are results"):
+            mixing.mix(clean.withColumn(c, clean["text"]))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DIR)
+        assert out.columns == docs.columns, name
+        assert {tuple(r) for r in out.collect()} <= set(want), name
+    assert {r.doc_id for r in corpus_pipeline.packing(spark, docs, DIR).collect()} == set(range(60))
+
+
+def test_all_texts_of_a_repeated_id_stay(frame):
+    rows = [(1, "one text of six words here", "a"), (1, "quite another thing to read now", "b"), (1, "one text of six words here", "a"), (2, "one text of six words here", "c")]
+    got = minhash.without_near_duplicates(frame(rows, "doc_id long, text string, own string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got if r.doc_id == 1) == sorted({(r[0], r[1]) for r in rows if r[0] == 1})
+
+
 def test_mixed_share_follows_the_weights(frame):
     docs = frame([(i, "t", "big" if i < 3000 else "small", "", 1) for i in range(4000)], DOCS).drop("slot")
     rows = sorted(mixing.mix(docs, {"big": 0.5, "small": 0.5}, block=10).collect(), key=lambda r: r.position)
@@ -337,5 +368,5 @@ def test_stages_of_an_empty_table(spark, corpus):
 
 def test_all_are_registered():
     names = [n for n in entry_points.queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
     assert math.prod(1 for _ in names) == 1
