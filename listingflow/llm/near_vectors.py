@@ -317,8 +317,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     linked = pairs.where("kind = 1").select("a", "b").unionByName(opened.select("a", "b").distinct())
     groups = materialize(components(linked), "groups")
 
-    # Components too large for a window: compare all their balls, in blocks.
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WINDOW)
+    # All balls of a component are compared, in blocks; one of two balls has its only pair.
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2)
     sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     dense = groups.join(sizes, "component").select("component", F.col("node").alias("leader"), "blocks")
     block = F.pmod(F.xxhash64("leader"), F.col("blocks")).cast("int")
