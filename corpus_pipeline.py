@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from listingflow.llm.minhash import without_near_duplicates
-from listingflow.llm.mixing import in_mixed_order, mix
+from listingflow.llm.mixing import in_mixed_order, placed
 from listingflow.llm.packing import pack
 from listingflow.llm.quality import only_good
 from listingflow.llm.queries import TOKENIZER, table
@@ -43,7 +43,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A table that is read again has no order; the place of each document is a function of
     the rows alone, so it is found again here."""
     ship(spark)
-    return pack(mix(docs), TOKENIZER, "position")
+    return pack(placed(docs).select("row.doc_id", "row.text", "position"), TOKENIZER, "position")
 
 
 STAGES = [
