@@ -24,8 +24,9 @@ def _found_sets(docs: DataFrame, vocabulary: DataFrame, doc_id: str, text: str)
         vocabulary.select(F.col("token").alias("term"), "token_id"), "term"
     )
     inside = inside.groupBy("text_id").agg(F.collect_list("token_id").alias("ids"))
-    known = runs.join(inside, "text_id").select(F.struct("text").alias("_k"), "ids")
-    hits = doc_runs.withColumn("_k", F.struct("text")).join(known, "_k").select("doc_id", "ids")
+    # Words are broadcast by the size of their file else, and are many times as large in memory.
+    known = runs.hint("merge").join(inside, "text_id").select(F.struct("text").alias("_k"), "ids")
+    hits = doc_runs.withColumn("_k", F.struct("text")).join(known.hint("merge"), "_k").select("doc_id", "ids")
     # Every document has a row, also one without a token.
     every = docs.select(F.col(doc_id).alias("doc_id"), F.array().cast("array<bigint>").alias("ids"))
     return hits.unionByName(every).groupBy("doc_id").agg(
@@ -100,11 +101,11 @@ def rank_projects(
         met.withColumn("_r", F.row_number().over(by_part)).where(F.col("_r") <= k)
         .groupBy("set_id").agg(F.when(F.count(F.lit(1)) == k, F.min("part")).alias("kth"))
     )
-    reach = sets.join(kth, "set_id", "left").select(
+    reach = sets.hint("merge").join(kth, "set_id", "left").select(
         "set_id", "left_out", F.greatest("floor", F.coalesce("kth", F.lit(0))).alias("least")
     )
     exact = (
-        met.join(reach, "set_id")
+        met.join(reach.hint("merge"), "set_id")
         .where(F.col("part") + F.size("left_out") >= F.col("least"))
         .join(described, "project")
         .select("set_id", "project", (F.col("part") + _shared("has", "left_out")).alias("relevance"))
@@ -115,9 +116,9 @@ def rank_projects(
     scored = exact.unionByName(none).groupBy("set_id", "project").agg(F.max("relevance").alias("relevance"))
     w = Window.partitionBy("set_id").orderBy(F.col("relevance").desc(), "project")
     best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    ranked = best.join(sets.select("set_id", "set"), "set_id").select(F.struct("set").alias("_k"), "rank", "project", "relevance")
+    ranked = best.join(sets.select("set_id", "set").hint("merge"), "set_id").select(F.struct("set").alias("_k"), "rank", "project", "relevance")
     of = found.select(F.col("doc_id").alias(doc_id), F.struct(digest.alias("set")).alias("_k"))
-    return of.join(ranked, "_k").select(doc_id, "rank", "project", "relevance")
+    return of.join(ranked.hint("merge"), "_k").select(doc_id, "rank", "project", "relevance")
 
 
 def project_block(

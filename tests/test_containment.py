@@ -1,5 +1,6 @@
 """Terms in texts by rare anchors, against a plain search, and the rows it makes."""
 
+import itertools
 import random
 
 from hypothesis import HealthCheck, given, settings
@@ -62,3 +63,16 @@ def test_a_hot_text_is_searched_once(spark):
     terms = spark.createDataFrame([(" WIDGET ",), ("firm 3",), ("",), (None,)], "term string")
     got = {r["ord"] for r in flag_by_table(df, terms).where("rejection_reason is not null").collect()}
     assert got == {i for i, c, _ in rows if "widget" in c.lower() or "firm 3" in c.lower()}
+
+
+def test_runs_of_texts_are_never_broadcast(spark):
+    """By the file of the texts they would look small enough to be, and fill the driver."""
+    texts = containment.numbered(spark.createDataFrame([(f"some text {i}",) for i in range(50)], "text string"))
+    terms = spark.createDataFrame([("text 1",), ("me",)], "term string")
+    lines = containment.contained(texts, terms)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    sent = [
+        inner for i, line in enumerate(lines) if "BroadcastExchange" in line
+        for inner in itertools.takewhile(lambda x: depth(x) > depth(line), lines[i + 1 :])
+    ]
+    assert any("Generate" in line for line in lines) and not any("Generate inline" in line or "text#" in line for line in sent)
