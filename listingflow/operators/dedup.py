@@ -107,9 +107,14 @@ def kept_ords(df: DataFrame, keys: Mapping[str, Column], ord_col: str = "ord") -
     on until nothing is undecided; the plan is the same at every size and no row is ever
     left out.
     """
+    return _kept_and_read(df, keys, ord_col)[0]
+
+
+def _kept_and_read(df: DataFrame, keys: Mapping[str, Column], ord_col: str) -> tuple[DataFrame, DataFrame]:
+    """``kept_ords``, and the written reduction of the rows, with ``n`` of them in each group.
+    ``df`` is read once, for the reduction."""
     names = list(keys)
     keyed = df.select(F.col(ord_col).cast("long").alias(ord_col), *[c.alias(n) for n, c in keys.items()])
-    pairs = keyed.groupBy(*names).agg(F.min(ord_col).alias(ord_col))
     # A row without a key is alone in a group of its own for that key. The prefixes keep
     # its stand-in apart from every real value.
     own = F.concat(F.lit("o:"), F.col(ord_col).cast("string"))
@@ -117,14 +122,17 @@ def kept_ords(df: DataFrame, keys: Mapping[str, Column], ord_col: str = "ord") -
     all_null = F.lit(True)
     for n in names:
         all_null = all_null & F.col(n).isNull()
-    free = keyed.where(all_null).select(ord_col)
-    undecided = materialize(
-        pairs.where(~all_null).select(
-            ord_col, *[F.coalesce(F.concat(F.lit("v:"), F.col(n).cast("string")), own).alias(n) for n in names]
+    free = F.when(all_null, F.struct(ord_col)).alias("_free")
+    pairs = keyed.groupBy(*names, free).agg(F.min(ord_col).alias(ord_col), F.count(F.lit(1)).alias("n"))
+    start = materialize(
+        pairs.select(
+            ord_col, *[F.coalesce(F.concat(F.lit("v:"), F.col(n).cast("string")), own).alias(n) for n in names], "_free", "n"
         ),
         "dedup-start",
     )
-    kept = free
+    undecided = start.where("_free is null").select(ord_col, *names)
+    # A row without a key stands for every row with its ``ord``.
+    kept = start.where("_free is not null").select(F.explode(F.array_repeat(ord_col, F.col("n").cast("int"))).alias(ord_col))
     rounds = 0
     while True:
         winners = materialize(_firsts(undecided, names, ord_col), "dedup-winners")
@@ -140,7 +148,7 @@ def kept_ords(df: DataFrame, keys: Mapping[str, Column], ord_col: str = "ord") -
         undecided = after
         rounds += 1
         if undecided.isEmpty():
-            return kept
+            return kept, start
 
 
 def first_seen(df: DataFrame, keys: Mapping[str, Column] | None = None, ord_col: str = "ord") -> DataFrame:
@@ -150,8 +158,8 @@ def first_seen(df: DataFrame, keys: Mapping[str, Column] | None = None, ord_col:
 
 def first_seen_counts(df: DataFrame, keys: Mapping[str, Column] | None = None, ord_col: str = "ord") -> DataFrame:
     """One row: how many rows came in, were kept, and were duplicates."""
-    kept = kept_ords(df, keys or listing_keys(), ord_col)
-    flags = df.select(F.lit(1).alias("total"), F.lit(0).alias("kept")).unionAll(
+    kept, read = _kept_and_read(df, keys or listing_keys(), ord_col)
+    flags = read.select(F.col("n").alias("total"), F.lit(0).alias("kept")).unionAll(
         kept.select(F.lit(0).alias("total"), F.lit(1).alias("kept"))
     )
     return flags.agg(
