@@ -119,30 +119,86 @@ def lexicon_index(category, rules: ScoreRules) -> Column:
     return out.otherwise(F.lit(names.index(rules.default_category)))
 
 
-def lexicon_size(index: Column, rules: ScoreRules) -> Column:
-    return F.get(F.array(*[F.lit(len(t)) for t in rules.lexicons.values()]), index)
+def longest_term(rules: ScoreRules) -> int:
+    """Characters of the longest term of a role or lexicon."""
+    every = [t for terms in rules.roles.values() for t in terms] + list(rules.terms)
+    return max((len(t) for t in every), default=1)
+
+
+def _tagged_lexicons(rules: ScoreRules) -> Column:
+    """The terms of each lexicon with their bit among the lexicon's and among all terms."""
+    at = {t: i for i, t in enumerate(rules.terms)}
 
+    def tag(i: int, t: str) -> Column:
+        return F.struct(
+            F.lit(t).alias("t"), F.lit(i // _MASK_BITS).alias("word"), F.lit(1 << (i % _MASK_BITS)).cast("long").alias("bit"),
+            F.lit(at[t] // _MASK_BITS).alias("all_word"), F.lit(1 << (at[t] % _MASK_BITS)).cast("long").alias("all_bit"),
+        )
+
+    return F.array(*[F.array(*[tag(i, t) for i, t in enumerate(terms)]) for terms in rules.lexicons.values()])
 
-def skill_masks(description: Column, index: Column, rules: ScoreRules) -> Column:
-    """Which terms of the lexicon occur in the text, packed into whole numbers."""
+
+def body_features(norm: Column, present: Column, rules: ScoreRules) -> Column:
+    """What scores need to know of a text in scoring form that many descriptions begin with:
+    the roles and terms in it, its first years, and its ends, over which a term may reach."""
+    edge = longest_term(rules) - 1
     tagged = F.array(
         *[
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(t).alias("t"), F.lit(i // _MASK_BITS).alias("word"),
-                        F.lit(1 << (i % _MASK_BITS)).cast("long").alias("bit"),
-                    )
-                    for i, t in enumerate(terms)
-                ]
-            )
-            for terms in rules.lexicons.values()
+            F.struct(F.lit(t).alias("t"), F.lit(i // _MASK_BITS).alias("word"), F.lit(1 << (i % _MASK_BITS)).cast("long").alias("bit"))
+            for i, t in enumerate(rules.terms)
         ]
     )
-    hits = F.filter(F.get(tagged, index), lambda s: F.contains(description, s["t"]))
+    masks = _masks(F.filter(tagged, lambda s: F.contains(norm, s["t"])), max(1, -(-len(rules.terms) // _MASK_BITS)))
+    return F.struct(
+        present.alias("present"), role_hits(norm, rules).alias("roles"), masks.alias("terms"), first_years(norm).alias("years"),
+        F.substring(norm, 1, edge).alias("head"), F.right(norm, F.lit(edge)).alias("tail"),
+        F.substring_index(norm, " ", -1).alias("last"),
+    )
+
+
+def joined(*texts: Column) -> Column:
+    """Texts in scoring form with a space between; empty ones add none."""
+    return F.concat_ws(" ", *[F.nullif(t, F.lit("")) for t in texts])
+
+
+def body_role_hits(title: Column, body: Column, note: Column, rules: ScoreRules) -> Column:
+    """``role_hits`` of a title and a description of ``body`` and ``note``."""
+    short = F.length(body["head"]) < longest_term(rules) - 1
+    lead = F.concat(title, F.lit(" "), F.when(short, joined(body["head"], note)).otherwise(body["head"]))
+    ends = F.array(lead, joined(body["tail"], note))
+    # A control character is in no term that a text in scoring form could have.
+    near = F.array_join(ends, "\x00")
+    return F.zip_with(body["roles"], role_hits(near, rules), lambda inside, at_ends: inside | at_ends)
+
+
+def body_lexicon_hits(body: Column, note: Column, index: Column, rules: ScoreRules) -> Column:
+    """The terms of the lexicon in a description of ``body`` and ``note``, with their bits."""
+    ends = joined(body["tail"], note)
+    return F.filter(
+        F.get(_tagged_lexicons(rules), index),
+        lambda s: (F.get(body["terms"], s["all_word"]).bitwiseAND(s["all_bit"]) != 0) | F.contains(ends, s["t"]),
+    )
+
+
+def body_required_years(body: Column, note: Column, rules: ScoreRules) -> Column:
+    """``required_years`` of a description of ``body`` and ``note``."""
+    behind = first_years(joined(body["last"], note))
+    return years_or_default(F.coalesce(F.nullif(body["years"], F.lit("")), behind), rules)
+
+
+def lexicon_size(index: Column, rules: ScoreRules) -> Column:
+    return F.get(F.array(*[F.lit(len(t)) for t in rules.lexicons.values()]), index)
+
+
+def packed(hits: Column, rules: ScoreRules) -> Column:
+    """Terms of a lexicon with their bits as whole numbers."""
+    return _masks(hits, mask_words(rules))
+
+
+def _masks(hits: Column, words: int) -> Column:
     zero = F.lit(0).cast("long")
     return F.transform(
-        F.sequence(F.lit(0), F.lit(mask_words(rules) - 1)),
+        F.sequence(F.lit(0), F.lit(words - 1)),
         lambda w: F.aggregate(
             F.filter(hits, lambda s: s["word"] == w), zero, lambda total, s: total + s["bit"]
         ),
@@ -169,9 +225,17 @@ def known_masks(known: Column, rules: ScoreRules) -> Column:
     return F.array(*lists)
 
 
+def first_years(text: Column) -> Column:
+    """Digits of the first "N years"; empty where there are none."""
+    return F.regexp_extract(text, r"([0-9]+)\+?\s*(?:years|yrs)", 1)
+
+
 def required_years(description: Column, rules: ScoreRules) -> Column:
     """First "N years" of the description as text. In a range the later number counts."""
-    digits = F.regexp_extract(description, r"([0-9]+)\+?\s*(?:years|yrs)", 1)
+    return years_or_default(first_years(description), rules)
+
+
+def years_or_default(digits: Column, rules: ScoreRules) -> Column:
     return F.when(digits == "", F.lit(str(rules.default_required_years))).otherwise(number_text(digits))
 
 

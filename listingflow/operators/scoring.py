@@ -26,6 +26,39 @@ def profile_table(profiles: DataFrame, rules: ScoreRules, text: str = "text") ->
     return profiles.withColumn("features", S.profile_features(text, rules))
 
 
+def text_bodies(texts: DataFrame, rules: ScoreRules, text: str = "text", body: str = "body") -> DataFrame:
+    """``texts`` with what scores need to know of each text in place of the text.
+
+    Where many descriptions begin with one text, it is read once here, and listings carry
+    its ``body`` and, as ``note``, what follows it after a space.
+    """
+    normal = once(texts, {"_norm": S.normalize_score(text)})
+    return once(normal, {body: S.body_features(F.col("_norm"), F.col(text).isNotNull(), rules)}).drop("_norm", text)
+
+
+def _described(listings: DataFrame, rules: ScoreRules, body: str | None) -> tuple[DataFrame, Column, Column, Column]:
+    """Listings with their lexicon, the roles hit, the lexicon's terms found, with their
+    bits, and the years asked, from the description or from ``body`` and ``note``."""
+    title, description = S.normalized_texts("title", "description")
+    lexicon = {"_lexicon": S.lexicon_index("category", rules)}
+    index = F.col("_lexicon")
+    if body is None:
+        # Long texts are normalised and searched once per row.
+        texts = once(listings, {"_title": title, "_desc": description, **lexicon})
+        texts = once(texts, {"_both": F.concat_ws(" ", "_title", "_desc")})
+        desc = F.col("_desc")
+        terms = F.filter(F.get(S._tagged_lexicons(rules), index), lambda s: F.contains(desc, s["t"]))
+        return texts, S.role_hits(F.col("_both"), rules), terms, S.required_years(desc, rules)
+    b, note = F.col(body), F.col("_note")
+    # A missing text makes the whole description missing.
+    noted = F.when(b["present"], S.normalize_score("note")).otherwise(F.lit(""))
+    texts = once(listings, {"_title": title, "_note": noted, **lexicon})
+    return (
+        texts, S.body_role_hits(F.col("_title"), b, note, rules),
+        S.body_lexicon_hits(b, note, index, rules), S.body_required_years(b, note, rules),
+    )
+
+
 def score_listings(
     listings: DataFrame,
     profile: DataFrame,
@@ -33,32 +66,28 @@ def score_listings(
     as_of: Column,
     text: str = "text",
     posted: str = "posted",
+    body: str | None = None,
 ) -> DataFrame:
     """Add the score, its five parts and the reason to every listing.
 
     ``profile`` holds exactly one row. Its features reach the listings as a scalar
-    subquery: there is no join and no shuffle, and two rows raise an error.
+    subquery: there is no join and no shuffle, and two rows raise an error. ``body`` names
+    the column of ``text_bodies`` of listings that have it, with ``note``, instead of a
+    description; both are left out of the result.
     """
     features = profile.select(S.profile_features(text, rules).alias("f")).scalar()
-    title, description = S.normalized_texts("title", "description")
-    # Long texts are normalised and searched once per row; what follows is arithmetic
-    # on the outcome, so a later filter on the score copies nothing costly.
-    texts = once(listings, {"_title": title, "_desc": description, "_p": features})
-    texts = once(
-        texts,
-        {
-            "_both": F.concat_ws(" ", "_title", "_desc"),
-            "_lexicon": S.lexicon_index("category", rules),
-        },
-    )
+    # What follows the texts is arithmetic on the outcome, so a later filter on the score
+    # copies nothing costly.
+    texts, hits, terms, need = _described(listings, rules, body)
+    texts = once(texts, {"_p": features})
     p = F.col("_p")
-    desc = F.col("_desc")
+    known = F.get(p["known"], F.col("_lexicon"))
     parts = once(
         texts,
         {
-            "_hits": S.role_hits(F.col("_both"), rules),
-            "_found": F.filter(F.get(p["known"], F.col("_lexicon")), lambda t: F.contains(desc, t)),
-            "_need": S.required_years(desc, rules),
+            "_hits": hits,
+            "_found": F.transform(F.filter(terms, lambda s: F.array_contains(known, s["t"])), lambda s: s["t"]),
+            "_need": need,
             "_size": S.lexicon_size(F.col("_lexicon"), rules),
             "_place": S.location_part("location", rules),
             "_fresh": S.recency_part(S.posted_date(posted, _is_date(listings, posted)), as_of),
@@ -93,7 +122,7 @@ def score_listings(
     )
     total = S.total_score(*[F.col(c) for c in ("_role", "_skill", "_exp", "_loc", "_rec")])
     return parts.select(
-        *listings.columns,
+        *[c for c in listings.columns if body is None or c not in (body, "note")],
         total.alias("score"),
         reason.alias("reason"),
         S.two_decimals(F.col("_role")).alias("role_score"),
@@ -123,20 +152,20 @@ def constant_scores(listings: DataFrame, threshold: float) -> DataFrame:
 MOST_YEARS = 40
 
 
-def _signatures(listings: DataFrame, rules: ScoreRules, as_of: Column, k: int, posted: str, ord_col: str) -> DataFrame:
+def _signatures(
+    listings: DataFrame, rules: ScoreRules, as_of: Column, k: int, posted: str, ord_col: str, body: str | None = None
+) -> DataFrame:
     """Listings by all that their score depends on, each with its ``k`` earliest rows."""
-    title, description = S.normalized_texts("title", "description")
-    texts = once(
-        listings.select(ord_col, "category", "location", posted, "title", "description"),
-        {"_title": title, "_desc": description, "lexicon": S.lexicon_index("category", rules)},
+    long_text = ["description"] if body is None else [body, "note"]
+    texts, hits, terms, need = _described(
+        listings.select(ord_col, "category", "location", posted, "title", *long_text), rules, body
     )
-    texts = once(texts, {"_both": F.concat_ws(" ", "_title", "_desc")})
     signature = once(
-        texts,
+        texts.withColumn("lexicon", F.col("_lexicon")),
         {
-            "roles": S.role_hits(F.col("_both"), rules),
-            "skills": S.skill_masks(F.col("_desc"), F.col("lexicon"), rules),
-            "need": S.required_years(F.col("_desc"), rules),
+            "roles": hits,
+            "skills": S.packed(terms, rules),
+            "need": need,
             "place": S.location_part("location", rules),
             "fresh": S.recency_part(S.posted_date(posted, _is_date(listings, posted)), as_of),
         },
@@ -245,6 +274,7 @@ def top_per_profile(
     text: str = "text",
     posted: str = "posted",
     ord_col: str = "ord",
+    body: str | None = None,
 ) -> DataFrame:
     """The best ``k`` listings of every profile: (profile_id, rank, ord, score).
 
@@ -256,7 +286,7 @@ def top_per_profile(
     ``k`` listings of a profile lie in its best ``k`` signatures ordered by score and
     first ``ord``, and within a signature they are its ``k`` earliest rows.
     """
-    groups = _signatures(listings, rules, as_of, k, posted, ord_col)
+    groups = _signatures(listings, rules, as_of, k, posted, ord_col, body)
     features = profile_table(profiles, rules, text).select(
         profile_id, F.col("features")["role_values"].alias("role_values"),
         S.known_masks(F.col("features")["known"], rules).alias("known"),

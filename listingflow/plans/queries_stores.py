@@ -10,7 +10,7 @@ from listingflow.plans.driver_tables import LISTINGS_SQL, as_of, listings, table
 from listingflow.plans.queries_listings import RULES, SCORED, WITH, _PROGRESS, _profile, _progress
 from listingflow.plans.queries_texts import repo_metadata
 from listingflow.plans.registry import ORACLES, query
-from listingflow.scratch import scratch_path
+from listingflow.scratch import materialize, scratch_path
 from listingflow.sources import repos, stores
 from listingflow.sources.json_arrays import read_split_array
 
@@ -36,7 +36,9 @@ def store_json(spark, d):
 @query("append_scores", f"{SCORED} SELECT ord, score FROM scored")
 def append_scores(spark, d):
     """Scores appended in two runs, the later posted first."""
-    scored = score_listings(listings(spark, d), _profile(spark, d), RULES, as_of(), posted="posted").select("ord", "posted", "score")
+    scored = score_listings(listings(spark, d, rules=RULES), _profile(spark, d), RULES, as_of(), posted="posted", body="body")
+    # Written once: both runs read it.
+    scored = materialize(scored.select("ord", "posted", "score"), "scored")
     path = scratch_path(spark, "scores")
     early = F.col("posted") < F.lit("1998-01-01").cast("date")
     stores.append_rows(scored.where(~early).drop("posted"), path)
@@ -125,7 +127,7 @@ def score_by_rule_tables(spark, d):
 
     roles, lexicons = read("role", RULES.roles), read("category", RULES.lexicons)
     rules = stores.rules_from_tables(roles, lexicons, RULES.default_category, role_weight=roles.agg(F.max("weight")).first()[0])
-    return score_listings(listings(spark, d), _profile(spark, d), rules, as_of(), posted="posted").select("ord", "score")
+    return score_listings(listings(spark, d, rules=rules), _profile(spark, d), rules, as_of(), posted="posted", body="body").select("ord", "score")
 
 
 @query("json_arrays", f"{WITH} SELECT title, company, location, url, source FROM listings")

@@ -61,9 +61,9 @@ def stream_ingest(spark, d):
 
 @query("stream_scores", f"""{SCORED} SELECT title, company, score FROM (SELECT *, row_number() OVER (PARTITION BY title, company ORDER BY {_SLICE}, ord) AS n FROM scored) WHERE n = 1""")
 def stream_scores(spark, d):
-    source = listings(spark, d)
+    source = listings(spark, d, rules=RULES)
     out, checkpoint = scratch_path(spark, "scores"), scratch_path(spark, "checkpoint")
-    in_slices(source, _by_date(), lambda stream: jobs.score_arrivals(stream, _profile(spark, d), RULES, as_of(), out, checkpoint))
+    in_slices(source, _by_date(), lambda stream: jobs.score_arrivals(stream, _profile(spark, d), RULES, as_of(), out, checkpoint, body="body"))
     return _read(source, out).select("title", "company", "score")
 
 

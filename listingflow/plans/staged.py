@@ -77,12 +77,13 @@ def staged_run(
     target: int = TARGET_LISTINGS,
     posted: str = "posted",
     stop_after: str | None = None,
+    body: str | None = None,
 ) -> tuple[DataFrame, Stages]:
     """Deduplicate, reject, score and recommend, each stage written below ``path``.
 
     A run that died, or that ``stop_after`` ended with ``Stopped``, goes on after its last
     finished stage when it is called again. Returns the recommended rows with ``rank``, and
-    the stages.
+    the stages. ``body`` is that of ``score_listings``.
     """
     inputs = [content_id(listings), content_id(profile), str(as_of)]
     stages = Stages(listings.sparkSession, path, inputs, stop_after)
@@ -90,6 +91,6 @@ def staged_run(
     kept = stages.stage(
         "kept", lambda: split_rejected(pick_rows(listings, unique), blacklist)[0], ["unique"], [tuple(blacklist)]
     )
-    scored = stages.stage("scored", lambda: score_listings(kept, profile, rules, as_of, posted=posted), ["kept"], [rules, posted])
+    scored = stages.stage("scored", lambda: score_listings(kept, profile, rules, as_of, posted=posted, body=body), ["kept"], [rules, posted])
     best = stages.stage("recommended", lambda: ranked_top(at_least(scored, min_score), target), ["scored"], [min_score, target])
     return best, stages

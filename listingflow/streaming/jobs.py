@@ -79,9 +79,10 @@ def _add_written(spark: SparkSession, store: str, schema: T.StructType, keys: Se
     ledger.add(written.select(F.explode(F.array_compact(F.array(*keys))).alias("key")), batch_id)
 
 
-def score_arrivals(stream: DataFrame, profile: DataFrame, rules: ScoreRules, as_of: Column, cache: str, checkpoint: str, posted: str = "posted") -> None:
+def score_arrivals(stream: DataFrame, profile: DataFrame, rules: ScoreRules, as_of: Column, cache: str, checkpoint: str, posted: str = "posted", body: str | None = None) -> None:
     """Score each new (title, company) once, in arrival order across batches. Which pairs
-    have a score is known from a ledger of keys beside the cache."""
+    have a score is known from a ledger of keys beside the cache. ``body`` is that of
+    ``score_listings``."""
     pair = T.StructType.fromDDL("title string, company string")
     keys = [key_digest("pair", "title", "company")]
 
@@ -89,7 +90,7 @@ def score_arrivals(stream: DataFrame, profile: DataFrame, rules: ScoreRules, as_
         spark = batch.sparkSession
         ledger = Ledger(spark, f"{cache}-keys")
         fresh = first_per_key(without_known(batch, keys, ledger, batch_id), pair.fieldNames())
-        write_batch(score_entries(score_listings(fresh, profile, rules, as_of, posted=posted)), cache, batch_id)
+        write_batch(score_entries(score_listings(fresh, profile, rules, as_of, posted=posted, body=body)), cache, batch_id)
         _add_written(spark, cache, pair, keys, ledger, batch_id)
 
     run_available(stream, each, checkpoint)

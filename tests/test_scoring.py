@@ -158,3 +158,29 @@ def test_a_prefix_scores_at_most_twice_its_rows(spark):
     scored.clear()
     assert prefix_until_scored(df.where("ord % 1000 = 9"), score, 400, 9.0).count() == 100
     assert prefix_until_scored(df.limit(0), score, 3, 9.0).count() == 0
+
+
+def test_shared_texts_score_like_whole_descriptions(spark):
+    """Terms and years that reach over the ends of a text, empty, blank and missing texts."""
+    rules = ScoreRules(
+        roles={"x": ("ab cd", " gizmo"), "y": ("new", "e f")}, lexicons={"k": ("cd ef", "node", "q 5+", "b"), "z": ("e",)}, default_category="z",
+    )
+    texts = [(0, "CD  ef\tnode 12"), (1, ""), (2, None), (3, "  "), (4, "gizmo 3 years e"), (5, "q"), (6, "0012 years"), (7, "a b c" * 30 + " 7+")]
+    titles, notes = ["ab", "", "new e", None], ["5+ years", "years", "", " f\u03a3 4 yrs", None]
+    rows, i = [], 0
+    for t, text in texts:
+        for title in titles:
+            for note in notes:
+                whole = None if text is None else text + " " + (note or "")
+                rows.append((i, t, title, ["k", "z", None][i % 3], "Remote", "2024-01-10", note, whole))
+                i += 1
+    df = spark.createDataFrame(rows, "ord long, text_id long, title string, category string, location string, posted string, note string, description string")
+    bodies = scoring.text_bodies(spark.createDataFrame(texts, "text_id long, text string"), rules)
+    shared = df.drop("description").join(bodies, "text_id")
+    profile = spark.createDataFrame([("x ab cd new q 5+ node b e cd ef 4 years of experience",)], "text string")
+    cols = ["ord", *scoring.SCORE_COLUMNS]
+    whole = score_listings(df, profile, rules, as_of()).select(cols).orderBy("ord").collect()
+    assert score_listings(shared, profile, rules, as_of(), body="body").select(cols).orderBy("ord").collect() == whole
+    many = profile.select(F.lit(1).alias("profile_id"), "text")
+    top = lambda rows, **kw: top_per_profile(rows, many, rules, as_of(), 50, **kw).orderBy("rank").collect()
+    assert top(shared, body="body") == top(df)
