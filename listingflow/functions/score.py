@@ -161,29 +161,34 @@ def joined(*texts: Column) -> Column:
     return F.concat_ws(" ", *[F.nullif(t, F.lit("")) for t in texts])
 
 
-def body_role_hits(title: Column, body: Column, note: Column, rules: ScoreRules) -> Column:
-    """``role_hits`` of a title and a description of ``body`` and ``note``."""
+def body_near(title: Column, body: Column, ends: Column, rules: ScoreRules) -> Column:
+    """What a term of a role can be in, besides the inside of ``body``: the title with the
+    head of the description, and its ``ends``, which is ``joined(body["tail"], note)``."""
+    # The tail of a body shorter than an end is all of it, as its head is.
     short = F.length(body["head"]) < longest_term(rules) - 1
-    lead = F.concat(title, F.lit(" "), F.when(short, joined(body["head"], note)).otherwise(body["head"]))
-    ends = F.array(lead, joined(body["tail"], note))
+    lead = F.concat(title, F.lit(" "), F.when(short, ends).otherwise(body["head"]))
     # A control character is in no term that a text in scoring form could have.
-    near = F.array_join(ends, "\x00")
-    return F.zip_with(body["roles"], role_hits(near, rules), lambda inside, at_ends: inside | at_ends)
+    return F.concat(lead, F.lit("\x00"), ends)
 
 
-def body_lexicon_hits(body: Column, note: Column, index: Column, rules: ScoreRules) -> Column:
-    """The terms of the lexicon in a description of ``body`` and ``note``, with their bits."""
-    ends = joined(body["tail"], note)
+def body_role_hits(roles: Column, near: Column, rules: ScoreRules) -> Column:
+    """``role_hits`` of a title and a description of a body with these ``roles`` and its
+    ``body_near``."""
+    return F.zip_with(roles, role_hits(near, rules), lambda inside, at_ends: inside | at_ends)
+
+
+def body_lexicon_hits(masks: Column, ends: Column, index: Column, rules: ScoreRules) -> Column:
+    """The terms of the lexicon in a description of a body with these ``masks`` of terms and
+    its ``ends``, with their bits."""
     return F.filter(
         F.get(_tagged_lexicons(rules), index),
-        lambda s: (F.get(body["terms"], s["all_word"]).bitwiseAND(s["all_bit"]) != 0) | F.contains(ends, s["t"]),
+        lambda s: (F.get(masks, s["all_word"]).bitwiseAND(s["all_bit"]) != 0) | F.contains(ends, s["t"]),
     )
 
 
-def body_required_years(body: Column, note: Column, rules: ScoreRules) -> Column:
-    """``required_years`` of a description of ``body`` and ``note``."""
-    behind = first_years(joined(body["last"], note))
-    return years_or_default(F.coalesce(F.nullif(body["years"], F.lit("")), behind), rules)
+def body_first_years(body: Column, note: Column) -> Column:
+    """``first_years`` of a description of ``body`` and ``note``."""
+    return F.coalesce(F.nullif(body["years"], F.lit("")), first_years(joined(body["last"], note)))
 
 
 def lexicon_size(index: Column, rules: ScoreRules) -> Column:
@@ -230,12 +235,8 @@ def first_years(text: Column) -> Column:
     return F.regexp_extract(text, r"([0-9]+)\+?\s*(?:years|yrs)", 1)
 
 
-def required_years(description: Column, rules: ScoreRules) -> Column:
-    """First "N years" of the description as text. In a range the later number counts."""
-    return years_or_default(first_years(description), rules)
-
-
 def years_or_default(digits: Column, rules: ScoreRules) -> Column:
+    """Years asked, as text, of the ``first_years``. In a range the later number counts."""
     return F.when(digits == "", F.lit(str(rules.default_required_years))).otherwise(number_text(digits))
 
 
@@ -263,8 +264,8 @@ def experience_part(profile_years: Column, required: Column) -> Column:
     return F.when(have >= need, 1.0).when(have >= need * 0.7, 0.7).otherwise(0.3)
 
 
-def location_part(location, rules: ScoreRules) -> Column:
-    place = normalize_score(location)
+def location_part(place: Column, rules: ScoreRules) -> Column:
+    """The part of a location in scoring form."""
     return (
         F.when((place == "") | place.isin(*rules.remote_places), 1.0)
         .when(F.contains(place, F.lit(rules.hybrid_word)), 0.8)

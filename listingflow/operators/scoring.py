@@ -36,27 +36,41 @@ def text_bodies(texts: DataFrame, rules: ScoreRules, text: str = "text", body: s
     return once(normal, {body: S.body_features(F.col("_norm"), F.col(text).isNotNull(), rules)}).drop("_norm", text)
 
 
-def _described(listings: DataFrame, rules: ScoreRules, body: str | None) -> tuple[DataFrame, Column, Column, Column]:
-    """Listings with their lexicon, the roles hit, the lexicon's terms found, with their
-    bits, and the years asked, from the description or from ``body`` and ``note``."""
+def _described(
+    listings: DataFrame, rules: ScoreRules, as_of: Column, posted: str, body: str | None
+) -> tuple[DataFrame, Column, Column]:
+    """Listings with ``_lexicon``, ``_need`` (years asked), ``_place`` and ``_fresh`` (their
+    parts), the roles hit, and the lexicon's terms found, with their bits, in the description
+    or in ``body`` and ``note``.
+
+    The last two are loops over terms. Spark doesn't compile loops, and works out again for
+    each term what they search, so texts are made before, in columns of their own.
+    """
     title, description = S.normalized_texts("title", "description")
-    lexicon = {"_lexicon": S.lexicon_index("category", rules)}
     index = F.col("_lexicon")
+    common = {"_title": title, "_where": S.normalize_score("location"), "_lexicon": S.lexicon_index("category", rules)}
     if body is None:
         # Long texts are normalised and searched once per row.
-        texts = once(listings, {"_title": title, "_desc": description, **lexicon})
-        texts = once(texts, {"_both": F.concat_ws(" ", "_title", "_desc")})
+        texts = once(listings, {**common, "_desc": description})
         desc = F.col("_desc")
+        texts = once(texts, {"_both": F.concat_ws(" ", "_title", "_desc"), "_digits": S.first_years(desc)})
+        hits = S.role_hits(F.col("_both"), rules)
         terms = F.filter(F.get(S._tagged_lexicons(rules), index), lambda s: F.contains(desc, s["t"]))
-        return texts, S.role_hits(F.col("_both"), rules), terms, S.required_years(desc, rules)
-    b, note = F.col(body), F.col("_note")
-    # A missing text makes the whole description missing.
-    noted = F.when(b["present"], S.normalize_score("note")).otherwise(F.lit(""))
-    texts = once(listings, {"_title": title, "_note": noted, **lexicon})
-    return (
-        texts, S.body_role_hits(F.col("_title"), b, note, rules),
-        S.body_lexicon_hits(b, note, index, rules), S.body_required_years(b, note, rules),
-    )
+    else:
+        b, note, ends = F.col(body), F.col("_note"), F.col("_ends")
+        # A missing text makes the whole description missing.
+        noted = F.when(b["present"], S.normalize_score("note")).otherwise(F.lit(""))
+        texts = once(listings, {**common, "_note": noted})
+        texts = once(texts, {"_ends": S.joined(b["tail"], note), "_digits": S.body_first_years(b, note)})
+        texts = once(texts, {"_near": S.body_near(F.col("_title"), b, ends, rules), "_roles": b["roles"], "_masks": b["terms"]})
+        hits = S.body_role_hits(F.col("_roles"), F.col("_near"), rules)
+        terms = S.body_lexicon_hits(F.col("_masks"), ends, index, rules)
+    parts = {
+        "_need": S.years_or_default(F.col("_digits"), rules),
+        "_place": S.location_part(F.col("_where"), rules),
+        "_fresh": S.recency_part(S.posted_date(posted, _is_date(listings, posted)), as_of),
+    }
+    return once(texts, parts), hits, terms
 
 
 def score_listings(
@@ -78,7 +92,7 @@ def score_listings(
     features = profile.select(S.profile_features(text, rules).alias("f")).scalar()
     # What follows the texts is arithmetic on the outcome, so a later filter on the score
     # copies nothing costly.
-    texts, hits, terms, need = _described(listings, rules, body)
+    texts, hits, terms = _described(listings, rules, as_of, posted, body)
     texts = once(texts, {"_p": features})
     p = F.col("_p")
     known = F.get(p["known"], F.col("_lexicon"))
@@ -87,12 +101,9 @@ def score_listings(
         {
             "_hits": hits,
             "_found": F.transform(F.filter(terms, lambda s: F.array_contains(known, s["t"])), lambda s: s["t"]),
-            "_need": need,
-            "_size": S.lexicon_size(F.col("_lexicon"), rules),
-            "_place": S.location_part("location", rules),
-            "_fresh": S.recency_part(S.posted_date(posted, _is_date(listings, posted)), as_of),
         },
     )
+    parts = once(parts, {"_size": S.lexicon_size(F.col("_lexicon"), rules)})
     flags = [F.col("_hits")[i] for i in range(len(rules.roles))]
     matched = F.size("_found")
     parts = once(
@@ -157,18 +168,13 @@ def _signatures(
 ) -> DataFrame:
     """Listings by all that their score depends on, each with its ``k`` earliest rows."""
     long_text = ["description"] if body is None else [body, "note"]
-    texts, hits, terms, need = _described(
-        listings.select(ord_col, "category", "location", posted, "title", *long_text), rules, body
+    texts, hits, terms = _described(
+        listings.select(ord_col, "category", "location", posted, "title", *long_text), rules, as_of, posted, body
     )
+    signature = once(texts, {"roles": hits, "_terms": terms})
     signature = once(
-        texts.withColumn("lexicon", F.col("_lexicon")),
-        {
-            "roles": hits,
-            "skills": S.packed(terms, rules),
-            "need": need,
-            "place": S.location_part("location", rules),
-            "fresh": S.recency_part(S.posted_date(posted, _is_date(listings, posted)), as_of),
-        },
+        signature.withColumnsRenamed({"_lexicon": "lexicon", "_need": "need", "_place": "place", "_fresh": "fresh"}),
+        {"skills": S.packed(F.col("_terms"), rules)},
     )
     sig_cols = ["roles", "lexicon", "skills", "need", "place", "fresh"]
     # Limited per task before the shuffle. Rows of one signature differ in ``ord`` only, so

@@ -1,6 +1,7 @@
 """Scores by hand, and the many-profile form against the single-profile one."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,3 +185,20 @@ def test_shared_texts_score_like_whole_descriptions(spark):
     many = profile.select(F.lit(1).alias("profile_id"), "text")
     top = lambda rows, **kw: top_per_profile(rows, many, rules, as_of(), 50, **kw).orderBy("rank").collect()
     assert top(shared, body="body") == top(df)
+
+
+def test_loops_over_terms_search_texts_that_are_made_before(spark):
+    """What a loop makes itself is made again for each of its terms."""
+    rows = spark.createDataFrame([(0, "Data Analyst", "data_analyst", "Remote", None, 0, "2 years")], "ord long, title string, category string, location string, posted string, text_id long, note string")
+    bodies = scoring.text_bodies(spark.createDataFrame([(0, "sql and python")], "text_id long, text string"), SCORE_RULES)
+    profile = spark.createDataFrame([("Data Analyst, sql",)], "text string")
+    whole = rows.withColumn("description", F.lit("sql and python 2 years"))
+    for scored in (
+        score_listings(whole, profile, SCORE_RULES, as_of()),
+        score_listings(rows.join(bodies, "text_id"), profile, SCORE_RULES, as_of(), body="body"),
+    ):
+        plan = scored._jdf.queryExecution().optimizedPlan().toString()
+        loops = [line for line in plan.splitlines() if "Generate" in line and "struct(_hits" in line]
+        assert len(loops) == 1
+        # The lists of terms stand in brackets.
+        assert not re.search("regexp|concat|array_join|lower|CASE", re.sub(r"\[\[.*?\]\]", "", loops[0]))
