@@ -75,6 +75,11 @@ def exact_key(*columns: Column | str) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
+def short_digest(c: Column | str) -> Column:
+    """The first 16 bytes of a text's digest; null for none."""
+    return F.substring(F.unhex(F.sha2(col(c), 256)), 1, 16)
+
+
 def slug(c: Column | str, length: int = 60) -> Column:
     """Lower-case name with runs of dashes and spaces turned into one underscore."""
     kept = F.regexp_replace(text_or_empty(c), r"[^\p{L}\p{N}_\s\x0B\x1C-\x1F\x85\p{Z}-]", "")

@@ -23,7 +23,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listingflow.functions.text import content_fingerprint, url_fingerprint
+from listingflow.functions.text import content_fingerprint, short_digest, url_fingerprint
 from listingflow.operators.keys import pick_rows
 from listingflow.scratch import discard, materialize
 
@@ -114,10 +114,14 @@ def _kept_and_read(df: DataFrame, keys: Mapping[str, Column], ord_col: str) -> t
     """``kept_ords``, and the written reduction of the rows, with ``n`` of them in each group.
     ``df`` is read once, for the reduction."""
     names = list(keys)
-    keyed = df.select(F.col(ord_col).cast("long").alias(ord_col), *[c.alias(n) for n, c in keys.items()])
+    # The rounds move every key some ten times, so they have 16 bytes of each.
+    keyed = df.select(
+        F.col(ord_col).cast("long").alias(ord_col),
+        *[short_digest(F.concat(F.lit("v:"), c.cast("string"))).alias(n) for n, c in keys.items()],
+    )
     # A row without a key is alone in a group of its own for that key. The prefixes keep
     # its stand-in apart from every real value.
-    own = F.concat(F.lit("o:"), F.col(ord_col).cast("string"))
+    own = short_digest(F.concat(F.lit("o:"), F.col(ord_col).cast("string")))
     # Rows without any key are all kept and must not be reduced to one.
     all_null = F.lit(True)
     for n in names:
@@ -126,7 +130,7 @@ def _kept_and_read(df: DataFrame, keys: Mapping[str, Column], ord_col: str) -> t
     pairs = keyed.groupBy(*names, free).agg(F.min(ord_col).alias(ord_col), F.count(F.lit(1)).alias("n"))
     start = materialize(
         pairs.select(
-            ord_col, *[F.coalesce(F.concat(F.lit("v:"), F.col(n).cast("string")), own).alias(n) for n in names], "_free", "n"
+            ord_col, *[F.coalesce(n, own).alias(n) for n in names], "_free", "n"
         ),
         "dedup-start",
     )

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listingflow.operators import dedup
-from listingflow.operators.dedup import first_seen, first_seen_counts, kept_ords, listing_keys
+from listingflow.operators.dedup import _kept_and_read, first_seen, first_seen_counts, kept_ords, listing_keys
 from listingflow.operators.keys import anti_join
 from listingflow.operators.merge import lookup_latest, merge_new, not_done, unscored
 
@@ -148,3 +148,12 @@ def test_hot_left_key_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_rounds_move_sixteen_bytes_of_a_key(spark):
+    """Keys may be long texts; a missing one has a stand-in of the same size."""
+    df = spark.createDataFrame([(0, "a" * 500, None), (1, "a" * 500, "x"), (2, "b", "x"), (3, None, "o:1")], "ord long, k1 string, k2 string")
+    kept, start = _kept_and_read(df, {"k1": F.col("k1"), "k2": F.col("k2")}, "ord")
+    sizes = start.select(F.length("k1"), F.length("k2")).collect()
+    assert len(sizes) == 4 and {n for row in sizes for n in row} == {16}
+    assert sorted(r["ord"] for r in kept.collect()) == [0, 2, 3]
