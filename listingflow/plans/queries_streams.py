@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listingflow.plans.driver_tables import LISTINGS_SQL, as_of, listings, runs, table
+from listingflow.plans.driver_tables import LISTINGS_SQL, as_of, bodies, listings, runs, table
 from listingflow.plans.queries_events import _STREAKS
 from listingflow.plans.queries_listings import MIN_SCORE, RULES, SCORED, _profile, _scored, _with_id, _WITH_ID
 from listingflow.plans.registry import query, sql_fingerprint, sql_greedy
@@ -61,9 +61,10 @@ def stream_ingest(spark, d):
 
 @query("stream_scores", f"""{SCORED} SELECT title, company, score FROM (SELECT *, row_number() OVER (PARTITION BY title, company ORDER BY {_SLICE}, ord) AS n FROM scored) WHERE n = 1""")
 def stream_scores(spark, d):
-    source = listings(spark, d, rules=RULES)
+    source, texts = listings(spark, d, text_id=True).drop("source", "url"), bodies(spark, d, RULES)
     out, checkpoint = scratch_path(spark, "scores"), scratch_path(spark, "checkpoint")
-    in_slices(source, _by_date(), lambda stream: jobs.score_arrivals(stream, _profile(spark, d), RULES, as_of(), out, checkpoint, body="body"))
+    score = lambda stream: jobs.score_arrivals(stream, _profile(spark, d), RULES, as_of(), out, checkpoint, body="body", bodies=texts)
+    in_slices(source, _by_date(), score)
     return _read(source, out).select("title", "company", "score")
 
 

@@ -78,19 +78,25 @@ def staged_run(
     posted: str = "posted",
     stop_after: str | None = None,
     body: str | None = None,
+    bodies: DataFrame | None = None,
+    text_id: str = "doc_id",
 ) -> tuple[DataFrame, Stages]:
     """Deduplicate, reject, score and recommend, each stage written below ``path``.
 
     A run that died, or that ``stop_after`` ended with ``Stopped``, goes on after its last
     finished stage when it is called again. Returns the recommended rows with ``rank``, and
-    the stages. ``body`` is that of ``score_listings``.
+    the stages. ``body`` is that of ``score_listings``; with ``bodies``, of which each
+    ``text_id`` has its ``body``, listings carry the ``text_id`` alone up to the scores.
     """
     inputs = [content_id(listings), content_id(profile), str(as_of)]
+    if bodies is not None:
+        inputs.append(content_id(bodies))
     stages = Stages(listings.sparkSession, path, inputs, stop_after)
     unique = stages.stage("unique", lambda: kept_ords(listings, listing_keys()))
     kept = stages.stage(
         "kept", lambda: split_rejected(pick_rows(listings, unique), blacklist)[0], ["unique"], [tuple(blacklist)]
     )
-    scored = stages.stage("scored", lambda: score_listings(kept, profile, rules, as_of, posted=posted, body=body), ["kept"], [rules, posted])
+    described = kept if bodies is None else kept.join(bodies, text_id).drop(text_id)
+    scored = stages.stage("scored", lambda: score_listings(described, profile, rules, as_of, posted=posted, body=body), ["kept"], [rules, posted])
     best = stages.stage("recommended", lambda: ranked_top(at_least(scored, min_score), target), ["scored"], [min_score, target])
     return best, stages

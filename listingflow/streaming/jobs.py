@@ -79,17 +79,22 @@ def _add_written(spark: SparkSession, store: str, schema: T.StructType, keys: Se
     ledger.add(written.select(F.explode(F.array_compact(F.array(*keys))).alias("key")), batch_id)
 
 
-def score_arrivals(stream: DataFrame, profile: DataFrame, rules: ScoreRules, as_of: Column, cache: str, checkpoint: str, posted: str = "posted", body: str | None = None) -> None:
+def score_arrivals(stream: DataFrame, profile: DataFrame, rules: ScoreRules, as_of: Column, cache: str, checkpoint: str, posted: str = "posted", body: str | None = None, bodies: DataFrame | None = None, text_id: str = "doc_id") -> None:
     """Score each new (title, company) once, in arrival order across batches. Which pairs
     have a score is known from a ledger of keys beside the cache. ``body`` is that of
-    ``score_listings``."""
+    ``score_listings``; with ``bodies``, of which each ``text_id`` has its ``body``, the
+    listings carry the ``text_id`` alone."""
     pair = T.StructType.fromDDL("title string, company string")
     keys = [key_digest("pair", "title", "company")]
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         ledger = Ledger(spark, f"{cache}-keys")
-        fresh = first_per_key(without_known(batch, keys, ledger, batch_id), pair.fieldNames())
+        # Pairs and numbers decide; whole rows are moved once.
+        firsts = first_per_key(without_known(batch.select("ord", *pair.fieldNames()), keys, ledger, batch_id), pair.fieldNames())
+        fresh = pick_rows(batch, firsts)
+        if bodies is not None:
+            fresh = fresh.join(bodies, text_id).drop(text_id)
         write_batch(score_entries(score_listings(fresh, profile, rules, as_of, posted=posted, body=body)), cache, batch_id)
         _add_written(spark, cache, pair, keys, ledger, batch_id)
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listingflow.defaults import SCORE_RULES
+from listingflow.operators.scoring import text_bodies
 from listingflow.plans.staged import Stages, Stopped, content_id, staged_run
 
 SCHEMA = "ord long, title string, company string, category string, location string, posted string, description string, url string"
@@ -60,3 +61,21 @@ def test_a_stage_without_inputs_of_its_own_reads_the_runs(spark, tmp_path):
     for s in (one, two):
         s.stage("x", lambda: spark.range(2))
     assert one.folder("x") != two.folder("x") and one.made == two.made == ["x"]
+
+
+def test_bodies_are_joined_to_kept_listings(spark, tmp_path):
+    """Up to the scores a listing has the number of its text; the outcome is that of whole texts."""
+    texts = spark.createDataFrame([(0, "sql python"), (1, "excel 2 years"), (2, None)], "doc_id long, text string")
+    df = spark.createDataFrame(ROWS, SCHEMA).drop("description").withColumn("doc_id", F.col("ord") % 3).withColumn("note", F.lit("3+ years"))
+    profile = spark.createDataFrame([(CV,)], "text string")
+    args = (profile, SCORE_RULES, F.lit("2024-01-10").cast("date"))
+    bodies = text_bodies(texts, SCORE_RULES)
+    best, stages = staged_run(df, *args, str(tmp_path / "a"), ("c3",), 3.0, 5, body="body", bodies=bodies)
+    kept = spark.read.parquet(stages.folder("kept"))
+    assert "doc_id" in kept.columns and "body" not in kept.columns and "doc_id" not in best.columns
+    whole = df.join(texts, "doc_id").withColumn("description", F.concat("text", F.lit(" "), "note")).drop("doc_id", "text", "note")
+    expected, _ = staged_run(whole, *args, str(tmp_path / "b"), ("c3",), 3.0, 5)
+    rows = lambda df: df.select("rank", "ord", "score", "reason").orderBy("rank").collect()
+    assert rows(best) == rows(expected) and len(rows(best)) == 5
+    _, other = staged_run(df, *args, str(tmp_path / "a"), ("c3",), 3.0, 5, body="body", bodies=bodies.where("doc_id < 2"))
+    assert other.done == []

@@ -5,7 +5,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from listingflow.defaults import SCORE_RULES
 from listingflow.operators.health import zero_streaks
+from listingflow.operators.scoring import score_entries, score_listings, text_bodies
 from listingflow.streaming import jobs
 
 SCHEMA = "ord long, job_id string, title string, company string, location string"
@@ -59,3 +61,21 @@ def test_until_target_stops(spark, tmp_path):
     out = str(tmp_path / "out")
     jobs.until_target(jobs.file_stream(spark, landed, df.drop("part").schema), 3, 4.0, out, str(tmp_path / "c"))
     assert sorted(r["ord"] for r in spark.read.parquet(out).collect()) == list(range(15))
+
+
+def test_arrivals_with_the_number_of_their_text_score_like_whole_ones(spark, tmp_path):
+    """Landed listings carry a number; of equal pairs the first has the score."""
+    texts = spark.createDataFrame([(0, "sql python"), (1, "excel 2 years")], "doc_id long, text string")
+    rows = [(i, f"Data Analyst {i % 4}", f"c{i % 3}", "data_analyst", "Remote", "2024-01-10", i % 2, "3+ years") for i in range(24)]
+    df = spark.createDataFrame(rows, "ord long, title string, company string, category string, location string, posted string, doc_id long, note string")
+    profile = spark.createDataFrame([("Data Analyst, sql python. 4 years of experience",)], "text string")
+    as_of = F.lit("2024-01-10").cast("date")
+    landed, out = str(tmp_path / "landed"), str(tmp_path / "out")
+    for i in range(2):
+        df.where(F.floor(F.col("ord") / 12) == i).write.parquet(f"{landed}/slice={i}")
+        stream = jobs.file_stream(spark, f"{landed}/*", df.schema)
+        jobs.score_arrivals(stream, profile, SCORE_RULES, as_of, out, str(tmp_path / "c"), body="body", bodies=text_bodies(texts, SCORE_RULES))
+    firsts = df.where("ord < 12").join(texts, "doc_id").withColumn("description", F.concat("text", F.lit(" "), "note")).drop("doc_id", "text", "note")
+    expected = score_entries(score_listings(firsts, profile, SCORE_RULES, as_of))
+    got = spark.read.parquet(out).select(expected.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect())) and got.count() == 12
