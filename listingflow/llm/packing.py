@@ -19,6 +19,7 @@ import heapq
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -78,11 +79,12 @@ class Chunks:
         """The place of each chunk; new ones are tokenized, some thousand joined to one text."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        out = np.fromiter((self.known.get(c, -1) for c in chunks), np.int64, len(chunks))
+        out = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
         fresh = np.flatnonzero(out < 0)
+        new = [chunks[k] for k in fresh]
         ids, starts, end = [self.ids], [self.starts], self.starts[-1]
-        for i in range(0, len(fresh), 4096):
-            some = [chunks[k] for k in fresh[i : i + 4096]]
+        for i in range(0, len(new), 4096):
+            some = new[i : i + 4096]
             found = self.whole([" " + " ".join(some)])[0]
             cuts = np.flatnonzero(self.leading[found])
             if len(cuts) != len(some):  # a chunk that holds such a token itself
@@ -92,8 +94,8 @@ class Chunks:
             ids.append(found)
             starts.append(end + np.append(cuts[1:], len(found)))
             end += len(found)
-        out[fresh] = len(self.known) + np.arange(len(fresh))
-        self.known.update((chunks[k], int(out[k])) for k in fresh)
+        out[fresh] = len(self.known) + np.arange(len(new))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         self.ids, self.starts = np.concatenate(ids), np.concatenate(starts)
         return out
 
@@ -107,26 +109,26 @@ class Chunks:
         inner = np.ones(len(index), bool)
         inner[offsets[:-1]] = False
         inner[np.repeat(whole, np.diff(offsets))] = False
-        used = np.unique(index[inner])
-        place = np.zeros(len(coded.dictionary), np.int64)
-        place[used] = self.places(coded.dictionary.take(pa.array(used)).to_pylist())
+        asked = np.zeros(len(coded.dictionary), bool)
+        asked[index[inner]] = True
+        used = np.flatnonzero(asked)
+        place = self.places(coded.dictionary.take(pa.array(used)).to_numpy(zero_copy_only=False).tolist())
         heads = self.whole(
             [texts[i].as_py() if whole[i] else coded.dictionary[int(index[k])].as_py() for i, k in enumerate(offsets[:-1])]
         )
-        # Lengths of all pieces in order: the first of a text is its head.
-        sizes = np.zeros(len(index), np.int64)
-        chosen = place[index[inner]]
-        sizes[inner] = self.starts[chosen + 1] - self.starts[chosen]
-        sizes[offsets[:-1]] = [len(h) for h in heads]
+        # Where the ids of all pieces lie and how many they are, in order: the first of a
+        # text is its head, whose ids follow the known ones.
+        first, count = np.zeros((2, len(coded.dictionary)), np.int64)
+        first[used], count[used] = self.starts[place], self.starts[place + 1] - self.starts[place]
+        begins, sizes = first[index], count[index] * inner
+        head_sizes = np.fromiter(map(len, heads), np.int64, len(heads))
+        begins[offsets[:-1]] = len(self.ids) + np.cumsum(head_sizes) - head_sizes
+        sizes[offsets[:-1]] = head_sizes
         ends = np.cumsum(sizes)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
-        lengths = sizes[inner]
-        into = ends[inner] - lengths
-        within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        out[np.repeat(into, lengths) + within] = self.ids[np.repeat(self.starts[chosen], lengths) + within]
+        total = int(ends[-1]) if len(ends) else 0
+        out = np.concatenate([self.ids, *heads])[np.repeat(begins - ends + sizes, sizes) + np.arange(total)]
         bounds = np.append(0, ends)[offsets]
-        for head, a, b in zip(heads, bounds[:-1], bounds[1:]):
-            out[a : a + len(head)] = head
+        for a, b in zip(bounds[:-1], bounds[1:]):
             yield out[a:b]
 
 
