@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listingflow.llm.words import slices, texts_of, tidy
+from listingflow.llm.words import remembered, slices, texts_of, tidy
 
 #: Words and pieces, and token pairs, that a worker process remembers: of each twice so many
 #: at most. The longest word or piece that it does.
@@ -278,6 +278,7 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+@remembered
 @lru_cache(maxsize=1)
 def coder(path: str, pattern: str) -> ByteBPE:
     """One coder for a worker process; its tables don't depend on the texts."""
@@ -303,7 +304,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(tidy(run), "doc_id long, ids array<int>")
+    return texts.mapInArrow(tidy(run, coder.__name__), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

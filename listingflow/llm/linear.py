@@ -24,7 +24,7 @@ from listingflow.scratch import discard, materialize
 PER_CLASS = 8_000
 BITS = 20
 #: Bytes of text whose features are found together; it bounds a task's memory.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: A feature is kept if its class counts differ with this likelihood-ratio statistic and
 #: its log-count ratio is at least this far from zero.
 LEAST_G2, LEAST_DOCS, LEAST_RATIO = 20.0, 4, 0.5

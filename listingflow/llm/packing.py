@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from listingflow.llm.words import slices, texts_of, tidy
+from listingflow.llm.words import remembered, slices, texts_of, tidy
 from listingflow.scratch import materialize
 
 CAPACITY = 1024
@@ -132,6 +132,7 @@ class Chunks:
             yield out[a:b]
 
 
+@remembered
 @lru_cache(maxsize=1)
 def chunks_of(tokenizer_path: str) -> Chunks:
     """One tokenizer for a worker process, with the chunks that its tasks met last."""
@@ -286,7 +287,7 @@ def pack(docs: DataFrame, tokenizer_path: str, place: str | None = None) -> Data
     texts = docs.select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"), *([F.col(place).cast("long").alias("place")] if placed else [])
     )
-    tokenized = materialize(texts.mapInArrow(tidy(_tokenize(tokenizer_path, placed)), _TOKENIZED), "tokenized")
+    tokenized = materialize(texts.mapInArrow(tidy(_tokenize(tokenizer_path, placed), chunks_of.__name__), _TOKENIZED), "tokenized")
     full = tokenized.where("rest is null").select(*[f.split()[0] for f in _PIECES.split(", ")])
     rests = tokenized.where("rest is not null").select("doc_id", "start", "length", "doc_tokens", "row", "rest")
     if placed:

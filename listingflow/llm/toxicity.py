@@ -23,7 +23,7 @@ CUT = 0.5
 
 
 #: Code points of a text, or of several, that are looked at together.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 
 
 def ngrams(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -26,19 +26,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+#: What this worker process remembers from task to task, by the name of what made it.
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def remembered(cached: Callable) -> Callable:
+    """Mark an ``lru_cache`` of much memory: a ``tidy`` task keeps only the one that it names."""
+    _remembered[cached.__name__] = cached.cache_clear
+    return cached
+
+
+def _let_go(keeps: str) -> None:
+    """Forget what other tasks of this worker process remember."""
+    for name, clear in _remembered.items():
+        if name != keeps:
+            clear()
+    _give_back()
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
     """``run`` that gives memory back to the machine when it ends: worker processes are used
-    again, and what their allocators keep adds up over the stages of a job."""
+    again, and what their allocators keep adds up over the stages of a job. When it begins,
+    what other stages remembered goes, except what ``remembered`` has under ``keeps``."""
 
     @wraps(run)
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _let_go(keeps)
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            _give_back()
 
     return tidied
 

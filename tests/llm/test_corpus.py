@@ -17,6 +17,7 @@ import __spark_entry__ as entry_points
 import corpus_pipeline
 from listingflow.llm import minhash, mixing, packing, quality, toxicity
 from listingflow.llm.queries import TOKENIZER
+from listingflow.llm.words import tidy
 
 DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, slot string, length int"
@@ -370,3 +371,12 @@ def test_all_are_registered():
     names = [n for n in entry_points.queries() if n.startswith("op") or n == "pipeline"]
     assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
     assert math.prod(1 for _ in names) == 1
+
+
+def test_workers_forget_the_chunks_of_packing_before_other_stages():
+    """Worker processes are used again: what one stage remembers is not carried to the next."""
+    known = packing.chunks_of(TOKENIZER)
+    assert list(tidy(lambda batches: iter([1]), packing.chunks_of.__name__)(iter([]))) == [1]
+    assert packing.chunks_of(TOKENIZER) is known
+    assert list(tidy(lambda batches: iter([2]))(iter([]))) == [2]
+    assert packing.chunks_of.cache_info().currsize == 0
