@@ -2,36 +2,84 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listingflow.functions.text import distinct_runs, relevance_tokens, render
-from listingflow.operators.containment import contained, numbered
+from listingflow.functions.text import relevance_tokens, render, short_digest, text_or_empty
 from listingflow.operators.once import once
 from listingflow.scratch import materialize
 
+# Tokens of one pattern, and the characters of a token that its pattern branches by.
+PIECE = 1 << 14
+NESTED = 9
+
+
+def longest_at(tokens: list[str]) -> str:
+    """A pattern whose group 1 is the longest of ``tokens`` that begins at a place.
+
+    It matches ahead, so tokens that overlap are found too. Tokens share their first
+    characters in nested branches, those of most tokens first.
+    """
+
+    def branch(words: list[str], depth: int) -> str:
+        if depth == 0 or len(words) == 1:
+            by_length = sorted(words, key=len, reverse=True)
+            return "(?:" + "|".join(w.replace(".", r"\.").replace("+", r"\+") for w in by_length) + ")"
+        starts = [(c, [w[1:] for w in g]) for c, g in groupby((w for w in words if w), key=lambda w: w[0])]
+        starts.sort(key=lambda start: -len(start[1]))
+        parts = [("\\" if c in "+." else "") + c + branch(rest, depth - 1) for c, rest in starts]
+        return "(?:" + "|".join(parts + [""] * ("" in words)) + ")"
+
+    return f"(?=({branch(sorted(tokens), NESTED)}))"
+
+
+def _with_prefixes(vocabulary: DataFrame) -> DataFrame:
+    """``(token, ids)``: the ids of all tokens that a token begins with, its own among them."""
+    lengths = vocabulary.agg(F.collect_set(F.length("token"))).scalar()
+    starts = once(vocabulary.select("token"), {"_lengths": lengths}).select(
+        "token", F.explode(F.filter("_lengths", lambda n: n <= F.length("token"))).alias("n")
+    )
+    known = vocabulary.select(F.col("token").alias("start"), "token_id")
+    return starts.withColumn("start", F.substring("token", F.lit(1), F.col("n"))).join(known, "start").groupBy("token").agg(
+        F.collect_list("token_id").alias("ids")
+    )
 
 
 def _found_sets(docs: DataFrame, vocabulary: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``(doc_id, found)``: the ids of the tokens that are part of each document, sorted.
 
-    Documents are cut into their different words; tokens inside a word are found once for
-    each distinct word of all documents.
+    Only the texts are shuffled: rows are dealt to all tasks by a hash, and the rows of words
+    and tokens that they unfold to stay in the task and are collected there again. A text is
+    cut into its different words, which are searched for the longest token that begins at
+    each place; the others that begin there are what that token begins with. Rows of
+    one ``doc_id`` with different texts are brought together by their found tokens.
     """
-    doc_runs = docs.select(F.col(doc_id).alias("doc_id"), F.explode(distinct_runs(text)).alias("text"))
-    runs = numbered(doc_runs)
-    inside = contained(runs, vocabulary.select(F.col("token").alias("term"))).join(
-        vocabulary.select(F.col("token").alias("term"), "token_id"), "term"
+    tokens = [r["token"] for r in vocabulary.select("token").collect()]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    dealt = rows.withColumn("row", F.xxhash64("doc_id", "text")).repartition("row")
+    words = F.array_join(F.array_distinct(F.split(F.lower(text_or_empty("text")), " ")), " ")
+    searched = once(dealt.select("doc_id", "row", words.alias("words")), {"_w": F.col("words")}) if len(tokens) > PIECE else dealt.withColumn("_w", words)
+    longest = [
+        F.regexp_extract_all("_w", F.lit(longest_at(tokens[i : i + PIECE])), F.lit(1)) for i in range(0, len(tokens), PIECE)
+    ]
+    every = F.array_distinct(F.concat(*longest)) if longest else F.array().cast("array<string>")
+    inside = materialize(_with_prefixes(vocabulary), "prefixes")
+    # A document without a token keeps a row.
+    hits = searched.select("doc_id", "row", F.explode_outer(every).alias("token")).join(inside, "token", "left")
+    found = materialize(
+        hits.groupBy("row", "doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("found"))
+        .select(F.struct("doc_id").alias("_k"), "doc_id", "found"),
+        "found",
     )
-    inside = inside.groupBy("text_id").agg(F.collect_list("token_id").alias("ids"))
-    # Words are broadcast by the size of their file else, and are many times as large in memory.
-    known = runs.hint("merge").join(inside, "text_id").select(F.struct("text").alias("_k"), "ids")
-    hits = doc_runs.withColumn("_k", F.struct("text")).join(known.hint("merge"), "_k").select("doc_id", "ids")
-    # Every document has a row, also one without a token.
-    every = docs.select(F.col(doc_id).alias("doc_id"), F.array().cast("array<bigint>").alias("ids"))
-    return hits.unionByName(every).groupBy("doc_id").agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("found")
+    repeated = materialize(found.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_k"), "repeated")
+    single = found.join(repeated, "_k", "left_anti").select("doc_id", "found")
+    merged = (
+        found.join(repeated, "_k", "left_semi").select("doc_id", F.explode_outer("found").alias("token_id"))
+        .groupBy("doc_id").agg(F.sort_array(F.collect_set("token_id")).alias("found"))
     )
+    return single.unionByName(merged)
 
 
 def _shared(a, b) -> Column:
@@ -72,52 +120,46 @@ def rank_projects(
     postings = materialize(tokens.join(vocabulary, "token").select("token_id", "project"), "postings")
     described = postings.groupBy("project").agg(F.sort_array(F.collect_list("token_id")).alias("has"))
 
-    found = materialize(_found_sets(docs, vocabulary, doc_id, text), "found")
-    digest = F.sha2(F.array_join("found", ","), 256)
-    sets = found.groupBy(digest.alias("digest")).agg(F.any_value("found").alias("found"))
+    found = _found_sets(docs, vocabulary, doc_id, text).select("doc_id", short_digest(F.array_join("found", ",")).alias("set"), "found")
+    # From here on rows lie by their set, and what they unfold to is counted and ranked where it is.
+    distinct = found.groupBy("set").agg(F.any_value("found").alias("found"))
     seeds = described.orderBy(F.size("has").desc(), "project").limit(k).agg(F.collect_list("has")).scalar()
     floor = F.when(F.size("_seeds") < k, 0).otherwise(
         F.array_min(F.transform("_seeds", lambda has: _shared(has, F.col("found"))))
     )
-    seeded = once(sets.withColumnRenamed("digest", "set"), {"_seeds": seeds})
-    bounded = once(seeded, {"floor": floor})
+    bounded = once(once(distinct, {"_seeds": seeds}), {"floor": floor})
     left_out = F.greatest(F.col("floor") - 1, F.lit(0))
-    sets = materialize(
-        bounded.select(
-            "set", "floor", F.slice("found", F.lit(1), left_out).alias("left_out"),
-            F.slice("found", left_out + 1, F.size("found")).alias("looked_up"),
-        ).withColumn("set_id", F.monotonically_increasing_id()),
-        "sets",
+    sets = bounded.select(
+        "set", "floor", F.slice("found", F.lit(1), left_out).alias("left_out"),
+        F.slice("found", left_out + 1, F.size("found")).alias("looked_up"),
     )
 
     met = (
-        sets.select("set_id", F.explode("looked_up").alias("token_id"))
+        sets.select("set", F.explode("looked_up").alias("token_id"))
         .join(postings, "token_id")
-        .groupBy("set_id", "project")
+        .groupBy("set", "project")
         .agg(F.count(F.lit(1)).cast("int").alias("part"))
     )
-    by_part = Window.partitionBy("set_id").orderBy(F.col("part").desc())
-    kth = (
-        met.withColumn("_r", F.row_number().over(by_part)).where(F.col("_r") <= k)
-        .groupBy("set_id").agg(F.when(F.count(F.lit(1)) == k, F.min("part")).alias("kth"))
-    )
-    reach = sets.hint("merge").join(kth, "set_id", "left").select(
-        "set_id", "left_out", F.greatest("floor", F.coalesce("kth", F.lit(0))).alias("least")
-    )
+    of_set = Window.partitionBy("set")
+    place = F.row_number().over(of_set.orderBy(F.col("part").desc()))
+    reach = met.withColumn("_r", place).withColumn("kth", F.max(F.when(F.col("_r") == k, F.col("part"))).over(of_set))
     exact = (
-        met.join(reach.hint("merge"), "set_id")
-        .where(F.col("part") + F.size("left_out") >= F.col("least"))
+        reach.join(sets.select("set", "floor", "left_out").hint("merge"), "set")
+        .where(F.col("part") + F.size("left_out") >= F.greatest("floor", F.coalesce("kth", F.lit(0))))
         .join(described, "project")
-        .select("set_id", "project", (F.col("part") + _shared("has", "left_out")).alias("relevance"))
+        .select("set", "project", (F.col("part") + _shared("has", "left_out")).alias("relevance"))
     )
+    w = of_set.orderBy(F.col("relevance").desc(), "project")
+
+    def best(scored: DataFrame) -> DataFrame:
+        return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
     first = words.select("project").orderBy("project").limit(k).agg(F.collect_list("project")).scalar()
     # Only where the bound is nothing can a project without a common token be among the best.
-    none = sets.where("floor = 0").select("set_id", F.explode(first).alias("project"), F.lit(0).alias("relevance"))
-    scored = exact.unionByName(none).groupBy("set_id", "project").agg(F.max("relevance").alias("relevance"))
-    w = Window.partitionBy("set_id").orderBy(F.col("relevance").desc(), "project")
-    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    ranked = best.join(sets.select("set_id", "set").hint("merge"), "set_id").select(F.struct("set").alias("_k"), "rank", "project", "relevance")
-    of = found.select(F.col("doc_id").alias(doc_id), F.struct(digest.alias("set")).alias("_k"))
+    none = sets.where("floor = 0").select("set", F.explode(first).alias("project"), F.lit(0).alias("relevance"))
+    scored = best(exact).drop("rank").unionByName(none).groupBy("set", "project").agg(F.max("relevance").alias("relevance"))
+    ranked = best(scored).select(F.struct("set").alias("_k"), "rank", "project", "relevance")
+    of = found.select(F.col("doc_id").alias(doc_id), F.struct("set").alias("_k"))
     return of.join(ranked.hint("merge"), "_k").select(doc_id, "rank", "project", "relevance")
 
 
@@ -137,7 +179,8 @@ def project_texts(ranked: DataFrame, projects: DataFrame, doc_id: str = "doc_id"
     """One text per document that lists its ranked projects. A document has as many
     rows as were asked for, so collecting them is bounded."""
     p = projects.withColumnRenamed(order, "project")
-    joined = ranked.join(p, "project")
+    # Dealt by document before the long texts are there, which are then collected where they are.
+    joined = ranked.repartition(F.col(doc_id)).join(p, "project")
     block = project_block(
         F.col("title"), F.col("technologies"), F.col("description"), F.col("impact"),
         F.col("url"), F.col("rank"), link_name,

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from listingflow.operators import health, relevance, search, stats
+from listingflow.operators import containment, health, relevance, search, stats
 from listingflow.operators.filters import enabled_sources
 
 
@@ -126,6 +126,65 @@ def test_relevance_equals_a_plain_search(spark):
         assert got == expected
 
 
+def test_tokens_that_begin_with_each_other_are_all_found():
+    tokens = ["a", "ab", "abc", "abcdefghijklm", "abcdefghijkxy", "b", "c++", "c+", "node.js"]
+    found = re.findall(relevance.longest_at(tokens), "xabcdefghijkxy c+++ nodexjs node.js")
+    assert found == ["abcdefghijkxy", "b", "c++", "node.js"]
+
+
+def test_found_tokens_in_pieces_and_of_repeated_documents(spark, monkeypatch):
+    """Rows of one id are one document, also where the id is missing, whatever the number of patterns."""
+    docs = [(1, "Alpha beta"), (1, "betas gamma"), (1, "Alpha beta"), (None, "delta"), (None, "xalphax"), (2, None), (3, "nothing")]
+    projects = [(0, "alpha beta gamma"), (1, "beta bet be"), (2, "delta alpha"), (3, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    p = spark.createDataFrame(projects, "project_ord long, project_text string")
+    joined = [(i, "\n".join(t or "" for j, t in docs if i == j)) for i in (1, None, 2, 3)]
+    for piece in (relevance.PIECE, 2):
+        monkeypatch.setattr(relevance, "PIECE", piece)
+        got = {}
+        for r in relevance.rank_projects(d, p, 2).orderBy("doc_id", "rank").collect():
+            got.setdefault(r["doc_id"], []).append((r["project"], r["relevance"]))
+        assert got == brute_rank(joined, projects, 2)
+
+
+def shuffled_rows(plan):
+    """Rows that the exchanges of an executed plan wrote."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return shuffled_rows(plan.executedPlan())
+    if name == "ReusedExchangeExec":
+        return 0
+    if name.endswith("QueryStageExec"):
+        return shuffled_rows(plan.plan())
+    metric, children = plan.metrics().get("shuffleRecordsWritten"), plan.children()
+    return (metric.get().value() if metric.isDefined() else 0) + sum(shuffled_rows(children.apply(i)) for i in range(children.size()))
+
+
+def test_no_row_for_each_word_or_project_is_shuffled(spark, monkeypatch):
+    """A few rows of each document are, and they are all the disk that the ranking takes."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(400)]
+    docs = [(i, " ".join(rnd.choices(words, k=120))) for i in range(300)]
+    projects = [(i, " ".join(rnd.choices(words, k=12))) for i in range(60)]
+    rows = []
+
+    def written(df, label):
+        kept = df.collect()
+        rows.append(shuffled_rows(df._jdf.queryExecution().executedPlan()))
+        return spark.createDataFrame(kept, df.schema)
+
+    monkeypatch.setattr(relevance, "materialize", written)
+    monkeypatch.setattr(containment, "materialize", written)
+    ranked = relevance.rank_projects(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(projects, "project_ord long, project_text string"), 3)
+    got = {}
+    for r in sorted(ranked.collect()):
+        got.setdefault(r["doc_id"], []).append((r["project"], r["relevance"]))
+    rows.append(shuffled_rows(ranked._jdf.queryExecution().executedPlan()))
+    assert got == brute_rank(docs, projects, 3)
+    # Documents have more than a hundred words and meet nearly all sixty projects.
+    assert sum(rows) < 20 * len(docs) + 5 * 12 * len(projects)
+
+
 def test_requests(spark):
     df = spark.createDataFrame([("A", None)], "title string, d string")
     assert relevance.requests(df, "T={title};{d}!", {"title": "title", "d": "d"}).first()["request"] == "T=A;!"
