@@ -120,7 +120,10 @@ def rank_projects(
     postings = materialize(tokens.join(vocabulary, "token").select("token_id", "project"), "postings")
     described = postings.groupBy("project").agg(F.sort_array(F.collect_list("token_id")).alias("has"))
 
-    found = _found_sets(docs, vocabulary, doc_id, text).select("doc_id", short_digest(F.array_join("found", ",")).alias("set"), "found")
+    found = _found_sets(docs, vocabulary, doc_id, text).select(
+        # Never null, so that all that is read of the sets is read from one shuffle.
+        "doc_id", F.coalesce(short_digest(F.array_join("found", ",")), F.lit(b"")).alias("set"), "found"
+    )
     # From here on rows lie by their set, and what they unfold to is counted and ranked where it is.
     distinct = found.groupBy("set").agg(F.any_value("found").alias("found"))
     seeds = described.orderBy(F.size("has").desc(), "project").limit(k).agg(F.collect_list("has")).scalar()
@@ -143,11 +146,19 @@ def rank_projects(
     of_set = Window.partitionBy("set")
     place = F.row_number().over(of_set.orderBy(F.col("part").desc()))
     reach = met.withColumn("_r", place).withColumn("kth", F.max(F.when(F.col("_r") == k, F.col("part"))).over(of_set))
-    exact = (
+    reached = lambda least: F.col("part") + F.size("left_out") >= least
+    relevance = F.col("part") + _shared("has", "left_out")
+    near = (
         reach.join(sets.select("set", "floor", "left_out").hint("merge"), "set")
-        .where(F.col("part") + F.size("left_out") >= F.greatest("floor", F.coalesce("kth", F.lit(0))))
+        .where(reached(F.greatest("floor", F.coalesce("kth", F.lit(0)))))
         .join(described, "project")
-        .select("set", "project", (F.col("part") + _shared("has", "left_out")).alias("relevance"))
+        .select("set", "project", "part", "left_out", F.when(F.col("_r") <= k, relevance).alias("sure"))
+    )
+    # What the k projects of most looked up tokens reach leaves few others to be compared.
+    least = F.when(F.count("sure").over(of_set) == k, F.min("sure").over(of_set))
+    exact = (
+        near.withColumn("least", F.coalesce(least, F.lit(0))).where(reached(F.col("least")))
+        .join(described, "project").select("set", "project", F.coalesce("sure", relevance).alias("relevance"))
     )
     w = of_set.orderBy(F.col("relevance").desc(), "project")
 
